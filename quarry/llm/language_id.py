@@ -1,7 +1,8 @@
 """Operator 10, language ID: the smallest encoding under per-language dictionaries.
 
-Each language has a zstandard raw-content dictionary of whole training texts. A
-text is compressed with every one; the language whose dictionary gives the fewest
+Each language has a zstandard raw-content dictionary of whole training texts. Texts
+are reduced to lower-case letters with single blanks first, so that case, digits and
+marks don't stand between a text and its language. A text is compressed with every one; the language whose dictionary gives the fewest
 bytes is predicted. The margin is what the runner-up needs more, as a share of the
 runner-up. A margin below ``min_margin`` counts as rejected.
 
@@ -15,25 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices
 
 #: Texts drawn per language for its dictionary, and the dictionary's bytes.
 SAMPLE_TEXTS = 300
-DICT_BYTES = 110 << 10
-LEVEL = 3
+DICT_BYTES = 256 << 10
+LEVEL = 6
+
+
+def letters(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "))
 
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """language -> dictionary, from rows with a text and a lang.
 
     About ``sample_texts`` rows of each language, dealt by a hash of the text, fill
-    up to ``dict_bytes``, the longer ones first to stay whole; this is the bounded
-    sample that the model is fitted on.
+    up to ``dict_bytes``; this is the bounded sample that the model is fitted on.
     """
-    known = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text")
+    known = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", letters("text").alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return {}
@@ -72,29 +76,32 @@ def compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list:
     return _compressors[key]
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.01, level: int = LEVEL, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.005, level: int = LEVEL, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (the margin, 0 to 1) and rejected for every document.
 
     ``keep``: all columns of ``docs`` come first (which then must not hold those names).
     """
     langs = tuple(sorted(model.items()))
     names = [k for k, _ in langs]
-    base = docs if keep else docs.select("doc_id", "text")
     cols = docs.columns if keep else ["doc_id"]
-    tagged = base.withColumn("__letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    base = docs if keep else docs.select("doc_id", "text")
+    tagged = base.select(*cols, "text") if "text" not in cols else base
+    tagged = tagged.withColumn("__letters", F.coalesce(letters("text"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors(langs, level)
-        for b in slices(batches):
-            raws = b.column("text").cast(pa.binary()).to_pylist()
-            ok = b.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+        for b in slices(batches, "__letters"):
+            raws = b.column("__letters").cast(pa.binary()).to_pylist()
             pred, score = ["und"] * len(raws), np.zeros(len(raws))
-            for k in np.flatnonzero(ok) if made else ():
-                size = [len(c.compress(raws[k])) for c in made]
+            for k, raw in enumerate(raws):
+                if not raw or not made:
+                    continue
+                size = [len(c.compress(raw)) for c in made]
                 best = size.index(low := min(size))
                 rest = min((s for j, s in enumerate(size) if j != best), default=2 * low)
                 pred[k], score[k] = names[best], (rest - low) / rest
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(pred), pa.array(score)], [*cols, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*cols).schema)
+    tagged = tagged.select(*cols, "__letters")
     return tagged.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < min_margin))

@@ -41,5 +41,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_packing, op9_chunk_store, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+#: The URL rules of op3.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc import archive_pages, read_archive
+
+    path = scratch(spark, "warc")
+    archive_pages(table(spark, sf_dir, "pages"), path)
+    records = read_archive(spark, path)
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    is_response = F.col("record_type") == "response"
+    return records.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.when(is_response, F.octet_length("payload")).otherwise(F.col("headers")["X-Payload-Length"].cast("long")).cast("long").alias("payload_bytes"),
+        F.when(is_response, F.sha1("payload")).otherwise(F.substring(F.col("headers")["WARC-Payload-Digest"], 6, 40)).alias("payload_digest"),
+        "record_type",
+        page(F.col("headers")["WARC-Refers-To"]).alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+r as (select max(page_id) as first, html from p where strlen(html) >= 1000 group by html)
+select p.page_id, strlen(p.html)::bigint as payload_bytes, sha1(p.html) as payload_digest,
+  case when r.first is null or r.first = p.page_id then 'response' else 'revisit' end as record_type,
+  case when r.first <> p.page_id then r.first end as refers_to
+from p left join r on p.html = r.html
+"""
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    known = labels.where(fold != 0).select("doc_id", F.col("toxic").alias("label"))
+    machine = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return score(docs, machine).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op5_warc, op6_toxicity, op8_packing, op9_chunk_store, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
