@@ -27,7 +27,7 @@ DICT_BYTES = 256 << 10
 LEVEL = 6
 
 
-def letters(text: str) -> Column:
+def letters(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "))
 
 
@@ -76,17 +76,14 @@ def compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list:
     return _compressors[key]
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.005, level: int = LEVEL, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (the margin, 0 to 1) and rejected for every document.
-
-    ``keep``: all columns of ``docs`` come first (which then must not hold those names).
+def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.005, level: int = LEVEL, prefix: str = "", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (doc_id alone if not given), lang_pred, score (the margin, 0 to 1) and
+    rejected for every document. ``prefix`` goes before the three new names.
     """
     langs = tuple(sorted(model.items()))
     names = [k for k, _ in langs]
-    cols = docs.columns if keep else ["doc_id"]
-    base = docs if keep else docs.select("doc_id", "text")
-    tagged = base.select(*cols, "text") if "text" not in cols else base
-    tagged = tagged.withColumn("__letters", F.coalesce(letters("text"), F.lit("")))
+    cols = columns or ["doc_id"]
+    tagged = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(letters(F.col("text")), F.lit("")).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors(langs, level)
@@ -100,8 +97,9 @@ def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.005
                 best = size.index(low := min(size))
                 rest = min((s for j, s in enumerate(size) if j != best), default=2 * low)
                 pred[k], score[k] = names[best], (rest - low) / rest
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(pred), pa.array(score)], [*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(pred), pa.array(score)], [*cols, "__pred", "__score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*cols).schema)
-    tagged = tagged.select(*cols, "__letters")
-    return tagged.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < min_margin))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.drop("__letters").schema)
+    found = tagged.mapInArrow(run, f"{kinds}, __pred string, __score double")
+    rejected = (F.col("__pred") == "und") | (F.col("__score") < min_margin)
+    return found.select(*[F.col(f"`{c}`") for c in cols], F.col("__pred").alias(f"{prefix}lang_pred"), F.col("__score").alias(f"{prefix}score"), rejected.alias(f"{prefix}rejected"))

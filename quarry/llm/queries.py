@@ -88,5 +88,47 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op5_warc, op6_toxicity, op8_packing, op9_chunk_store, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.near_duplicates import link_duplicates
+
+    return link_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import BASE, judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept", "score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+#: Windows are compared as joined words; no word holds a blank.
+OP7_SQL = r"""
+with dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+win as (select distinct item_id, k, array_to_string(w[s:s + k - 1], ' ') as t from (
+  select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from iw where len(w) > 0)),
+ks as (select distinct k from win),
+occ as (select doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') as t from (
+  select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from dw, ks where len(w) >= k)),
+hit as (select o.doc_id, o.s, o.k, win.item_id from occ o join win on o.t = win.t and o.k = win.k),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from hit) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+select dw.doc_id, len(dw.w)::bigint as n_words, coalesce(p.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
+  sha256(coalesce(f.ids, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
+from dw left join places p using (doc_id) left join found f using (doc_id)
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_ngram_join, op3_url_filters, op4_quality_rules, op5_warc, op6_toxicity, op7_decontamination, op8_packing, op9_chunk_store, op10_language_id)
+}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_decontamination": OP7_SQL.replace("\\\\", "\\")}

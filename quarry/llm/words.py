@@ -3,7 +3,7 @@
 A byte-level or word-level BPE vocabulary first splits a text by a fixed pattern;
 merges never cross its words. ``split`` applies those patterns to a batch of texts
 at once: character classes come from a table, word starts from class changes.
-Every word gets a 64-bit hash of its characters, so a batch's distinct words are
+Plain words are what stands between white space, in lower case. Every word gets a 64-bit hash of its characters, so a batch's distinct words are
 found by sorting numbers, and what was worked out for a word is kept in a ``Memo``.
 """
 
@@ -64,8 +64,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """start, end (in characters of ``joined``), hash and text number of each word."""
 
-    def __init__(self, texts: list[str], byte_level: bool):
-        if not byte_level:
+    def __init__(self, texts: list[str], byte_level: bool = False, plain: bool = False):
+        if plain:
+            texts = [t.lower() for t in texts]
+        elif not byte_level:
             texts = [_plain(t) for t in texts]
         self.joined = "".join(texts)
         cp = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
@@ -76,6 +78,8 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
             return
         cls = _classes()[cp]
+        if plain:
+            cls = np.where(cls == BLANK, BLANK, OTHER)
         opens = np.zeros(len(cp) + 3, bool)  # a text begins here; three beyond the end
         ends = np.cumsum(size)
         opens[ends - size] = True
@@ -86,9 +90,10 @@ class Words:
             at = np.flatnonzero((cls[1:] != BLANK) & (cls[:-1] == BLANK) & ~opens[1 : len(cp)]) + 1
             st[at - 1] = True
             st[at] = cp[at - 1] != 32
-        else:
+        elif not plain:
             st[: len(cp)] |= cls == DIGIT
-        self._contractions(cp, st, opens)
+        if not plain:
+            self._contractions(cp, st, opens)
         at = np.flatnonzero(st[: len(cp)])
         end = np.append(at[1:], len(cp))
         if not byte_level:
