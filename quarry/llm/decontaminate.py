@@ -44,7 +44,10 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     listed = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0).withColumn("row", F.monotonically_increasing_id())
     listed = materialise(listed.withColumn("k", F.least(F.lit(window), F.size("iw"))), "items")
     vocabulary = listed.select(F.explode("iw").alias("word")).distinct()
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(vocabulary), "word") if vocabulary.count() <= ANCHORS else docs.select(F.explode(words(F.col("text"))).alias("word")).join(vocabulary, "word")
+    if vocabulary.count() <= ANCHORS:
+        vocabulary = F.broadcast(vocabulary)
+    # outer: no filter on the array's size is inferred, which would split every text twice
+    seen = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).join(vocabulary, "word")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"))
     placed = listed.select("row", "k", F.size("iw").alias("m"), F.posexplode("iw").alias("o", "word")).join(counts, "word", "left")
     starts = F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("k") + 1), F.least(F.col("o"), F.col("m") - F.col("k")))
@@ -55,18 +58,23 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def occurrences(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """doc_id, item_id, spans (start and end of each occurring window) for one block of anchors."""
-    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("p", "word"))
+    """doc_id, item_id, spans (start and end of each occurring window, may be none) for one block of anchors.
+
+    Empty spans aren't filtered here: Catalyst would move that test into the join, which
+    then leaves generated code and copies a whole text for every word.
+    """
+    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("p", "word"))
     p, o, w, iw = F.col("p"), F.col("o"), F.col("w"), F.col("iw")
     beside = (F.get(w, p - 1) == F.get(iw, o - 1)) | (F.get(w, p + 1) == F.get(iw, o + 1)) | (F.col("k") == 1)
     first = F.greatest(F.col("lo"), o - p)  # the window begins in the text
     last = F.least(F.col("hi"), F.size("w") - F.col("k") - p + o)  # and ends there
     met = each.join(F.broadcast(some), "word").where(beside & (first <= last))
     small = met.select("doc_id", "item_id", "k", (p - o + first).alias("at"), (last - first).alias("more"), F.slice(w, p - o + first + 1, last - first + F.col("k")).alias("a"), F.slice(iw, first + 1, last - first + F.col("k")).alias("b"))
-    same = small.withColumn("eq", F.zip_with("a", "b", lambda x, y: x == y))
+    # "a" and "b" are used twice, so that Catalyst keeps cutting them out in the join's generated code: rows that leave it hold no whole text
+    same = small.withColumn("eq", F.when(F.size("a") == F.size("b"), F.zip_with("a", "b", lambda x, y: x == y)))
     whole = F.filter(F.sequence(F.lit(0), F.col("more")), lambda j: F.forall(F.slice(F.col("eq"), j + 1, F.col("k")), lambda x: x))
     spans = F.transform(whole, lambda j: F.struct((F.col("at") + j).alias("start"), (F.col("at") + j + F.col("k")).alias("end")))
-    return same.select("doc_id", "item_id", spans.alias("spans")).where(F.size("spans") > 0)
+    return same.select("doc_id", "item_id", spans.alias("spans"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, bound: int = ANCHORS) -> DataFrame:
@@ -78,7 +86,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, bound
     hits = reduce(DataFrame.union, [occurrences(docs, b) for b in blocks])
     kind = "array<struct<start:int,end:int>>"
     none = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(None).cast("string").alias("item"), F.lit(None).cast(kind).alias("spans"))
-    both = none.union(hits.select("doc_id", F.lit(0).cast("long"), F.col("item_id").cast("string"), F.col("spans").cast(kind)))
+    both = none.union(hits.select("doc_id", F.lit(0).cast("long"), F.when(F.size("spans") > 0, F.col("item_id").cast("string")), F.col("spans").cast(kind)))
     merged = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"))
