@@ -1,6 +1,421 @@
-"""The registered queries over the driver's tables and the SQL that they equal."""
+"""The registered queries over the driver's tables and the SQL that they equal.
+
+The synthetic corpus: a chunk is a document with the embedding of the same id, if
+there is one; a query is a benchmark item with the embedding of its id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import chunking, conversations, knowledge_base, models, retrieval
+from quarry.operators.retrieval import RetrieveConfig
+from quarry.storage import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), "text", F.col("source").alias("doc_name"))
+    return docs.join(vectors, "chunk_pos", "left")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
+
+
+def kb_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = corpus(spark, sf)
+    return d.select("chunk_pos", F.col("chunk_pos").alias("chunk_id"), F.pmod("chunk_pos", F.lit(50)).alias("doc_id"), "text", F.length("text").cast("long").alias("tokens"), "vector")
+
+
+# -- text -----------------------------------------------------------------------------------
+
+#: Weights are added from the left as doubles on both sides.
+SQL_TOKENS = """floor(list_reduce(list_prepend(0.0::double, list_transform(string_split(coalesce({0}, ''), ''), lambda c:
+ case when c = '' then 0.0 when regexp_matches(c, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}\\x{{f900}}-\\x{{faff}}]') then 1.0
+ when c in (' ', chr(10), chr(9)) then 0.2 else 0.25 end::double)), lambda a, b: a + b) + 0.5)::bigint"""
+WORD = r"'[a-z0-9][a-z0-9_\-\.]{0,30}'"
+TRIM = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{TRIM}|{TRIM}$', '', 'g')"
+
+
+@query(f"select doc_id, {SQL_TOKENS.format('text')} as n_tokens from documents")
+def token_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(r"""select doc_id, len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|\s+|[^\s]'))::bigint as n_units from documents""")
+def unit_stats(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.units(F.col("text"))).cast("long").alias("n_units"))
+
+
+@query(f"""select doc_id, len(t)::bigint as n_terms, len(list_distinct(t))::bigint as n_distinct, md5(array_to_string(t, ' ')) as terms_md5
+from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), {WORD}) as t from documents)""")
+def index_terms(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", T.index_terms(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
+
+
+@query("""select * from (values (1, '人 工 智 能 人工 工智 智能', 0), (2, 'ai v2.0 学 习 学习', 0)) t(id, terms, zero)""")
+def index_terms_cjk(spark, sf):
+    rows = spark.createDataFrame([(1, "人工智能"), (2, "AI 学习 v2.0")], "id int, text string")
+    return rows.select("id", F.array_join(T.index_terms(F.col("text")), " ").alias("terms"), F.lit(0).alias("zero"))
+
+
+@query(rf"""select doc_id, len(s)::bigint as n_sentences, md5(array_to_string(s, '|')) as md5 from (select doc_id, list_filter(list_transform(
+ regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '[^。！？!?；;\n]+[。！？!?；;]?["''”’）)]*|\n+'), lambda x: {sql_trim('x')}), lambda x: x <> '') as s from documents)""")
+def sentences(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("md5"))
+
+
+@query(rf"""with p as (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as t from documents),
+ q as (select doc_id, case when len(regexp_split_to_array(t, '\n\s*\n')) <= 1 then string_split(t, chr(10)) else regexp_split_to_array(t, '\n\s*\n') end as parts from p),
+ r as (select doc_id, list_filter(list_transform(parts, lambda x: {sql_trim('x')}), lambda x: x <> '') as s from q)
+ select doc_id, len(s)::bigint as n_paragraphs, md5(array_to_string(s, '|')) as md5 from r""")
+def paragraphs(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_paragraphs"), F.md5(F.array_join("s", "|")).alias("md5"))
+
+
+def _sql_chain(x: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    return sql_trim(x)
+
+
+HTML_STEPS = [(r"(?i)<script[\s\S]*?</script>", "' '"), (r"(?i)<style[\s\S]*?</style>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(?:p|div|li|h[1-6]|tr)>", "chr(10)"), ("<[^>]+>", "' '"), ("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)")]
+CLEAN_STEPS = [(r"\r\n?", "chr(10)"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "''"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")]
+
+
+@query(f"select page_id, length(t)::bigint as n_chars, md5(t) as md5 from (select page_id, {_sql_chain('html', HTML_STEPS)} as t from pages)")
+def html_text(spark, sf):
+    t = table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("md5"))
+
+
+@query(f"select doc_id, md5({_sql_chain('text', CLEAN_STEPS)}) as md5 from documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("md5"))
+
+
+@query("""select * from (values (1, 'name: Ann | age: 3' || chr(10) || 'x | y | z'), (2, ''), (3, 'a: 1')) t(id, lines)""")
+def csv_lines(spark, sf):
+    rows = spark.createDataFrame([(1, 'name,age\n"Ann",3\n\nx,y,z'), (2, "only,header"), (3, '"a"\r\n 1 ')], "id int, text string")
+    return rows.select("id", T.csv_lines(F.col("text")).alias("lines"))
+
+
+@query("""select * from (values (1, ''), (2, '*****'), (3, 'sk-1****cdef')) t(id, masked)""")
+def mask_key(spark, sf):
+    return spark.createDataFrame([(1, None), (2, "short"), (3, "sk-1234567890abcdef")], "id int, k string").select("id", T.mask_key(F.col("k")).alias("masked"))
+
+
+@query("""select ext, count(*)::bigint as n, bool_or(ext in ('md', 'html')) as supported from (select lower(regexp_extract(p, '\\.([^./]+)$', 1)) as ext from (values ('a.MD'), ('b/c.html'), ('d.exe'), ('e.md')) v(p)) group by ext""")
+def extension_gate(spark, sf):
+    rows = spark.createDataFrame([("a.MD",), ("b/c.html",), ("d.exe",), ("e.md",)], "p string")
+    return rows.groupBy(T.extension(F.col("p")).alias("ext")).agg(F.count("*").alias("n"), F.bool_or(T.supported(F.col("p"))).alias("supported"))
+
+
+# -- retrieval ------------------------------------------------------------------------------
+
+SQL_D = f"d as (select doc_id as chunk_pos, regexp_extract_all(lower(coalesce(text, '')), {WORD}) as t from documents)"
+SQL_LEX = f"""{SQL_D}, l as (select chunk_pos, len(t) as dl, unnest(t) as term from d),
+ st as (select count(*) as n, avg(len(t)) as avgdl from d), tf as (select chunk_pos, dl, term, count(*) as tf from l group by all),
+ df as (select term, count(*) as df from tf group by term),
+ qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), {WORD})[1:128]) as term from benchmark),
+ qf as (select query_id, term, count(*) as qf from qt group by all),
+ raw as (select query_id, chunk_pos, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qf join tf using (term) join df using (term), st group by all),
+ lex as (select query_id, chunk_pos, case when score > 0 then score / max(score) over (partition by query_id) else 0 end as bm25 from raw)"""
+SQL_SEM = """v as (select vec_id, embedding::double[] as e from embeddings),
+ sem as (select b.item_id as query_id, d0.doc_id as chunk_pos, list_cosine_similarity(c.e, q.e) as semantic from benchmark b join v q on q.vec_id = b.item_id, documents d0 join v c on c.vec_id = d0.doc_id)"""
+SQL_BOTH = """both_ as (select b.item_id as query_id, d1.doc_id as chunk_pos, coalesce(s.semantic, 0.0) as semantic, coalesce(x.bm25, 0.0) as bm25 from benchmark b cross join documents d1
+ left join sem s on s.query_id = b.item_id and s.chunk_pos = d1.doc_id left join lex x on x.query_id = b.item_id and x.chunk_pos = d1.doc_id)"""
+SQL_RRF = """rs as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(semantic, 9) desc, chunk_pos) as r from both_ where semantic > 0),
+ rb as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(bm25, 9) desc, chunk_pos) as r from both_ where bm25 > 0),
+ fused as (select a.*, coalesce(1.0::double / (60 + rs.r), 0) + coalesce(1.0::double / (60 + rb.r), 0) as fused from both_ a left join rs using (query_id, chunk_pos) left join rb using (query_id, chunk_pos))"""
+
+
+def _sql_fused(expression: str) -> str:
+    return f"fused as (select *, {expression} as fused from both_)"
+
+
+def _sql_top(fused: str, scale: str, k: int = 30) -> str:
+    return f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, {fused},
+ top as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, chunk_pos) as rank from fused)
+ select query_id, chunk_pos, rank::int as rank, round(semantic, 6) as semantic, round(bm25, 6) as bm25, round(least(1.0, greatest(0.0, fused / {scale})), 6) as fused_norm from top where rank <= {k}"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    r = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)
+    return df.select("query_id", "chunk_pos", "rank", r("semantic"), r("bm25"), r("fused_norm"))
+
+
+def _mode(spark, sf, **options) -> DataFrame:
+    return _shown(retrieval.retrieve(corpus(spark, sf), questions(spark, sf), RetrieveConfig(**options)))
+
+
+@query(f"with {SQL_D}, e as (select unnest(list_distinct(t)) as term from d) select term, count(*)::bigint as df from e group by term")
+def doc_frequency(spark, sf):
+    p = retrieval.postings(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), "text"))
+    return p.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"with {SQL_D} select count(*)::bigint as n, round(avg(len(t)), 6) as avgdl from d")
+def corpus_stats(spark, sf):
+    return retrieval.corpus_stats(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), "text")).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"""with {SQL_LEX} select query_id, chunk_pos, rank::int as rank, round(score, 6) as score from (
+ select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos) as rank from raw) where rank <= 10""")
+def bm25_topk(spark, sf):
+    s = retrieval.bm25(corpus(spark, sf), questions(spark, sf))
+    return s.select("query_id", "chunk_pos", retrieval.ranked("bm25"), F.round("bm25", 6).alias("score")).where("rank <= 10")
+
+
+@query(f"with {SQL_LEX} select query_id, count(*)::bigint as n, round(max(bm25), 6) as top, round(sum(bm25), 4) as total from lex group by query_id")
+def bm25_norm(spark, sf):
+    s = retrieval.normalised(retrieval.bm25(corpus(spark, sf), questions(spark, sf)))
+    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("bm25"), 6).alias("top"), F.round(F.sum("bm25"), 4).alias("total"))
+
+
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings), s as (select a.vec_id as query_id, b.vec_id as chunk_pos, list_cosine_similarity(a.e, b.e) as semantic from v a, v b where a.vec_id % 20 = 0)
+ select query_id, chunk_pos, rank::int as rank, round(semantic, 6) + 0.0 as semantic from (select *, row_number() over (partition by query_id order by round(semantic, 9) desc, chunk_pos) as rank from s) where rank <= 10""")
+def dense_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    s = retrieval.dense(v.select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector")), asked)
+    return s.select("query_id", "chunk_pos", retrieval.ranked("semantic"), F.round("semantic", 6).alias("semantic")).where("rank <= 10")
+
+
+@query(_sql_top(SQL_RRF, "(2.0::double / 61)"))
+def hybrid_rrf(spark, sf):
+    return _mode(spark, sf)
+
+
+@query(_sql_top(_sql_fused("(semantic * 0.6 + bm25 * 0.4) / 1.0"), "1.0"))
+def hybrid_weighted(spark, sf):
+    return _mode(spark, sf, fusion="weighted")
+
+
+@query(_sql_top(_sql_fused("semantic"), "1.0").replace("round(bm25, 6) as bm25", "0.0::double as bm25"))
+def mode_semantic(spark, sf):
+    return _mode(spark, sf, mode="semantic")
+
+
+@query(_sql_top(_sql_fused("bm25"), "1.0").replace("round(semantic, 6) as semantic", "0.0::double as semantic"))
+def mode_bm25(spark, sf):
+    return _mode(spark, sf, mode="bm25")
+
+
+@query(f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH},
+ a as (select query_id, 0 as variant, chunk_pos, semantic as fused from both_ union all select query_id, 1, chunk_pos, bm25 from both_),
+ b as (select *, row_number() over (partition by query_id, variant order by round(fused, 9) desc, chunk_pos) as r from a),
+ c as (select *, row_number() over (partition by query_id, chunk_pos order by round(fused, 9) desc, variant) as v from b where r <= 30),
+ e as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, chunk_pos) as place from c where v = 1)
+ select query_id, chunk_pos, variant, place::int as place, round(fused, 6) as fused from e where place <= 30""")
+def multi_query_merge(spark, sf):
+    d, q = corpus(spark, sf), questions(spark, sf)
+    parts = [retrieval.retrieve(d, q, RetrieveConfig(mode=m)).select("query_id", F.lit(k).alias("variant"), "chunk_pos", "fused") for k, m in enumerate(("semantic", "bm25"))]
+    return retrieval.merge_variants(parts[0].union(parts[1])).select("query_id", "chunk_pos", "variant", "place", F.round("fused", 6).alias("fused"))
+
+
+def _refs(spark, sf) -> DataFrame:
+    return retrieval.context(retrieval.retrieve(corpus(spark, sf), questions(spark, sf)), 0.35)
+
+
+SQL_REFS = f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, {SQL_RRF},
+ top as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, chunk_pos) as rank from fused),
+ fin as (select *, least(1.0, greatest(0.0, fused / (2.0::double / 61))) as f from top where rank <= 30),
+ refs as (select *, row_number() over (partition by query_id order by round(f, 9) desc, chunk_pos) as ref from fin where round(f, 9) >= 0.35)"""
+
+
+@query(SQL_REFS + " select query_id, ref::int as ref, chunk_pos, round(f, 4) as score, 'fusion' as score_from from refs where ref <= 8")
+def threshold_context(spark, sf):
+    return _refs(spark, sf).select("query_id", "ref", "chunk_pos", F.round("final_score", 4).alias("score"), "score_from")
+
+
+@query(SQL_REFS + """ select query_id, md5(string_agg('[' || ref || '] 来源：' || source || chr(10) || text, chr(10) || chr(10) order by ref)) as block_md5
+ from refs join documents on doc_id = chunk_pos where ref <= 8 group by query_id""")
+def context_block(spark, sf):
+    return retrieval.context_block(_refs(spark, sf), corpus(spark, sf)).select("query_id", F.md5("block").alias("block_md5"))
+
+
+@query(f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, best as (select query_id, max(semantic) as best from both_ group by query_id)
+ select query_id, best >= 0.95 as answered, round(best, 4) + 0.0 as best from best""")
+def no_answer(spark, sf):
+    best = retrieval.retrieve(corpus(spark, sf), questions(spark, sf), RetrieveConfig(mode="semantic")).groupBy("query_id").agg(F.max("semantic").alias("best"))
+    return best.select("query_id", (F.col("best") >= 0.95).alias("answered"), (F.round("best", 4) + F.lit(0.0)).alias("best"))
+
+
+# -- vectors --------------------------------------------------------------------------------
+
+SQL_ADJ = """a as (select vec_id, list_cosine_similarity(embedding::double[], lead(embedding::double[]) over (order by vec_id)) as sim from embeddings)"""
+
+
+def _adjacent(spark, sf) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))  # ids are dense: a join, not one sorted task
+    return v.join(following, "vec_id").select("vec_id", T.cosine(F.col("embedding"), F.col("b")).alias("sim"))
+
+
+@query(f"with {SQL_ADJ} select vec_id, round(sim, 6) + 0.0 as sim from a where sim is not null")
+def adjacent_cosine(spark, sf):
+    return _adjacent(spark, sf).select("vec_id", (F.round("sim", 6) + F.lit(0.0)).alias("sim"))
+
+
+@query(f"with {SQL_ADJ}, l as (select list_sort(list(sim)) as s from a where sim is not null) select round(s[1 + floor((len(s) - 1) * 0.85)::int], 6) as threshold from l")
+def percentile_break(spark, sf):
+    sims = _adjacent(spark, sf)
+    n = sims.count()
+    return sims.orderBy("sim").offset(int((n - 1) * 85 / 100)).limit(1).select(F.round("sim", 6).alias("threshold"))
+
+
+SQL_FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+SQL_COMPONENTS = f"""ws as (select {{key}} as id, w, count(*) as n from (select {{key}}, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]*')) as w from {{table}}) group by all),
+ hs as (select id, n, {SQL_FNV.format('w')} as base, k, {SQL_FNV.format("(w || '#' || k)")} as h from ws, range(12) t(k)),
+ cs as (select id, h % 1024 as idx, sum(n * (case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) * (1 + ((base >> (k % 16)::bigint) & 7) / 8.0::double)) as v from hs group by all),
+ ns as (select id, sqrt(sum(v * v)) as norm from cs group by id)"""
+
+
+@query(f"with {SQL_COMPONENTS.format(key='item_id', table='benchmark')} select id as item_id, idx::bigint as idx, round(v / norm, 6) as value from cs join ns using (id) where v <> 0")
+def hash_embedding(spark, sf):
+    return models.components(table(spark, sf, "benchmark"), "item_id")
+
+
+@query()
+def hash_rerank(spark, sf):
+    d, q = corpus(spark, sf), questions(spark, sf)
+    found = retrieval.retrieve(d, q, RetrieveConfig(mode="bm25"))
+    return models.rerank(found, q, d, 8)
+
+
+# -- chunking -------------------------------------------------------------------------------
+
+
+def _chunks(cfg: chunking.ChunkConfig, spark, sf) -> DataFrame:
+    c = chunking.chunk(table(spark, sf, "documents"), cfg)
+    return c.select("doc_id", "idx", "tokens", F.md5("text").alias("md5"))
+
+
+for _name, _cfg in {
+    "fixed_chunks": chunking.ChunkConfig(size=64, overlap_enabled=False, markdown=False),
+    "fixed_chunks_overlap": chunking.ChunkConfig(size=64, overlap_mode="absolute", overlap_value=10, markdown=False),
+    "recursive_chunks": chunking.ChunkConfig("recursive", size=128),
+    "paragraph_chunks": chunking.ChunkConfig("paragraph", paragraph_max=200),
+    "semantic_fallback": chunking.ChunkConfig("semantic", semantic_max=200),
+}.items():
+    QUERIES[_name] = partial(_chunks, _cfg)
+
+
+@query()
+def chunk_meta(spark, sf):
+    return chunking.chunk_meta(chunking.chunk(table(spark, sf, "documents"), chunking.ChunkConfig()))
+
+
+# -- conversations --------------------------------------------------------------------------
+
+
+@query("select conv_id, coalesce(max_by(case when role = 'user' then text end, case when role = 'user' then turn end), '') as question from conversations group by conv_id")
+def last_user(spark, sf):
+    return conversations.last_user(table(spark, sf, "conversations"))
+
+
+SQL_BACK = "select *, row_number() over (partition by conv_id order by turn desc, role, text) as back from conversations"
+
+
+@query(f"select conv_id, turn, role, text, back::int as back from ({SQL_BACK}) where back between 2 and 7")
+def history_frame(spark, sf):
+    return conversations.history(table(spark, sf, "conversations"))
+
+
+@query(f"select conv_id, turn, role, text, back::int as back from ({SQL_BACK}) where back <= 8")
+def recent_messages(spark, sf):
+    return conversations.recent(table(spark, sf, "conversations"))
+
+
+@query(f"""with b as ({SQL_BACK}), u as (select conv_id, coalesce(max_by(case when role = 'user' then text end, case when role = 'user' then turn end), '') as question from conversations group by conv_id)
+ select conv_id, 0 as seq, 'system' as role, md5('S') as content_md5 from u union all select conv_id, (9 - back)::int, role, md5(text) from b where back <= 8
+ union all select conv_id, 9, 'user', md5('【参考资料】' || chr(10) || '（无参考资料）' || chr(10) || chr(10) || '【用户问题】' || chr(10) || question) from u""")
+def prompt(spark, sf):
+    c = table(spark, sf, "conversations")
+    made = conversations.prompt(c, spark.createDataFrame([], "conv_id long, block string"), "S")
+    return made.select("conv_id", "seq", "role", F.md5("content").alias("content_md5"))
+
+
+# -- knowledge base -------------------------------------------------------------------------
+
+SQL_KB = "kb as (select d.doc_id as chunk_pos, d.doc_id as chunk_id, d.doc_id % 50 as doc_id, d.text, length(d.text)::bigint as tokens, e.embedding as vector from documents d left join embeddings e on e.vec_id = d.doc_id)"
+
+
+def _kb_docs(spark) -> DataFrame:
+    return spark.range(60).select(F.col("id").alias("doc_id"))
+
+
+@query(f"with {SQL_KB} select 60::bigint as docs, count(*)::bigint as chunks, count(vector)::bigint as indexed, (count(*) - count(vector))::bigint as pending, coalesce(min_by(len(vector), case when vector is not null then chunk_pos end), 0)::bigint as dim, sum(tokens)::bigint as tokens from kb")
+def kb_stats(spark, sf):
+    return knowledge_base.stats(_kb_docs(spark), kb_chunks(spark, sf))
+
+
+@query(f"with {SQL_KB} select r.i as doc_id, count(kb.doc_id)::bigint as n_chunks from range(60) r(i) left join kb on kb.doc_id = r.i group by r.i")
+def docs_chunk_count(spark, sf):
+    return knowledge_base.chunk_counts(_kb_docs(spark), kb_chunks(spark, sf))
+
+
+@query(f"with {SQL_KB} select chunk_id, doc_id, vector is not null as has_vector from kb where contains(lower(text), 'the') order by chunk_pos limit 20 offset 5")
+def chunk_browse(spark, sf):
+    return knowledge_base.browse(kb_chunks(spark, sf), "THE", offset=5, limit=20).select("chunk_id", "doc_id", "has_vector")
+
+
+@query(f"with {SQL_KB} select chunk_id, tokens from kb where vector is null")
+def pending(spark, sf):
+    return knowledge_base.pending(kb_chunks(spark, sf)).select("chunk_id", "tokens")
+
+
+@query(f"with {SQL_KB} select chunk_id, case when chunk_id % 7 = 0 then {SQL_TOKENS.format("(text || ' (new)')")} else tokens end as tokens, vector is not null and chunk_id % 7 <> 0 as has_vector from kb")
+def update_chunk(spark, sf):
+    kb = kb_chunks(spark, sf)
+    new = knowledge_base.update_chunks(kb, kb.where("chunk_id % 7 = 0").select("chunk_id", F.concat("text", F.lit(" (new)")).alias("new_text")))
+    return new.select("chunk_id", "tokens", F.col("vector").isNotNull().alias("has_vector"))
+
+
+@query(f"with {SQL_KB} select chunk_id, chunk_pos from kb where doc_id <> 3 union all select -chunk_id, chunk_pos + (select max(chunk_pos) from kb where doc_id <> 3) + 1 from kb where doc_id = 3")
+def replace_chunks(spark, sf):
+    kb = kb_chunks(spark, sf)
+    return knowledge_base.replace_chunks(kb, kb.where("doc_id = 3").withColumn("chunk_id", -F.col("chunk_id"))).select("chunk_id", "chunk_pos")
+
+
+@query(f"with {SQL_KB} select doc_id, count(*)::bigint as n from kb where doc_id not in (1, 2) group by doc_id")
+def delete_doc(spark, sf):
+    _, chunks = knowledge_base.delete_documents(_kb_docs(spark), kb_chunks(spark, sf), spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {SQL_KB}, s as (select doc_id, bool_and(vector is not null or chunk_id % 2 = 0) as ready from kb group by doc_id)
+ select r.i as doc_id, case when s.ready is null then 'parsed' when s.ready then 'indexed' else 'chunked' end as status from range(60) r(i) left join s on s.doc_id = r.i""")
+def set_vectors(spark, sf):
+    kb = kb_chunks(spark, sf)
+    zero = F.array(F.lit(0.0).cast("float"))
+    filled = knowledge_base.set_vectors(kb, kb.where("chunk_id % 2 = 0").select("chunk_id", F.coalesce("vector", zero).alias("new_vector")))
+    return knowledge_base.status(_kb_docs(spark), filled, "all")
