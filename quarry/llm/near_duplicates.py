@@ -37,7 +37,7 @@ from quarry.storage import materialise
 NGRAM, THRESHOLD = 5, 0.8
 RECALL, ROWS = 0.9999, 4
 #: n-grams of the sets in one block.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
