@@ -28,6 +28,8 @@ from quarry.llm.words import Words
 SAMPLE_ROWS = 20_000
 BITS = 22
 TERMS = 1024
+#: Least chi-square of a term that is kept, and least texts that hold it.
+LEAST_CHI, LEAST_TEXTS = 15.0, 3
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.02, 1e-4
 
@@ -90,8 +92,8 @@ def _fit(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> Machine:
     seen, seen1 = np.bincount(which), np.bincount(which, weights=y[row])
     expected = seen * positive / n
     chi = (seen1 - expected) ** 2 / (expected * (1 - positive / n) * np.maximum(1 - seen / n, 1e-9))
-    chi[seen < 3] = -1
-    best = np.sort(np.argsort(-chi, kind="stable")[: min(TERMS, int((seen >= 3).sum()))])
+    chi[seen < LEAST_TEXTS] = 0
+    best = np.sort(np.argsort(-chi, kind="stable")[: min(TERMS, int((chi >= LEAST_CHI).sum()))])
     place = np.full(len(found), -1)
     place[best] = np.arange(len(best))
     keep = place[which] >= 0
