@@ -6,7 +6,10 @@ record's header is parsed first, and the block of a record that isn't wanted, or
 whose payload isn't asked for (option ``payload``: ``all`` or ``none``), is stepped
 over unread. ``df.write.format("warc").mode("append").save(folder)`` writes each
 task's records to files of its own, which are moved in place when the job commits;
-files of lost attempts are never seen. Paths are any that pyarrow.fs opens.
+files of lost attempts are never seen. Files are ``.warc.gz``, a gzip member a record, whose
+extra field ``sl`` holds its compressed length, so that the reader inflates a header
+alone and steps to the next member; members without it and plain ``.warc`` are read
+too. Paths are any that pyarrow.fs opens.
 
 Null target_uri: no such header. Null payload: empty. Line ends in header values
 become blanks. Empty folders give no rows.
@@ -14,7 +17,10 @@ become blanks. Empty folders give no rows.
 
 from __future__ import annotations
 
+import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +46,8 @@ DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
+#: Bytes read for a header at first and at a time after that; zlib's level.
+HEAD_BYTES, READ_BYTES, LEVEL = 2048, 1 << 18, 6
 
 
 def _filesystem(path: str):
@@ -79,7 +87,7 @@ class WarcReader(DataSourceReader):
         system, root = _filesystem(self.path)
         found = system.get_file_info(fs.FileSelector(root, recursive=False, allow_not_found=True))
         out, size = [[]], 0
-        for f in sorted((f for f in found if f.base_name.endswith(".warc")), key=lambda f: f.path):
+        for f in sorted((f for f in found if f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path):
             if out[-1] and size + f.size > self.split:
                 out.append([])
                 size = 0
@@ -100,7 +108,8 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with system.open_input_file(path) as f:
-                for headers, payload in records(f, self.wanted, self.payload):
+                found = members(f, self.wanted, self.payload) if path.endswith(".gz") else records(f, self.wanted, self.payload)
+                for headers, payload in found:
                     rows.append((headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers.get("WARC-Target-URI"), list(headers.items()), payload))
                     size += len(payload or b"") + 500
                     if size > BATCH_BYTES:
@@ -125,10 +134,7 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
                 raise ValueError(f"a record at byte {at} has no end of header")
             f.seek(base + len(buffer))
             buffer += f.read(1 << 16)
-        head = buffer[at - base : end].decode("utf-8").split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = dict(line.split(": ", 1) for line in head[1:] if ": " in line)
+        headers = _headers(buffer[at - base : end], at)
         start, length = base + end + 4, int(headers["Content-Length"])
         if wanted(headers):
             block = None
@@ -137,7 +143,7 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
                 if len(have) < length:
                     f.seek(start + len(have))
                     have += f.read(length - len(have))
-                block = have.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else have
+                block = _payload(headers, have)
             yield headers, block
         at = start + length + 4
         cut = min(max(at - base, 0), len(buffer))
@@ -147,6 +153,58 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
             buffer, base = buffer[cut:], at
 
 
+def _headers(raw: bytes, at: int) -> dict[str, str]:
+    first, *lines = raw.decode("utf-8").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no record begins at byte {at}")
+    return dict(line.split(": ", 1) for line in lines if ": " in line)
+
+
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else block
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member whose extra field says how long it is, compressed and not."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    size = 10 + 2 + 12 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def members(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """As ``records``, for a gzip member a record; only headers of unwanted records are inflated."""
+    total, at = f.size(), 0
+    source = io.BufferedReader(f, READ_BYTES) if hasattr(f, "readinto") else f
+    while at < total:
+        source.seek(at)
+        fed = source.read(HEAD_BYTES)
+        sized = len(fed) >= 24 and fed[3] & 4 and fed[12:16] == b"sl\x08\x00"
+        inflate, data, rest, read = zlib.decompressobj(31), b"", fed, len(fed)
+
+        def more(limit: int = 0) -> None:
+            nonlocal data, rest, read
+            if not rest:
+                rest = source.read(READ_BYTES)
+                read += len(rest)
+                if not rest:
+                    raise ValueError(f"the record at byte {at} is cut off")
+            data += inflate.decompress(rest, limit)
+            rest = inflate.unconsumed_tail
+
+        while (end := data.find(b"\r\n\r\n")) < 0 and not inflate.eof:
+            more(HEAD_BYTES)
+        headers = _headers(data[:end] if end >= 0 else data, at)
+        take = wanted(headers)
+        if take and payload or not sized:
+            while not inflate.eof:
+                more()
+        if take:
+            yield headers, _payload(headers, data[end + 4 : end + 4 + int(headers["Content-Length"])]) if payload else None
+        at += struct.unpack("<I", fed[16:20])[0] if sized else read - len(inflate.unused_data)
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -161,9 +219,9 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > self.limit:
                     if out:
                         out.close()
-                    paths.append(f"{root}/_pending/{uuid.uuid4().hex}.warc")
-                    out, size = system.open_output_stream(paths[-1]), 0
-                data = record(row)
+                    paths.append(f"{root}/_pending/{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(paths[-1], compression=None), 0
+                data = member(record(row))
                 out.write(data)
                 size += len(data)
         if out:
@@ -174,7 +232,7 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = _filesystem(self.path)
         for k, m in enumerate(m for m in messages if m):
             for j, p in enumerate(m.paths):
-                system.move(p, f"{root}/part-{k:06d}-{j:04d}-{uuid.uuid4().hex[:8]}.warc")
+                system.move(p, f"{root}/part-{k:06d}-{j:04d}-{uuid.uuid4().hex[:8]}.warc.gz")
 
     def abort(self, messages: list) -> None:
         system, _ = _filesystem(self.path)

@@ -287,9 +287,17 @@ def test_warc_reader_steps_over_blocks():
             return self.data[self.at - n : self.at]
 
     rows = [{"payload": b"q" * 3_000_000, "record_type": "response", "record_id": f"r{k}", "target_uri": None, "headers": {}} for k in range(4)]
-    f = File(b"".join(map(warc.record, rows)))
-    assert [h["WARC-Record-ID"] for h, _ in warc.records(f, lambda h: h["WARC-Record-ID"] == "r2", False)] == ["r2"]
-    assert f.got < 1_000_000
+    import gzip
+
+    for row in rows:
+        row["payload"] = np.random.default_rng(1).bytes(3_000_000)
+    for read, data in ((warc.records, b"".join(map(warc.record, rows))), (warc.members, b"".join(warc.member(warc.record(r)) for r in rows))):
+        f = File(data)
+        assert [h["WARC-Record-ID"] for h, _ in read(f, lambda h: h["WARC-Record-ID"] == "r2", False)] == ["r2"]
+        assert f.got < 1_000_000
+    assert gzip.decompress(data) == b"".join(map(warc.record, rows))
+    for own in (data, b"".join(gzip.compress(warc.record(r)) for r in rows)):
+        assert [p for _, p in warc.members(File(own), lambda h: True, True)] == [r["payload"] for r in rows]
 
 
 def test_url_filter(spark):
