@@ -66,7 +66,8 @@ def test_strategies():
 
     cfg = chunking.ChunkConfig("semantic", semantic_max=200, semantic_min=40, overlap_enabled=False)
     found = chunking.cut("今天天气不错。我们去散步吧！" * 40, cfg, embed)
-    assert found and all(chunking.tokens(c) <= 200 for c in found)
+    # the limit is on the sum of the sentences' rounded estimates; the estimate of the whole group can lie above it
+    assert len(found) > 1 and all(sum(map(chunking.tokens, chunking.split_sentences(c))) <= 200 for c in found)
 
 
 def test_heading_moves_on():
