@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import count_tokens
+from quarry.operators import models
 
 
 def stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -93,3 +94,10 @@ def add_chunks(chunks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFram
         "vector": F.lit(None).cast(chunks.schema["vector"].dataType), "chunk_pos": F.col("last") + 1 + F.monotonically_increasing_id(),
     })
     return chunks.unionByName(made.select(chunks.columns))
+
+
+def index_pending(chunks: DataFrame, dim: int = models.DIM) -> DataFrame:
+    """``chunks`` with offline vectors for those that have none."""
+    kind = chunks.schema["vector"].dataType
+    made = models.embed(pending(chunks).select("chunk_id", "text"), "chunk_id", dim)
+    return set_vectors(chunks, made.select("chunk_id", F.col("vector").cast(kind).alias("new_vector")))

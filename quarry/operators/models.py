@@ -40,6 +40,14 @@ def components(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
     return sums.join(norm, key).where("v <> 0").select(key, "idx", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
 
 
+def embed(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
+    """key, vector: the components as a dense array; a text without words has zeros."""
+    found = components(texts, key, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return texts.select(key).distinct().join(found, key, "left").select(key, F.when(F.col("m").isNull(), zeros).otherwise(dense).alias("vector"))
+
+
 def rerank(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, top_n: int = 20) -> DataFrame:
     """query_id, chunk_pos, rerank, place: candidates scored by their vectors' product, the first ``top_n`` of each query."""
     from pyspark.sql import Window

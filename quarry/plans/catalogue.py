@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversations, knowledge_base, models, retrieval
+from quarry.operators import chunking, conversations, dialogue, knowledge_base, models, retrieval
 from quarry.operators.retrieval import RetrieveConfig
+from quarry.sources import files
 from quarry.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,3 +420,71 @@ def set_vectors(spark, sf):
     zero = F.array(F.lit(0.0).cast("float"))
     filled = knowledge_base.set_vectors(kb, kb.where("chunk_id % 2 = 0").select("chunk_id", F.coalesce("vector", zero).alias("new_vector")))
     return knowledge_base.status(_kb_docs(spark), filled, "all")
+
+
+@query(f"with {SQL_KB} select chunk_id, doc_id from kb where chunk_id % 5 <> 0")
+def delete_chunk(spark, sf):
+    kb = kb_chunks(spark, sf)
+    return knowledge_base.delete_chunks(kb, kb.where("chunk_id % 5 = 0").select("chunk_id")).select("chunk_id", "doc_id")
+
+
+@query(f"with {SQL_KB} select chunk_id, coalesce(len(vector), 64)::bigint as dim from kb")
+def index_pending(spark, sf):
+    return knowledge_base.index_pending(kb_chunks(spark, sf), 64).select("chunk_id", F.size("vector").cast("long").alias("dim"))
+
+
+# -- sources --------------------------------------------------------------------------------
+
+
+@query("select doc_id, substring(coalesce(text, ''), 1, 20000) as text, length(coalesce(text, ''))::bigint as total from documents")
+def document_text(spark, sf):
+    return files.read_text(table(spark, sf, "documents"))
+
+
+@query("select doc_id, substring(coalesce(text, ''), 1, 500) as preview from documents")
+def document_preview(spark, sf):
+    return files.preview(table(spark, sf, "documents")).select("doc_id", "preview")
+
+
+@query()
+def json_pretty(spark, sf):
+    return table(spark, sf, "events").select("event_id", files.pretty_json(F.col("props")).alias("text"))
+
+
+# -- dialogue -------------------------------------------------------------------------------
+
+SQL_ANSWERS = "answers as (select item_id as query_id, '" + dialogue.ANSWER_HEAD + "' || substring(string_split(coalesce(text, ''), chr(10))[-1], 1, 60) || '" + dialogue.ANSWER_TAIL + "' as answer from benchmark)"
+
+
+def _answers(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), dialogue.offline_answer(F.col("text")).alias("answer"))
+
+
+@query(f"with {SQL_ANSWERS} select query_id, answer from answers")
+def offline_answer(spark, sf):
+    return _answers(spark, sf)
+
+
+@query(f"""with {SQL_ANSWERS}, n as (select *, (length(answer) + 11) // 12 as pieces from answers)
+ select query_id as run_id, i::int as seq, case when i < pieces then 'delta' else 'done' end as type, case when i < pieces then substring(answer, (12 * i + 1)::bigint, 12) else '' end as payload
+ from (select *, unnest(range(pieces + 1)) as i from n)""")
+def answer_events(spark, sf):
+    return dialogue.answer_events(_answers(spark, sf))
+
+
+@query("select item_id as query_id, 0 as variant, text, 'none' as mode from benchmark")
+def rewrite_none(spark, sf):
+    return dialogue.rewrite(questions(spark, sf))
+
+
+@query(f"select item_id as query_id, item_id % 2 = 1 as refused, case when item_id % 2 = 1 then '{dialogue.REFUSAL}' end as answer from benchmark")
+def no_answer(spark, sf):
+    q = questions(spark, sf)
+    return dialogue.no_answer(q, q.where("query_id % 2 = 0"))
+
+
+@query("""with t as (select conv_id as query_id, turn as ref, length(coalesce(text, ''))::bigint as tokens from conversations)
+ select * from (select query_id, ref, tokens, (sum(tokens) over (partition by query_id order by ref rows unbounded preceding))::bigint as used from t) where used <= 400""")
+def context_budget(spark, sf):
+    c = table(spark, sf, "conversations")
+    return dialogue.within_budget(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("ref"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens")), 400)
