@@ -150,6 +150,9 @@ def test_quality_rules(spark, docs, nothing):
     assert sorted(((r["doc_id"], *(r[c] for c in quality.BASE), r["base_failed"]) for r in got), key=repr) == sorted(((i, *plain_quality(t)) for i, t in TEXTS), key=repr)
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert kept[9] and kept[0] and not any(kept[k] for k in (4, 5, 6, 7, 12, 13))
+    many = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, quality int")
+    drawn = [{tuple(r) for r in quality._sample(many.repartition(n), 40).collect()} for n in (1, 7)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) <= 40
     assert quality.judge(nothing, labels).isEmpty() and quality.judge(docs, labels.limit(0)).where("kept").count() > 0
 
 
