@@ -24,6 +24,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
@@ -478,7 +480,7 @@ def rewrite_none(spark, sf):
 
 
 @query(f"select item_id as query_id, item_id % 2 = 1 as refused, case when item_id % 2 = 1 then '{dialogue.REFUSAL}' end as answer from benchmark")
-def no_answer(spark, sf):
+def refusals(spark, sf):
     q = questions(spark, sf)
     return dialogue.no_answer(q, q.where("query_id % 2 = 0"))
 
