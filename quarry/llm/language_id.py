@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices
@@ -34,18 +34,18 @@ def letters(text: str | Column) -> Column:
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """language -> dictionary, from rows with a text and a lang.
 
-    About ``sample_texts`` rows of each language, dealt by a hash of the text, fill
+    The ``sample_texts`` distinct texts of each language with the least hashes fill
     up to ``dict_bytes``; this is the bounded sample that the model is fitted on.
+    Copies count once, so every language with a text has a dictionary.
     """
     known = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", letters("text").alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
-        return {}
-    every = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, max(1, n // sample_texts))])
-    drawn = known.where(F.pmod(F.xxhash64("text"), every[F.col("lang")]) == 0).distinct()
-    texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in drawn.select("lang", "text", F.xxhash64("text", F.lit(1)).alias("h")).orderBy("h").limit(2 * sample_texts * len(counts)).collect():
-        texts[r["lang"]].append(r["text"])
+    known = known.withColumn("h", F.xxhash64("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = known.select("lang", "h").distinct().withColumn("k", least).where(F.col("k") <= sample_texts).drop("k")
+    drawn = known.join(F.broadcast(sample), ["lang", "h"]).distinct()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["text"])):  # sample_texts rows a language
+        texts.setdefault(r["lang"], []).append(r["text"])
     out = {}
     for lang, found in sorted(texts.items()):
         parts, size = [], 0
@@ -55,8 +55,9 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = D
                 continue
             parts.append(raw)
             size += len(raw)
-        out[lang] = b"\n".join(parts)[-dict_bytes:] if parts else b""
-    return {k: v for k, v in out.items() if len(v) >= 8}
+        raw = b"\n".join(parts)[-dict_bytes:]
+        out[lang] = b"\n".join([raw] * -(-8 // len(raw)))  # of 8 bytes at least
+    return out
 
 
 _compressors: dict[tuple, list] = {}
