@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate as contamination
 from quarry.llm import language_id, near_duplicates, packing, quality
+from quarry.llm.keys import KEY, keyed
 from quarry.storage import materialise, table
 
 
-def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
+def _matching(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id and text are (``left_semi``) or aren't in ``decided`` (doc_id, KEY)."""
+    own = keyed(docs)
+    decided = decided.select(F.col("doc_id").alias("__id"), *[F.col(k).alias(f"{k}d") for k in KEY])
+    same = own["doc_id"].eqNullSafe(decided["__id"])
+    for k in KEY:
+        same = same & (own[k] == decided[f"{k}d"])
+    return own.join(decided, same, how).drop(*KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +40,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class; one row of each repeated id."""
-    found = near_duplicates.link_duplicates(docs)
-    first = _matching(docs, found.where("doc_id = class_id"), "left_semi").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.union(docs.where("doc_id is null"))
+    """The id and text with the least doc_id of each class, null ids last; one row of each."""
+    # one number for an id and its text stands for the id, which may be null or shared by different texts
+    numbered = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    found = near_duplicates.link_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
+    classes = found.select(F.col("doc_id").alias("__row"), "class_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    least = numbered.select("doc_id", "__row").distinct().join(classes, "__row").groupBy("class_id").agg(F.min(order).alias("least"))
+    first = numbered.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi")
+    return first.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination.decide(docs, table(spark, sf_dir, "benchmark"))
     return _matching(docs, found.where("n_hit > 0"), "left_anti")
 
 

@@ -12,9 +12,9 @@ anchors in a broadcast join; the anchors' number is checked first, and more than
 window must begin and end inside the text) and one neighbouring word are tested in
 the join itself; the windows left are compared word by word.
 
-Null texts have no words; null items have no windows. Rows that share a doc_id
-count as one document: n_words of the longest, hits of all. Rows that share an
-item_id are one item. Other columns are ignored.
+Null texts have no words; null items have no windows. Every row is decided by its
+own text: rows are merged only where id and text are equal, and counted. Rows that
+share an item_id are one item. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.keys import KEY, keyed
 from quarry.storage import materialise
 
 WINDOW = 10
@@ -58,37 +59,44 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def occurrences(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """doc_id, item_id, spans (start and end of each occurring window, may be none) for one block of anchors.
+    """doc_id, KEY, item_id, spans (start and end of each occurring window, may be none) for one block of anchors.
 
     Empty spans aren't filtered here: Catalyst would move that test into the join, which
     then leaves generated code and copies a whole text for every word.
     """
-    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("p", "word"))
+    each = docs.select("doc_id", *KEY, words(F.col("text")).alias("w")).select("doc_id", *KEY, "w", F.posexplode_outer("w").alias("p", "word"))
     p, o, w, iw = F.col("p"), F.col("o"), F.col("w"), F.col("iw")
     beside = (F.get(w, p - 1) == F.get(iw, o - 1)) | (F.get(w, p + 1) == F.get(iw, o + 1)) | (F.col("k") == 1)
     first = F.greatest(F.col("lo"), o - p)  # the window begins in the text
     last = F.least(F.col("hi"), F.size("w") - F.col("k") - p + o)  # and ends there
     met = each.join(F.broadcast(some), "word").where(beside & (first <= last))
-    small = met.select("doc_id", "item_id", "k", (p - o + first).alias("at"), (last - first).alias("more"), F.slice(w, p - o + first + 1, last - first + F.col("k")).alias("a"), F.slice(iw, first + 1, last - first + F.col("k")).alias("b"))
+    small = met.select("doc_id", *KEY, "item_id", "k", (p - o + first).alias("at"), (last - first).alias("more"), F.slice(w, p - o + first + 1, last - first + F.col("k")).alias("a"), F.slice(iw, first + 1, last - first + F.col("k")).alias("b"))
     # "a" and "b" are used twice, so that Catalyst keeps cutting them out in the join's generated code: rows that leave it hold no whole text
     same = small.withColumn("eq", F.when(F.size("a") == F.size("b"), F.zip_with("a", "b", lambda x, y: x == y)))
     whole = F.filter(F.sequence(F.lit(0), F.col("more")), lambda j: F.forall(F.slice(F.col("eq"), j + 1, F.col("k")), lambda x: x))
     spans = F.transform(whole, lambda j: F.struct((F.col("at") + j).alias("start"), (F.col("at") + j + F.col("k")).alias("end")))
-    return same.select("doc_id", "item_id", spans.alias("spans"))
+    return same.select("doc_id", *KEY, "item_id", spans.alias("spans"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, bound: int = ANCHORS) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside occurring windows), spans (where), items (ascending as strings) of every document."""
-    docs = docs.select("doc_id", "text")
+def decide(docs: DataFrame, items: DataFrame, window: int = WINDOW, bound: int = ANCHORS) -> DataFrame:
+    """doc_id, KEY, copies (rows with this id and text), n_words, n_hit (words inside occurring windows), spans (where), items (ascending as strings) of every id and text."""
+    docs = keyed(docs.select("doc_id", "text"))
     found = anchors(docs, items, window)
     n = max(1, -(-found.count() // bound))
     blocks = [found.where(F.pmod(F.xxhash64("item_id", "iw"), F.lit(n)) == k) if n > 1 else found for k in range(n)]
     hits = reduce(DataFrame.union, [occurrences(docs, b) for b in blocks])
     kind = "array<struct<start:int,end:int>>"
-    none = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(None).cast("string").alias("item"), F.lit(None).cast(kind).alias("spans"))
-    both = none.union(hits.select("doc_id", F.lit(0).cast("long"), F.when(F.size("spans") > 0, F.col("item_id").cast("string")), F.col("spans").cast(kind)))
-    merged = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    none = docs.select("doc_id", *KEY, F.lit(1).cast("long").alias("copies"), F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(None).cast("string").alias("item"), F.lit(None).cast(kind).alias("spans"))
+    both = none.union(hits.select("doc_id", *KEY, F.lit(0).cast("long"), F.lit(0).cast("long"), F.when(F.size("spans") > 0, F.col("item_id").cast("string")), F.col("spans").cast(kind)))
+    merged = both.groupBy("doc_id", *KEY).agg(F.sum("copies").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"))
     sorted_spans = F.array_sort("spans")
-    return merged.select("doc_id", "n_words", F.aggregate(sorted_spans, start, step, lambda a: a["n"]).cast("long").alias("n_hit"), sorted_spans.alias("spans"), F.sort_array("items").alias("items"))
+    return merged.select("doc_id", *KEY, "copies", "n_words", F.aggregate(sorted_spans, start, step, lambda a: a["n"]).cast("long").alias("n_hit"), sorted_spans.alias("spans"), F.sort_array("items").alias("items"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, bound: int = ANCHORS) -> DataFrame:
+    """doc_id, n_words, n_hit, spans, items of every row of ``docs``, as in ``decide``."""
+    found = decide(docs, items, window, bound)
+    rows = found.select("doc_id", "n_words", "n_hit", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
+    return rows.drop("__copy")
