@@ -156,24 +156,38 @@ def test_quality_rules(spark, docs, nothing):
     assert quality.judge(nothing, labels).isEmpty() and quality.judge(docs, labels.limit(0)).where("kept").count() > 0
 
 
-def test_log_ratio_by_hand(spark):
-    from math import log
-
-    texts = [(k, prose(30, k)) for k in range(6)]
-    rows = spark.createDataFrame(texts, "doc_id long, text string")
-    scored, _ = quality.score(rows, spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "doc_id long, quality int"))
-    raw, target, grams = collections.Counter(), collections.Counter(), {}
+def plain_scores(texts, trusted):
+    """The mean log-ratio of each text, less that of the ids in ``trusted``, over words and words with their follower."""
+    raw, target, grams, chars = collections.Counter(), collections.Counter(), {}, [0, 0]
     for k, t in texts:
-        w = t.split()
-        grams[k] = w + list(zip(w, w[1:]))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[k] = w + list(zip(w, [*w[1:], None]))
         raw.update(grams[k])
-        if k < 2:
+        chars[0] += len(t or "")
+        if k in trusted:
             target.update(grams[k])
-    b, p = quality.BUCKETS, quality.PRIOR
-    base = log((sum(target.values()) + p * b) / (sum(raw.values()) + p * b))
-    for r in scored.collect():
-        want = sum(log((target[g] + p) / (raw[g] + p)) - base for g in grams[r["doc_id"]]) / len(grams[r["doc_id"]])
-        assert r["score"] == pytest.approx(want, abs=0.02)  # a few of the hashed grams may share a counter
+            chars[1] += len(t or "")
+    p, share = quality.PRIOR, max(chars[1], 1) / max(chars[0], 1)
+    return {k: np.mean([np.log((target[g] + p * share) / (raw[g] + p)) - np.log(share) for g in gs]) if gs else None for k, gs in grams.items()}
+
+
+def test_log_ratio_and_verdict_by_hand(spark):
+    junk = random.Random(2)
+    texts = [(k, prose(40, k)) for k in range(60)] + [(100 + k, " ".join(f"{junk.randrange(10**9):x}" for _ in range(40))) for k in range(30)] + [(200, None), (201, "one"), (202, "le mot " * 200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k, _ in texts if k % 2 == 0 and k < 200], "doc_id long, quality int")
+    left_out = {r[0] for r in labels.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0).select("doc_id").collect()}
+    labelled = {k: v for k, v in map(tuple, labels.collect())}
+    want = plain_scores(texts, {k for k, v in labelled.items() if v and k not in left_out})
+    cut = {v: np.percentile([want[k] for k in labelled if k in left_out and labelled[k] == v], [0.5, 50]) for v in (0, 1)}
+    threshold = min(cut[1][0], (cut[0][1] + cut[1][1]) / 2)
+    for n in (1, 7):
+        got = {r["doc_id"]: r for r in quality.judge(rows.repartition(n), labels).collect()}
+        for k, t in texts:
+            assert got[k]["score"] == (want[k] if want[k] is None else pytest.approx(want[k], abs=0.02))  # a few of the hashed n-grams may share a counter
+            failed = plain_quality(t)[-1]
+            assert got[k]["base_failed"] == failed and (got[k]["kept"] == (not failed and want[k] >= threshold) or abs(want[k] - threshold) < 0.02), k
+    assert sum(got[k]["kept"] for k in range(60)) > 55 and not any(got[100 + k]["kept"] for k in range(30))
 
 
 def low_words(t):
