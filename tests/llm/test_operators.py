@@ -211,7 +211,7 @@ def test_decontamination(spark, docs, nothing):
                     found.add(str(item))
                     hit.update(range(s, s + k))
         merged[i] = (len(w), len(hit), sorted(found))
-    for bound in (decontaminate.ANCHORS, 2):
+    for bound in (decontaminate.BOUND, 2500, 2):
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, table, bound=bound).collect()}
         assert got == merged
     assert decontaminate.decontaminate(nothing, table).isEmpty()
