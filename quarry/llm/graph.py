@@ -1,4 +1,4 @@
-"""Connected components of edge tables."""
+"""Connected components of edge tables, and joins with a table of unique keys that bear frequent ones."""
 
 from __future__ import annotations
 
@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from quarry.storage import materialise
 
+#: A key is frequent above this number of rows, and above this share of all rows; so at most SHARE keys are.
+FREQUENT, SHARE = 1000, 1000
+
+
+def join_unique(rows: DataFrame, side: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``side``, whose ``key`` is unique and whose ``m`` says how many rows have it (less m).
+
+    ``total``: an upper bound of the rows, up to a constant factor. Frequent keys, of
+    which there are a constant number at most, are broadcast, so that no task gets all rows of one.
+    """
+    bound = max(FREQUENT, total // SHARE)
+    hot = F.broadcast(side.where(F.col("m") > bound).drop("m"))
+    cold = side.where(F.col("m") <= bound).drop("m")
+    return rows.join(hot.select(key), key, "left_anti").join(cold, key).unionByName(rows.join(hot, key))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of ``edges`` (a, b; longs).
@@ -21,11 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or not mark["n"]:
             break
-        before = mark
+        before, total = mark, mark["n"]
         both = now.select(F.col("a").alias("v"), F.col("b").alias("u")).union(now.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("v").agg(F.min("u").alias("t"), F.count("*").alias("m")).withColumn("t", F.least("t", "v"))
+        large = join_unique(both.where("u > v"), least, ["v"], total).select(F.col("u").alias("a"), F.col("t").alias("b")).distinct()
+        large = materialise(large, "components")
+        least = large.groupBy("a").agg(F.min("b").alias("t"), F.count("*").alias("m"))
+        tied = join_unique(large, least, ["a"], total).select(F.explode(F.array(F.struct("a", F.col("t").alias("b")), F.struct(F.col("b").alias("a"), F.col("t").alias("b")))).alias("e")).select("e.*")
         now = materialise(tied.where("a <> b").distinct(), "components")
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -6,7 +6,9 @@ Jaccard similarity of their n-gram sets is 0.8 or more.
 
 1. Each text becomes its set's hash and one hash per band; band and row numbers are
    chosen so that a pair at the threshold shares a band with probability ``RECALL``.
-2. Texts with equal sets are one class of copies; one stands for all.
+2. Texts with equal sets are one class of copies; one row, that with the least id,
+   stands for all. Sets are known by their hashes, rows by a hash of id and text, so
+   ids may be null or repeated with other texts, and of any type that has an order.
 3. Texts that share a band hash are tied to the least of them, in a star, never as
    all pairs; components of these ties hold every candidate pair.
 4. Each component's sets meet in tasks of bounded size: a large one is dealt into
@@ -15,8 +17,9 @@ Jaccard similarity of their n-gram sets is 0.8 or more.
    spanning tree of the links leave a task.
 5. Components of the links are the classes.
 
-Result: one row per document. Null ids are never compared (class null, no links).
-Texts without words (null, empty) are a class each, without links.
+Result: one row per document. Null ids are compared like others and come last in
+order: a class has the id null only where no row of it has an id. Texts without words
+(null, empty) are a class each, without links. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices, texts
-from quarry.llm.graph import components
+from quarry.llm.graph import components, join_unique
 from quarry.llm.words import Words
 from quarry.storage import materialise
 
@@ -73,8 +76,17 @@ def shingles(batch: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(text[fresh], minlength=len(batch)), h[fresh]
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, r: a hash of both, by which rows are known."""
+    return docs.select("doc_id", "text", row_key().alias("r"))
+
+
 def signatures(docs: DataFrame, n_bands: int, rows: int, n: int) -> DataFrame:
-    """doc_id, n (its n-grams), k1, k2 (a hash of the set) and its bands' hashes; no bands without words."""
+    """doc_id, r, n (its n-grams), k1, k2 (two hashes of the set) and its bands' hashes; no bands without words."""
     rng = np.random.Generator(np.random.PCG64(11))
     xor, times = rng.integers(0, 1 << 63, (2, n_bands * rows), dtype=np.uint64) | np.uint64(1)
 
@@ -93,9 +105,10 @@ def signatures(docs: DataFrame, n_bands: int, rows: int, n: int) -> DataFrame:
                 keys[1, some] = np.add.reduceat(_mix(h + np.uint64(77)), start).view(np.int64)
             edges = np.concatenate(([0], np.cumsum(np.where(size > 0, n_bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.ascontiguousarray(out.T).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("r"), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "r", "n", "k1", "k2", "bands"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, r long, n long, k1 long, k2 long, bands array<long>")
 
 
 class Block:
@@ -182,6 +195,8 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            nodes = b.column("node").to_numpy()
+            b = b.take(pa.array(np.sort(np.unique(nodes, return_index=True)[1])))  # a row that is repeated many times is one set
             size, h = shingles(texts(b), n)
             stop = (8 * np.cumsum(size)).tolist()
             raw = h.tobytes()
@@ -191,35 +206,54 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "comp", "blocks", "text").mapInArrow(run, "node long, comp long, blocks int, set binary")
 
 
-def link_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, copy_id (least id with an equal set), class_id (least id of its linked class),
-    n_copies and n_links (linked texts with another set) of every document.
-
-    The pairs between representatives aren't listed; n_links counts them in full.
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows of ``keyed`` documents; and of every set k1, k2, n_copies, n_links, and
+    own and whole: (unnamed, doc_id, r) of the row that stands for the set and for its linked class.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, bands(threshold, recall, rows), rows, n), "signatures")
-    copies = sig.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    copies = materialise(copies, "copies")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "r")
+    copies = sig.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("own"), F.first("n").alias("n"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    copies = materialise(copies.withColumn("node", F.col("k1")), "copies")
     banded = copies.select("node", F.posexplode("bands").alias("band", "h"))
-    met = banded.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
-    ties = banded.join(met, ["band", "h"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    met = banded.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1")
+    total = copies.count()
+    ties = join_unique(banded, met, ["band", "h"], total).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     members = components(ties).select("node", F.col("label").alias("comp"))
-    sized = members.join(copies.select("node", "n"), "node")
-    blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    members = materialise(sized.join(blocks, "comp").select("node", "comp", "blocks"), "members")
-    found = docs.join(members, docs["doc_id"] == members["node"])
-    sets = sets_of(found, n)
+    sized = members.join(copies.select("node", "n", "own.r"), "node")
+    blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("m"))
+    members = materialise(join_unique(sized, blocks, ["comp"], total).select("node", "comp", "blocks", "r"), "members")
+    sets = sets_of(docs.select("r", "text").join(members, "r"), n)
     dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "set")
     together = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node")
     links = materialise(verify(together, threshold), "links")
-    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(copies.select("node", "own"), "node")
+    firsts = labels.groupBy("label").agg(F.min("own").alias("whole"), F.count("*").alias("m"))
+    labelled = join_unique(labels, firsts, ["label"], total).select("node", "whole")
     counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    described = copies.join(labels, "node", "left").join(counted, "node", "left").select("k1", "k2", F.col("node").alias("copy_id"), F.coalesce("label", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    result = ["doc_id", "copy_id", "class_id", "n_copies", "n_links"]
-    worded = sig.where("n > 0").join(described, ["k1", "k2"]).select(result)
+    described = copies.join(labelled, "node", "left").join(counted, "node", "left")
+    none = F.lit(0).cast("long")
+    return sig, described.select("k1", "k2", "n_copies", F.coalesce("n_links", none).alias("n_links"), "own", F.coalesce("whole", "own").alias("whole"))
+
+
+def link_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, copy_id (least id with an equal set), class_id (least id of its linked class),
+    n_copies and n_links (linked texts with another set) of every document.
+
+    The pairs between representatives aren't listed; n_links counts them in full.
+    """
+    sig, sets = classes(keyed(docs), threshold, n, recall, rows, block)
+    sets = materialise(sets.select("k1", "k2", F.col("own.doc_id").alias("copy_id"), F.col("whole.doc_id").alias("class_id"), "n_copies", "n_links", F.col("n_copies").alias("m")), "sets")
+    worded = join_unique(sig.where("n > 0"), sets, ["k1", "k2"], sig.count()).select("doc_id", "copy_id", "class_id", "n_copies", "n_links")
     own, one, none = F.col("doc_id"), F.lit(1).cast("long"), F.lit(0).cast("long")
-    wordless = sig.where("n = 0").select("doc_id", own.alias("copy_id"), own.alias("class_id"), one, none)
-    unnamed = docs.where("doc_id is null").select("doc_id", own.alias("copy_id"), own.alias("class_id"), one, none)
-    return worded.union(wordless).union(unnamed)
+    return worded.union(sig.where("n = 0").select("doc_id", own.alias("copy_id"), own.alias("class_id"), one, none))
+
+
+def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the row of ``docs`` with the least doc_id of each class, null ids last; rows with
+    equal id and text are one. Texts without words stay.
+    """
+    marked = docs.withColumn("__r", row_key())
+    sig, sets = classes(keyed(docs))
+    stay = materialise(sets.select(F.col("whole.r").alias("__r")).union(sig.where("n = 0").select("r")).distinct(), "representatives")
+    return marked.join(stay, "__r", "left_semi").dropDuplicates(["__r"]).select(*[F.col(f"`{c}`") for c in columns])

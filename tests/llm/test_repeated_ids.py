@@ -1,12 +1,13 @@
 """Rows that share an id, null as well, but not the text are decided each for itself."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, near_duplicates
 
 LEAK = " ".join(f"leak{k}" for k in range(12))
 PROSE = [" ".join(f"w{n}x{k}" for k in range(40)) for n in range(8)]
@@ -31,3 +32,36 @@ def test_stages_of_each_row(spark, docs, tmp_path):
     assert rows(corpus_pipeline.decontamination) == Counter(r for r in ROWS if LEAK not in r[1])
     assert rows(corpus_pipeline.quality_rules) == Counter(r for r in ROWS if "short" not in r[1])
     assert rows(corpus_pipeline.near_duplicate_join) == Counter(set(ROWS))
+
+
+def test_links_of_each_text(spark):
+    a, b = PROSE[0], PROSE[1]
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, b + " z"), (None, PROSE[2]), (None, PROSE[2] + " z"), (1, a)]
+    links = {a: 1, a + " x": 1, b: 2, b + " y": 2, b + " z": 2, PROSE[2]: 1, PROSE[2] + " z": 1}
+    first = {a: 1, a + " x": 1, b: 1, b + " y": 1, b + " z": 1, PROSE[2]: None, PROSE[2] + " z": None}
+    want = Counter((i, first[t], links[t]) for i, t in rows)
+    got = near_duplicates.link_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+    named = near_duplicates.link_duplicates(spark.createDataFrame([(f"id{i}" if i else None, t) for i, t in rows], "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in named) == Counter((f"id{i}" if i else None, first[t] and "id1") for i, t in rows)
+
+
+def test_many_rows_of_one_text(spark):
+    rows = [(None, PROSE[0])] * 2500 + [(5, PROSE[0]), (6, PROSE[1] + " " + LEAK)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, LEAK)], "item_id long, text string")).groupBy("doc_id", "n_hit").count().collect()
+    assert {tuple(r) for r in got} == {(None, 0, 2500), (5, 0, 1), (6, 12, 1)}
+    linked = near_duplicates.link_duplicates(docs).groupBy("doc_id", "class_id", "n_copies").count().collect()
+    assert {tuple(r) for r in linked} == {(None, 5, 2501, 2500), (5, 5, 2501, 1), (6, 6, 1, 1)}
+
+
+def test_items_of_many_words(spark):
+    r = random.Random(3)
+    long = [f"v{r.randrange(3000)}" for _ in range(8000)]
+    docs = spark.createDataFrame([(1, " ".join(long[4000:4030])), (2, " ".join(long)), (3, " ".join(long[7990:] + long[:5])), (4, PROSE[0])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    want = {(1, 30, 30), (2, 8000, 8000), (3, 15, 10), (4, 40, 0)}
+    for bound in (decontaminate.BOUND, 1000):
+        assert {(x["doc_id"], x["n_words"], x["n_hit"]) for x in decontaminate.decontaminate(docs, items, bound=bound).collect()} == want
+    found = decontaminate.anchors(docs, items).agg(F.sum(F.size("iw"))).first()[0]
+    assert found < 2 * decontaminate.WINDOW * 8000
