@@ -40,15 +40,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The id and text with the least doc_id of each class, null ids last; one row of each."""
-    # one number for an id and its text stands for the id, which may be null or shared by different texts
-    numbered = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
-    found = near_duplicates.link_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
-    classes = found.select(F.col("doc_id").alias("__row"), "class_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
-    least = numbered.select("doc_id", "__row").distinct().join(classes, "__row").groupBy("class_id").agg(F.min(order).alias("least"))
-    first = numbered.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi")
-    return first.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The row with the least doc_id of each class, null ids last; rows with equal id and text are one."""
+    return near_duplicates.representatives(docs, docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
