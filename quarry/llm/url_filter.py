@@ -1,17 +1,21 @@
 """Operator 3, URL filters: rules first, then a ratio of two character language models.
 
-Two smoothed variable-order Markov models, one of accepted and one of rejected
-URLs, are counted over every labelled URL. A URL's score is the difference of its
-log-likelihoods divided by its length; it is allowed from a threshold on, which is
+Two smoothed variable-order Markov models over bytes, one of accepted and one of
+rejected URLs, are counted over every labelled URL. A URL's score is the difference of
+its log-likelihoods divided by its length; it is allowed from a threshold on, which is
 calibrated on labelled URLs that were left out of the counts.
 
 A model of order k mixes with that of order k-1: p(c | context) = (n(context c) +
-PRIOR p(c | shorter context)) / (n(context) + PRIOR). Grams are hashed into
-BUCKETS counters an order, so the models have a fixed size whatever the input.
+PRIOR p(c | shorter context)) / (n(context) + PRIOR), where n(context) counts what
+follows the context, the padding before a URL included. Counts are exact and in tables:
+a gram of ORDERS bytes is a long, shorter ones are its low bytes, and every distinct
+gram's log-ratio is worked out once and joined to the URLs' grams. Grams that most
+URLs have are broadcast, others shuffled; nothing of the model passes the driver.
 
 Null URLs and URLs without ``://`` have an empty host and path; the models see
-the whole URL, an empty one scores 0. Without labelled URLs of both kinds all
-scores are 0 and the threshold is 0. Other columns are ignored.
+the whole URL, of any length; a null or empty one scores 0. Without labelled URLs of
+both kinds all scores are 0 and the threshold is 0. Every row, repeated or with a null
+page_id, gets the verdict of its URL; equal scores get equal verdicts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +23,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import slices, texts
+from quarry.llm.graph import join_unique
+from quarry.storage import materialise
+
+#: Bytes of the longest gram (seven at most fit a long); occurrences that each context starts with.
 ORDERS = 5
-BUCKETS = 1 << 16
 PRIOR = 4.0
 ALPHABET = 256
+#: Parts of a log-ratio that sums are made of, so that they don't depend on their order; places that scores are rounded to.
+UNIT, PLACES = 1 << 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,65 +61,52 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return found
 
 
-def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of the gram of 1..ORDERS bytes that ends at each byte, of its context, and each URL's length with its end mark."""
-    raw = [b"\x01" * (ORDERS - 1) + u.encode() + b"\x02" for u in urls]
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    size = np.array([len(r) for r in raw], np.int64)
-    within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(within >= ORDERS - 1)
-    gram, context = np.zeros((ORDERS, len(at)), np.int64), np.zeros((ORDERS, len(at)), np.int64)
-    g, c = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for k in range(ORDERS):
-        scale = np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-        g = g + (data[at - k] + np.uint64(1)) * scale
-        gram[k] = _bucket(g, k)
-        if k:
-            c = c + (data[at - k] + np.uint64(1)) * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
-            context[k] = _bucket(c, k - 1)
-    return gram, context, size - (ORDERS - 1)
-
-
-def _bucket(h: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-    return (h >> np.uint64(48)).astype(np.int64)
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counts [reject or accept][order][bucket] over all rows of url, accepted."""
+def grams(urls: DataFrame) -> DataFrame:
+    """uh, y, g: the gram that ends at each byte and at the end of each URL, from rows of url, uh, y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDERS, BUCKETS), np.int64)
-        for b in batches:
-            urls, label = [u or "" for u in b.column("url").to_pylist()], b.column("accepted").to_numpy(zero_copy_only=False)
-            gram, _, size = _grams(urls)
-            y = np.repeat(label.astype(np.int64), size)
+        for b in slices(batches, "url"):
+            raw = [b"\x01" * (ORDERS - 1) + u.encode() + b"\x02" for u in texts(b, "url")]
+            data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+            size = np.array([len(r) for r in raw], np.int64)
+            within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(within >= ORDERS - 1)
+            g = np.zeros(len(at), np.int64)
             for k in range(ORDERS):
-                np.add.at(counts, (y, k, gram[k]), 1)
-        y, k, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (y, k, bucket, counts[y, k, bucket])], ["y", "k", "bucket", "n"])
-
-    rows = labelled.select("url", "accepted").mapInArrow(run, "y long, k long, bucket long, n long").groupBy("y", "k", "bucket").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()  # 2 x ORDERS x BUCKETS rows at most
-    counts = np.zeros((2, ORDERS, BUCKETS), np.int64)
-    counts[table.y.to_numpy(int), table.k.to_numpy(int), table.bucket.to_numpy(int)] = table.n
-    return counts
-
-
-def ratios(urls: list[str], counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of each URL, accepted less rejected, divided by its length."""
-    total = counts[:, 0].sum(axis=1)
-    if not len(urls) or not total.all():
-        return np.zeros(len(urls))
-    gram, context, size = _grams(urls)
-    p = np.full((2, gram.shape[1]), 1.0 / ALPHABET)
-    for k in range(ORDERS):
-        above = counts[:, k][:, gram[k]]
-        below = np.broadcast_to(total[:, None], above.shape) if not k else counts[:, k - 1][:, context[k]]
-        p = (above + PRIOR * p) / (np.maximum(below, above) + PRIOR)
-    each = np.log(p[1]) - np.log(p[0])
-    out = np.add.reduceat(each, np.cumsum(size) - size) / size
-    return np.where(size > 1, out, 0.0)
+                g |= data[at - k] << 8 * k
+            edges = np.concatenate(([0], np.cumsum(size - (ORDERS - 1)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("uh"), b.column("y"), pa.ListArray.from_arrays(pa.array(edges), pa.array(g))], ["uh", "y", "g"])
+
+    return urls.select("url", "uh", "y").mapInArrow(run, "uh long, y int, g array<long>").select("uh", "y", F.explode("g").alias("g"))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """g, ratio (log-probability of its last byte after the others, accepted less rejected, in UNITs), m, from rows of g, n0, n1, m."""
+    below = None
+    for k in range(1, ORDERS + 1):
+        key = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        own = counts.groupBy(key.alias("s")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("m").alias("m"))
+        w = Window.partitionBy(F.shiftright("s", 8))  # 256 rows at most
+        own = own.select("s", "m", *[F.col(f"n{y}") for y in (0, 1)], *[F.sum(f"n{y}").over(w).alias(f"c{y}") for y in (0, 1)])
+        if below is None:
+            shorter = own.select("*", *[F.lit(1.0 / ALPHABET).alias(f"q{y}") for y in (0, 1)])
+        else:
+            shorter = own.withColumn("t", F.col("s").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "t").drop("t")
+        p = [(F.col(f"n{y}") + PRIOR * F.col(f"q{y}")) / (F.col(f"c{y}") + PRIOR) for y in (0, 1)]
+        found = shorter.select("s", "m", p[0].alias("p0"), p[1].alias("p1"))
+        below = found.select(F.col("s").alias("t"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    return found.select(F.col("s").alias("g"), F.round((F.log("p1") - F.log("p0")) * UNIT).cast("long").alias("ratio"), "m")
+
+
+def scores(labelled: DataFrame) -> DataFrame:
+    """uh, score from rows of url, uh, y (1 accepted, 0 rejected, null where not counted), one a URL."""
+    urls = materialise(labelled, "urls")
+    each = grams(urls)
+    counts = each.groupBy("g").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"), F.count("*").alias("m"))
+    ratios = materialise(log_ratios(materialise(counts, "grams")), "ratios")
+    total = urls.count()
+    met = join_unique(each.select("uh", "g"), ratios, ["g"], total)
+    return met.groupBy("uh").agg(F.round(F.sum("ratio") / UNIT / F.count("*"), PLACES).alias("score"))
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -122,20 +118,22 @@ def filter_urls(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     """
     url = F.col("url")
     parsed = pages.select("page_id", "url").withColumn("host", host(url)).withColumn("path", path(url))
-    ruled = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("uh", F.xxhash64("url"))
     allowed = F.col("rule").isin([r for r, v in rules.items() if v == "allow"])
-    labelled = ruled.where("rule is not null").select("url", allowed.alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("calibrates"))
-    counts = train(labelled.where("not calibrates"))
-    shared = pages.sparkSession.sparkContext.broadcast(counts)  # a fixed size
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        texts = urls.fillna("").tolist()
-        return pd.Series(np.concatenate([ratios(texts[i : i + 4096], shared.value) for i in range(0, len(texts), 4096)]) if texts else np.zeros(0))
-
-    found = labelled.where("calibrates").groupBy("accepted").agg(F.percentile_approx(score("url"), [0.05, 0.95], 10000).alias("q")).collect()
-    q = {r["accepted"]: r["q"] for r in found}
-    threshold = (q[True][0] + q[False][1]) / 2 if len(q) == 2 else 0.0
+    calibrates = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0
+    some = ruled.where("url <> ''")
+    found = some.groupBy("url", "uh").agg(F.first(allowed).cast("int").alias("label"), F.count("*").alias("m"))
+    labelled = materialise(found.select("url", "uh", "label", calibrates.alias("calibrates"), "m"), "labelled")
+    known = {r["label"] for r in labelled.where("label is not null and not calibrates").select("label").distinct().collect()}
     by_rule = F.when(allowed, "allow").when(F.col("rule").isNotNull(), "block")
-    scored = ruled.withColumn("score", score("url"))
-    return scored.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") >= threshold, "allow").otherwise("block")))
+    result = ["page_id", "url", "host", "path", "rule"]
+    if known != {0, 1}:
+        return ruled.select(*result, F.lit(0.0).alias("score"), F.coalesce(by_rule, F.lit("allow")).alias("verdict"))
+    made = materialise(scores(labelled.select("url", "uh", F.when(~F.col("calibrates"), F.col("label")).alias("y"))), "scores")
+    # rounded scores: their distinct values, which the quantiles are held in, are few at every size
+    of_label = made.join(labelled.where("label is not null and calibrates").select("uh", "label"), "uh")
+    q = {r["label"]: r["q"] for r in of_label.groupBy("label").agg(F.percentile("score", [0.05, 0.95]).alias("q")).collect()}
+    threshold = round((q[1][0] + q[0][1]) / 2, PLACES + 1) if len(q) == 2 else 0.0
+    scored = join_unique(some, made.join(labelled.select("uh", "m"), "uh"), ["uh"], some.count())
+    both = scored.select(*result, "score").union(ruled.where("url is null or url = ''").select(*result, F.lit(0.0)))
+    return both.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") >= threshold, "allow").otherwise("block")))
