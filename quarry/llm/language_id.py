@@ -7,7 +7,8 @@ bytes is predicted. The margin is what the runner-up needs more, as a share of t
 runner-up. A margin below ``min_margin`` counts as rejected.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. Equal
-sizes go to the language first in order, with score 0. Other columns are ignored.
+sizes go to the language first in order, with score 0. Texts of any length are compressed
+whole; repeated rows get equal answers; null ids are ids. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices
 
-#: Texts drawn per language for its dictionary, and the dictionary's bytes.
+#: Texts drawn per language for its dictionary, the dictionary's bytes, and the languages learned at most (those with most texts).
 SAMPLE_TEXTS = 300
 DICT_BYTES = 256 << 10
+LANGUAGES = 256
 LEVEL = 6
 
 
@@ -31,31 +33,30 @@ def letters(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "))
 
 
-def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
     """language -> dictionary, from rows with a text and a lang.
 
     The ``sample_texts`` distinct texts of each language with the least hashes fill
-    up to ``dict_bytes``; this is the bounded sample that the model is fitted on.
-    Copies count once, so every language with a text has a dictionary.
+    up to ``dict_bytes``; this is the bounded sample that the model is fitted on. It is
+    cut to 2 * ``dict_bytes`` a language before it comes to the driver. Copies count
+    once, so every language with a text has a dictionary.
     """
     known = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", letters("text").alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
+    distinct = known.select("lang", "h").distinct()
+    most = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = known.select("lang", "h").distinct().withColumn("k", least).where(F.col("k") <= sample_texts).drop("k")
-    drawn = known.join(F.broadcast(sample), ["lang", "h"]).distinct()
+    sample = distinct.join(F.broadcast(most), "lang").withColumn("k", least).where(F.col("k") <= sample_texts).drop("k")
+    cut = F.left("text", F.lit(dict_bytes)).alias("text")  # more of a text has no room
+    drawn = known.join(F.broadcast(sample), ["lang", "h"]).select("lang", "h", cut).distinct()
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dict_bytes)
     texts: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["text"])):  # sample_texts rows a language
+    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     out = {}
     for lang, found in sorted(texts.items()):
-        parts, size = [], 0
-        for t in found:
-            raw = t.encode()
-            if size + len(raw) > dict_bytes and parts:
-                continue
-            parts.append(raw)
-            size += len(raw)
-        raw = b"\n".join(parts)[-dict_bytes:]
+        raw = b"\n".join(t.encode() for t in found)[:dict_bytes]
         out[lang] = b"\n".join([raw] * -(-8 // len(raw)))  # of 8 bytes at least
     return out
 
