@@ -40,6 +40,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from quarry.storage import materialise
+
 SCHEMA = "record_id string, record_type string, target_uri string, headers map<string,string>, payload binary"
 DATE = "2000-01-01T00:00:00Z"
 #: Bytes after which a task starts its next file, bytes of files read by one task, rows of a batch.
@@ -270,23 +272,28 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
-#: A revisit stands for a payload of this many bytes or more.
+#: A revisit stands for a payload of this many bytes or more. Shared digests that are broadcast at most (about 100 bytes each).
 LEAST_BYTES = 1000
+SHARED = 500_000
 
 
-def archive_pages(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
+def archive_pages(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, shared_rows: int = SHARED) -> None:
     """Write one record per page; of equal payloads the one with the largest page_id is the response.
 
-    Digests are grouped before any payload moves; only then pages meet the few
-    digests that occur more than once. A repeated largest page_id is a response each
-    time; a null page_id is a revisit where another page has its payload.
+    Digests are grouped before any payload moves; only then pages meet the digests that
+    occur more than once: where they are, while there are ``shared_rows`` of these at most,
+    else in a shuffle of the payloads that are large enough. A repeated largest page_id is
+    a response each time; a null page_id is a revisit where a page with an id has its
+    payload, else a response. Null and empty payloads and others that are too small meet nothing.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     shared = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, "digest", "left")
+    shared = materialise(shared, "digests")
+    large = rows.where(F.col("size") >= least_bytes).join(F.broadcast(shared) if shared.count() <= shared_rows else shared.hint("merge"), "digest", "left")
+    joined = large.unionByName(rows.where(F.col("size") < least_bytes), allowMissingColumns=True)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     headers = F.map_filter(
