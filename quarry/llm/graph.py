@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.storage import materialise
+from quarry.storage import forget, materialise
 
 #: A key is frequent above this number of rows, and above this share of all rows; so at most SHARE keys are.
 FREQUENT, SHARE = 1000, 1000
@@ -43,5 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "components")
         least = large.groupBy("a").agg(F.min("b").alias("t"), F.count("*").alias("m"))
         tied = join_unique(large, least, ["a"], total).select(F.explode(F.array(F.struct("a", F.col("t").alias("b")), F.struct(F.col("b").alias("a"), F.col("t").alias("b")))).alias("e")).select("e.*")
-        now = materialise(tied.where("a <> b").distinct(), "components")
+        after = materialise(tied.where("a <> b").distinct(), "components")
+        forget(edges.sparkSession, now, large)
+        now = after
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
