@@ -3,12 +3,14 @@
 A term is a lower-case word of a whole text, hashed; a text is the set of its
 terms. The machine scores w0 + sum w_i + sum over pairs <v_i, v_j>, so two terms
 together can count for more or less than each alone. It is fitted on a bounded
-sample of labelled rows with the terms that tell the labels apart best (chi-square),
-and then scores every text.
-
-Null and empty texts have no terms and score sigmoid(w0). Without labels of both
-kinds every score is the share of label 1 (0 without labels). Other columns, lang,
-source and doc_id are no inputs.
+sample of labelled texts, over the terms that tell the labels apart best (chi-square) by
+themselves or in a pair; a term of a pair needs no effect of its own. Then it scores every text.
+
+The sample is the distinct texts with the least hashes, in that order, so equal rows in
+any layout give the same machine. Null and empty texts have no terms and score
+sigmoid(w0); texts of any length are scored whole; repeated rows get equal scores and
+null ids are ids. Without labels of both kinds every score is the share of label 1 (0
+without labels). Other columns, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices, texts
 from quarry.llm.words import Words
 
-#: Labelled rows fitted on, bits of a hashed term, terms kept, size of a term's vector.
+#: Labelled texts fitted on, their terms in all, and of one text (those with the least hashes); a term takes four bytes.
 SAMPLE_ROWS = 20_000
+SAMPLE_TERMS, TEXT_TERMS = 8 << 20, 1 << 14
+#: Bits of a hashed term; terms kept for their own effect, its least chi-square, and least texts that hold one.
 BITS = 22
-TERMS = 1024
-#: Least chi-square of a term that is kept, and least texts that hold it.
-LEAST_CHI, LEAST_TEXTS = 15.0, 3
+TERMS, LEAST_CHI, LEAST_TEXTS = 1024, 15.0, 3
+#: Frequent terms whose pairs are tried, pairs kept at most, a pair's least chi-square (of two million) and least texts.
+PAIRED, PAIRS, PAIR_CHI, PAIR_TEXTS = 2048, 128, 40.0, 10
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.02, 1e-4
 
@@ -64,24 +68,48 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine from rows of text, label; at most ``sample_rows`` of them, dealt by a hash of the text."""
-    known = labelled.where("label is not null").select("text", "label")
-    every = max(1, known.count() // sample_rows)
-    drawn = known.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(every)) == 0).limit(sample_rows)
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_terms: int = SAMPLE_TERMS) -> Machine:
+    """A machine from rows of text, label; of texts with both labels the larger counts."""
+    known = labelled.where("label is not null").select("text", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    chosen = known.groupBy("h").agg(F.max("label").alias("label")).orderBy("h").limit(sample_rows)
+    drawn = known.drop("label").join(F.broadcast(chosen), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            first = np.sort(np.unique(b.column("h").to_numpy(), return_index=True)[1])
+            b = b.take(pa.array(first))
             row, term = terms(texts(b))
             n = np.bincount(row, minlength=b.num_rows)
-            edges = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(term.astype(np.int32))), b.column("label").cast(pa.int32())], ["terms", "label"])
+            keep = np.arange(len(term)) - np.repeat(np.cumsum(n) - n, n) < TEXT_TERMS
+            edges = np.concatenate(([0], np.cumsum(np.minimum(n, TEXT_TERMS)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.ListArray.from_arrays(pa.array(edges), pa.array(term[keep].astype(np.int32))), b.column("label").cast(pa.int32())], ["h", "terms", "label"])
 
-    rows = drawn.mapInArrow(run, "terms array<int>, label int").toArrow()
-    lists = rows.column("terms").combine_chunks()
+    held = drawn.mapInArrow(run, "h long, terms array<int>, label int").dropDuplicates(["h"])
+    before = F.sum(F.size("terms")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))  # over sample_rows rows at most
+    rows = held.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_terms).orderBy("h").select("terms", "label").toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
-    edges = lists.offsets.to_numpy() if len(y) else np.zeros(1, int)
-    return _fit(np.repeat(np.arange(len(y)), np.diff(edges)), lists.values.to_numpy()[: edges[-1]] if len(y) else np.zeros(0, int), y)
+    size = np.array([len(t) for t in rows.column("terms")], np.int64)
+    flat = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in rows.column("terms").chunks if len(c)] or [np.zeros(0, np.int32)])
+    return _fit(np.repeat(np.arange(len(y)), size), flat, y)
+
+
+def _in_pairs(row: np.ndarray, which: np.ndarray, seen: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Terms of the pairs that tell the labels apart, of the most frequent ones; neither needs an effect of its own."""
+    n, share = len(y), y.mean()
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = often[seen[often] >= LEAST_TEXTS]
+    place = np.full(len(seen), -1)
+    place[often] = np.arange(len(often))
+    keep = place[which] >= 0
+    x = np.zeros((n, len(often)), np.float32)
+    x[row[keep], place[which[keep]]] = 1
+    both, of_one = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
+    chi = (of_one - both * share) ** 2 / np.maximum(both * share * (1 - share) * np.maximum(1 - both / n, 1e-9), 1e-9)
+    chi[both < PAIR_TEXTS] = 0
+    np.fill_diagonal(chi, 0)
+    top = np.sort(chi.ravel())[-2 * PAIRS] if chi.size > 2 * PAIRS else 0
+    a, b = np.nonzero(chi >= max(PAIR_CHI, top))
+    return often[np.union1d(a, b)]
 
 
 def _fit(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> Machine:
@@ -93,7 +121,8 @@ def _fit(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> Machine:
     expected = seen * positive / n
     chi = (seen1 - expected) ** 2 / (expected * (1 - positive / n) * np.maximum(1 - seen / n, 1e-9))
     chi[seen < LEAST_TEXTS] = 0
-    best = np.sort(np.argsort(-chi, kind="stable")[: min(TERMS, int((chi >= LEAST_CHI).sum()))])
+    best = np.argsort(-chi, kind="stable")[: min(TERMS, int((chi >= LEAST_CHI).sum()))]
+    best = np.union1d(best, _in_pairs(row, which, seen, y))
     place = np.full(len(found), -1)
     place[best] = np.arange(len(best))
     keep = place[which] >= 0

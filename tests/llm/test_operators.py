@@ -134,6 +134,36 @@ def test_language_id(spark, docs, nothing):
     assert language_id.learn(all_rows.limit(0)) == {} and {r["lang_pred"] for r in language_id.identify(all_rows, {}).collect()} == {"und"}
 
 
+def test_language_id_by_hand(spark):
+    import zstandard as zstd
+
+    alphabets = {"aa": "abcdefghij", "bb": "klmnopqrst", "cc": "aeiklmostu"}
+    rows = [(k, prose(r, 40 + k).translate(str.maketrans("abcdefghij", alphabets[lang])).upper() + " 12!", lang) for r in (3, 30) for j, lang in enumerate(alphabets) for k in range(1000 * r + 100 * j, 1000 * r + 100 * j + 12)]
+    rows += [rows[0], (None, rows[5][1], None), (7, "a", "aa"), (8, "é", None), (9, None, "bb"), (10, "5", "cc"), (11, rows[20][1] * 300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.learn(docs.where("lang is not null").repartition(n)) for n in (1, 7)]
+    assert models[0] == models[1] and sorted(models[0]) == sorted(alphabets)
+    for bound in (200, 64):
+        small = language_id.learn(docs, dict_bytes=bound)
+        assert all(8 <= len(raw) <= bound for raw in small.values())
+    assert sorted(language_id.learn(docs, languages=2)) != sorted(alphabets)
+    pressed = []
+    for lang, raw in sorted(models[0].items()):
+        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        pressed.append((lang, zstd.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    want = collections.Counter()
+    for i, t, _ in rows:
+        clean = re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip().encode()
+        if not clean:
+            want[i, "und", 0.0, True] += 1
+            continue
+        size = sorted((len(c.compress(clean)), lang) for lang, c in pressed)
+        score = (size[1][0] - size[0][0]) / size[1][0]
+        want[i, size[0][1], round(score, 9), score < 0.005] += 1
+    got = language_id.identify(docs, models[0]).collect()
+    assert collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in got) == want
+
+
 def plain_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -287,6 +317,21 @@ def test_warc_round_trip_and_pushdown(spark):
     assert "PushedFilters: [Or" not in some._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("shared_rows", [warc.SHARED, 0])
+def test_warc_of_odd_pages(spark, shared_rows):
+    big, other, lone = "a" * 1000, "b" * 2000, "c" * 3000
+    pages = [(1, "u", big), (1, "u", big), (None, "u", big), (None, "v", other), (None, "v", other), (5, None, None), (5, None, None), (6, "", ""), (7, "w", lone), (8, "w", big[1:]), (9, "w", big[1:])]
+    path = scratch(spark, "warc")
+    warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), path, shared_rows=shared_rows)
+    got = collections.Counter((r["record_id"], r["record_type"], r["headers"].get("WARC-Refers-To"), r["payload"].decode()) for r in warc.read_archive(spark, path).collect())
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    want = [(name(i), "response", None, t or "") for i, _, t in pages if not (i is None and t == big)] + [(name(None), "revisit", name(1), "")]
+    assert got == collections.Counter(want)
+    none = scratch(spark, "warc")
+    warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), none, shared_rows=shared_rows)
+    assert warc.read_archive(spark, none).isEmpty()
+
+
 def test_warc_reader_steps_over_blocks():
     class File:
         def __init__(self, data):
@@ -334,30 +379,49 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).isEmpty()
 
 
-def test_url_model_by_hand():
-    urls, accepted = ["abc", "abd", "xyz"], [1, 1, 0]
-    counts = np.zeros((2, url_filter.ORDERS, url_filter.BUCKETS), np.int64)
-    for u, y in zip(urls, accepted):
-        gram, _, _ = url_filter._grams([u])
-        for k in range(url_filter.ORDERS):
-            np.add.at(counts, (y, k, gram[k]), 1)
-
-    def likelihood(y, text):
-        pad = lambda u: "\x01" * (url_filter.ORDERS - 1) + u + "\x02"
-        own = [pad(u) for u, a in zip(urls, accepted) if a == y]
-        seen = lambda g: sum(u[i - len(g) + 1 : i + 1] == g for u in own for i in range(url_filter.ORDERS - 1, len(u)))
-        total = 0.0
-        for i in range(url_filter.ORDERS - 1, len(pad(text))):
-            p = 1 / url_filter.ALPHABET
-            for k in range(url_filter.ORDERS):
-                g = pad(text)[i - k : i + 1]
-                above, below = seen(g), seen(g[:-1]) if k else sum(len(u) - url_filter.ORDERS + 1 for u in own)
-                p = (above + url_filter.PRIOR * p) / (max(below, above) + url_filter.PRIOR)
-            total += np.log(p)
-        return total
-
-    want = (likelihood(1, "abx") - likelihood(0, "abx")) / 4
-    assert url_filter.ratios(["abx", ""], counts).tolist() == pytest.approx([want, 0.0])
+def plain_url_scores(labelled, urls):
+    """Score of each URL by models of the labelled ones (url -> 1 or 0), with dictionaries."""
+    pad = lambda u: b"\x01" * (url_filter.ORDERS - 1) + u.encode() + b"\x02"
+    seen, after = collections.Counter(), collections.Counter()
+    for u, y in labelled.items():
+        raw = pad(u)
+        for i in range(url_filter.ORDERS - 1, len(raw)):
+            for k in range(1, url_filter.ORDERS + 1):
+                seen[y, raw[i - k + 1 : i + 1]] += 1
+                after[y, k, raw[i - k + 1 : i]] += 1
+    out = {}
+    for u in urls:
+        raw, total = pad(u), 0.0
+        for i in range(url_filter.ORDERS - 1, len(raw)):
+            p = [1 / url_filter.ALPHABET] * 2
+            for k in range(1, url_filter.ORDERS + 1):
+                g = raw[i - k + 1 : i + 1]
+                p = [(seen[y, g] + url_filter.PRIOR * p[y]) / (after[y, k, g[:-1]] + url_filter.PRIOR) for y in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        out[u] = total / (len(raw) - url_filter.ORDERS + 1)
+    return out
+
+
+def test_url_scores_and_verdicts_by_hand(spark):
+    r = random.Random(6)
+    rules = {"net/": "block", "org/fr/": "allow"}
+    urls = [f"http://{r.choice('abc')}x.net/spam{r.randrange(50)}" for _ in range(60)] + [f"https://{r.choice('xyz')}.org/fr/page-{r.randrange(50)}" for _ in range(60)]
+    free = [f"http://q.de/spam{k}" for k in range(5)] + [f"https://q.de/fr/page-{k}" for k in range(5)] + ["é", "http://a.b/" + "long/" * 5000]
+    rows = [(k, u) for k, u in enumerate(urls + free + free[:3] + ["", None])] + [(None, free[0])]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    left_out = {x[0] for x in frame.where(F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0).select("url").collect()}
+    label = {u: int("/fr/" in u) for u in urls}
+    want = plain_url_scores({u: y for u, y in label.items() if u not in left_out}, {u for _, u in rows if u})
+    cut = {y: np.percentile([want[u] for u in label if u in left_out and label[u] == y], [5, 95]) for y in (0, 1)}
+    threshold = (cut[1][0] + cut[0][1]) / 2
+    for n in (1, 7):
+        got = url_filter.filter_urls(frame.repartition(n), rules).collect()
+        assert collections.Counter((x["page_id"], x["url"]) for x in got) == collections.Counter(rows)
+        for x in got:
+            score = want[x["url"]] if x["url"] else 0.0
+            assert x["score"] == pytest.approx(score, abs=1e-4)
+            assert x["rule"] or x["verdict"] == ("allow" if score >= threshold else "block") or abs(score - threshold) < 1e-3
+    assert sum(x["verdict"] == "allow" for x in got if x["url"] in free[5:10]) == 5
 
 
 def test_toxicity_learns_a_pair(spark, docs, nothing):
@@ -377,6 +441,27 @@ def test_toxicity_learns_a_pair(spark, docs, nothing):
     assert toxicity.score(docs, toxicity.fit(table.limit(0))).where("predicted = 1").isEmpty()
 
 
+def test_toxicity_by_hand_and_in_any_layout(spark, docs):
+    """Pairs without single effects are learned; scores are those of the machine's arrays; equal rows give equal machines."""
+    r, rows = random.Random(9), []
+    for k in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append((k, " ".join([r.choice(VOCABULARY) for _ in range(20)] + ["insult"] * a + ["group"] * b), int(a != b)))
+    rows += [(4000, rows[0][1], 1 - rows[0][2]), (4001, None, 0), (4002, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    machines = [toxicity.fit(frame.repartition(n), sample_rows=3900) for n in (1, 7)]
+    m = machines[0]
+    assert all(np.array_equal(getattr(m, c), getattr(machines[1], c)) for c in ("terms", "weight", "factors")) and m.bias == machines[1].bias
+    got = {x["doc_id"]: x for x in toxicity.score(frame, m).collect()}
+    assert np.mean([got[k]["predicted"] == y for k, _, y in rows[:4000]]) > 0.9
+    for k, t, _ in rows[::200] + rows[-3:]:
+        held = [m.terms.tolist().index(x) for x in sorted(set(toxicity.terms([t or ""])[1].tolist())) if x in m.terms]
+        z = m.bias + sum(m.weight[i] for i in held) + sum(float(m.factors[i] @ m.factors[j]) for i in held for j in held if i < j)
+        assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    few = toxicity.fit(frame, sample_terms=100)
+    assert 0 <= few.bias + 40  # a machine of the few texts that fit
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
