@@ -1,28 +1,32 @@
-"""Cutting texts into chunks: four strategies with overlap, as one job over documents.
+"""Cutting texts into chunks: four strategies with overlap, as array expressions over documents.
 
-The folds depend on what came before (a running weight that resets), so each text
-is cut by a small Python helper in mapInArrow; Spark deals the documents.
+A text becomes an array of units, parts or sentences with their weights; one fold over
+the weights finds where chunks begin and end (its state is a running weight that starts
+anew with each chunk), and slices of the array are the chunks. Weights are whole
+twentieths of a token, so a fold only adds numbers; the text itself is weighed again
+only where its sum is a half token, as there rounding decides.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CJK = "\u3400-\u4dbf\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af\uf900-\ufaff"
-_WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_UNIT = re.compile(f"[{_CJK}]|[A-Za-z]+|[0-9]+(?:\\.[0-9]+)?|[{_WHITE}]+|[^{_WHITE}]")
-_SENTENCE = re.compile("[^。！？!?；;\n]+[。！？!?；;]?[\"'”’）)]*|\n+")
-_IS_CJK = re.compile(f"[{_CJK}]")
-_HEADING = re.compile(f"^#{{1,6}}[{_WHITE}]+")
-#: The separators of the recursive strategy, coarse to fine.
+from quarry.functions import text as T
+from quarry.functions.text import SPACE, count_tokens, trim, twentieths
+from quarry.storage import materialise
+
+#: The separators of the recursive strategy, coarse to fine; tokens of a small last paragraph; least group of the semantic strategy.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ". ", "；", "，", " "]
+SMALL, LEAST_GROUP = 60, 128
+HEADING = f"^#{{1,6}}[{SPACE}]+"
+
+Embed = Callable[[list[str]], list[list[float]]]
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,6 @@ class ChunkConfig:
     merge_small: bool = True
     overlap_paragraphs: int = 1
     markdown: bool = True
-    degraded: str = field(default="no-embedding", compare=False)
 
     @property
     def overlap(self) -> float:
@@ -52,197 +55,280 @@ class ChunkConfig:
         return max(0, self.overlap_value)
 
 
-def _strip(t: str) -> str:
-    return t.strip(_WHITE)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def weigh(t: str) -> float:
-    total = 0.0
-    for ch in t:
-        total += 1 if _IS_CJK.match(ch) else 0.2 if ch in " \n\t" else 0.25
-    return total
+def unit_weight(u: Column) -> Column:
+    """Weight of a unit as a double: quarters add up exactly, blanks one by one."""
+    return F.when(u == " ", 0.2).when(u.rlike("^[A-Za-z0-9]"), 0.25 * F.length(u)).when(u.rlike(f"^[{SPACE}]"), T.weight(u)).when(u.rlike(f"^[{T.CJK}]"), 1.0).otherwise(0.25)
 
 
-def tokens(t: str) -> int:
-    return math.floor(weigh(t) + 0.5)
+def _cuts(state: Column, a: Column, b: Column) -> Column:
+    return F.array_append(state["cuts"], F.struct(a.alias("a"), b.alias("b")))
 
 
-def slide(text: str, size: float, overlap: float) -> list[str]:
-    """Windows over units that reach ``size``; each starts with units worth ``overlap`` of the one before."""
-    out, held, total = [], [], 0.0
-    for unit in _UNIT.findall(text):
-        held.append((unit, weigh(unit)))
-        total += held[-1][1]
-        if total < size:
-            continue
-        out.append("".join(u for u, _ in held))
-        carry, back = 0, 0.0
-        if overlap > 0:
-            while carry < len(held) - 1 and back < overlap:
-                carry += 1
-                back += held[-carry][1]
-            held = held[-max(1, carry) :]
-        else:
-            held = []
-        total = 0.0
-        for _, w in held:
-            total += w
-    if held:
-        out.append("".join(u for u, _ in held))
-    return [s for s in map(_strip, out) if s]
-
-
-def tail(text: str, n: float) -> str:
-    """Last units of a text worth ``n``."""
-    kept, total = [], 0.0
-    for unit in reversed(_UNIT.findall(text) if n > 0 else []):
-        if total >= n:
-            break
-        kept.append(unit)
-        total += weigh(unit)
-    return _strip("".join(reversed(kept)))
-
-
-def with_overlap(chunks: list[str], n: float) -> list[str]:
-    if n <= 0:
-        return chunks
-    heads = ["", *(tail(c, n) for c in chunks[:-1])]
-    return [_strip(f"{h}\n{c}") if h else c for h, c in zip(heads, chunks)]
-
-
-def greedy(parts: list[str], limit: float, join: Callable[[str, str], str]) -> list[str]:
-    """Parts joined from the left while they stay within ``limit``."""
-    out, held = [], ""
-    for part in parts:
-        longer = join(held, part) if held else part
-        if held and tokens(longer) > limit:
-            out.append(_strip(held))
-            held = part
-        else:
-            held = longer
-    return [*out, _strip(held)] if _strip(held) else out
+_NO_CUTS = "array<struct<a:int,b:int>>"
+
+
+def slide_cuts(w: Column, size: float, overlap: float) -> Column:
+    """First and last unit (from 0) of each window over units of weights ``w`` that reaches ``size``;
+    a window starts with units worth ``overlap`` of the one before, one at least.
+    """
+    zero = F.lit(0.0)
+
+    def state(st: Column, acc: Column, cuts: Column) -> Column:
+        return F.struct(st.cast("int").alias("st"), acc.alias("acc"), cuts.alias("cuts"))
+
+    def after(s: Column, i: Column) -> Column:
+        if overlap <= 0:
+            return state(i + 1, zero, _cuts(s, s["st"], i))
+        step = lambda a, x: F.when(a["back"] < overlap, F.struct((a["n"] + 1).alias("n"), (a["back"] + x).alias("back"))).otherwise(a)
+        carried = F.aggregate(F.reverse(F.slice(w, s["st"] + 2, i - s["st"])), F.struct(F.lit(0).alias("n"), zero.alias("back")), step, lambda a: F.greatest(a["n"], F.lit(1)))
+        return let(i + 1 - carried, lambda st: state(st, F.aggregate(F.slice(w, st + 1, i + 1 - st), zero, lambda n, x: n + x), _cuts(s, s["st"], i)))
+
+    def step(s: Column, i: Column) -> Column:
+        return let(s["acc"] + w[i], lambda acc: F.when(acc >= size, after(s, i)).otherwise(state(s["st"], acc, s["cuts"])))
+
+    last = F.size(w) - 1
+    finish = lambda s: F.when(s["st"] <= last, _cuts(s, s["st"], last)).otherwise(s["cuts"])
+    none = F.array().cast(_NO_CUTS)
+    return F.when(last >= 0, F.aggregate(F.sequence(F.lit(0), last), state(F.lit(0), zero, none), step, finish)).otherwise(none)
+
+
+def _glued(parts: Column, lo: Column, hi: Column, glue: str | None) -> Column:
+    """Parts lo to hi as one text; without ``glue`` a line end stands between parts that have none there."""
+    some = F.slice(parts, lo + 1, hi - lo + 1)
+    if glue is not None:
+        return F.array_join(some, glue)
+    between = lambda a, b: F.when(a.endswith("\n") | b.startswith("\n"), "").otherwise("\n")
+    return F.aggregate(some, F.lit(""), lambda a, b: F.when(a == "", b).otherwise(F.concat(a, between(a, b), b)))
+
+
+def _tokens(q: Column, text: Column) -> Column:
+    return F.when(q % 20 != 10, F.floor((q + 10) / 20)).otherwise(count_tokens(text))
+
+
+def greedy(df: DataFrame, limit: float, glue: str | None) -> DataFrame:
+    """``df`` with ``blocks``: its non-empty ``parts`` joined from the left while they stay within ``limit`` tokens."""
+    parts, q, first, last = F.col("parts"), F.col("__q"), F.col("__first"), F.col("__last")
+    df = df.withColumn("__q", F.transform("parts", twentieths))
+    if glue is None:
+        df = df.withColumn("__first", F.transform("parts", lambda p: p.startswith("\n"))).withColumn("__last", F.transform("parts", lambda p: p.endswith("\n")))
+
+    def between(i: Column) -> Column:
+        return F.lit(4 * len(glue)) if glue is not None else F.when(last[i - 1] | first[i], 0).otherwise(4)
+
+    def state(lo: Column, n: Column, cuts: Column) -> Column:
+        return F.struct(lo.alias("lo"), n.cast("long").alias("n"), cuts.alias("cuts"))
+
+    def step(s: Column, i: Column) -> Column:
+        def grown(n: Column) -> Column:
+            return F.when(_tokens(n, _glued(parts, s["lo"], i, glue)) > limit, state(i, q[i], _cuts(s, s["lo"], i - 1))).otherwise(state(s["lo"], n, s["cuts"]))
+
+        return F.when(i == 0, state(s["lo"], q[i], s["cuts"])).otherwise(let(s["n"] + between(i) + q[i], grown))
+
+    end = F.size("parts") - 1
+    start = state(F.lit(0), F.lit(0), F.array().cast(_NO_CUTS))
+    cuts = F.aggregate(F.sequence(F.lit(0), end), start, step, lambda s: _cuts(s, s["lo"], end))
+    df = df.withColumn("__cuts", F.when(end >= 0, cuts).otherwise(F.array().cast(_NO_CUTS)))
+    df = df.withColumn("__blocks", F.transform("__cuts", lambda c: trim(_glued(parts, c["a"], c["b"], glue))))
+    blocks = F.col("__blocks")
+    whole = F.when((F.size(blocks) > 0) & (F.element_at(blocks, -1) == ""), F.slice(blocks, 1, F.size(blocks) - 1)).otherwise(blocks)
+    return df.withColumn("blocks", whole).drop("__q", "__first", "__last", "__cuts", "__blocks")
+
 
+def merge_last(blocks: Column, least: float, glue: str) -> Column:
+    """A last block of fewer than ``least`` tokens goes to the one before."""
+    n = F.size(blocks)
+    joined = F.concat(F.slice(blocks, 1, n - 2), F.array(F.concat(blocks[n - 2], F.lit(glue), blocks[n - 1])))
+    return F.when((n > 1) & (count_tokens(F.get(blocks, n - 1)) < least), joined).otherwise(blocks)
 
-def split_sentences(text: str) -> list[str]:
-    found = (_strip(s) for s in _SENTENCE.findall(re.sub("\r\n?", "\n", text)))
-    return [s for s in found if s]
 
+def tail(c: Column, n: float) -> Column:
+    """The last units of a text that are worth ``n``."""
+    step = lambda a, u: F.when(a["w"] < n, F.struct((a["n"] + 1).alias("n"), (a["w"] + unit_weight(u)).alias("w"))).otherwise(a)
+    count = lambda us: F.aggregate(F.reverse(us), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("w")), step, lambda a: a["n"])
+    return let(T.units(c), lambda us: let(count(us), lambda k: trim(F.array_join(F.slice(us, F.size(us) - k + 1, k), ""))))
 
-def split_paragraphs(text: str) -> list[str]:
-    flat = re.sub("\r\n?", "\n", text)
-    parts = re.split(f"\n[{_WHITE}]*\n", flat)
-    return [p for p in map(_strip, parts if len(parts) > 1 else flat.split("\n")) if p]
 
+def with_heads(df: DataFrame, head: Callable[[Column], Column], glue: str) -> DataFrame:
+    """``df`` whose ``blocks`` begin with the head of the block before, as it was."""
+    df = df.withColumn("__heads", F.when(F.size("blocks") > 1, F.transform("blocks", head)))
+    h = F.col("__heads")
+    named = lambda c, i: F.when((i > 0) & (h[F.greatest(i - 1, F.lit(0))] != ""), F.concat(h[F.greatest(i - 1, F.lit(0))], F.lit(glue), c)).otherwise(c)
+    return df.withColumn("__named", F.when(h.isNull(), F.col("blocks")).otherwise(F.transform("blocks", lambda c, i: F.when(i > 0, trim(named(c, i))).otherwise(c)))).drop("blocks", "__heads").withColumnRenamed("__named", "blocks")
 
-def recursive(text: str, cfg: ChunkConfig) -> list[str]:
-    parts = [text]
+
+def recursive_parts(text: Column, size: int) -> Column:
+    """The text split at ever finer separators wherever it is above ``size`` tokens."""
+    marked = lambda x: F.struct(x.alias("t"), (count_tokens(x) > size).alias("big"))
+    parts = F.array(marked(text))
     for sep in SEPARATORS:
-        parts = [q for p in parts for q in ([x for x in p.split(sep) if x] if tokens(p) > cfg.size else [p])]
-        if all(tokens(p) <= cfg.size for p in parts):
-            break
-    glue = lambda a, b: a + ("" if a.endswith("\n") or b.startswith("\n") else "\n") + b
-    return with_overlap(greedy(parts, cfg.size, glue), cfg.overlap)
-
-
-def by_paragraph(text: str, cfg: ChunkConfig) -> list[str]:
-    blocks = greedy(split_paragraphs(text), cfg.paragraph_max, lambda a, b: f"{a}\n\n{b}")
-    if cfg.merge_small and len(blocks) > 1 and tokens(blocks[-1]) < 60:
-        blocks[-2:] = [f"{blocks[-2]}\n\n{blocks[-1]}"]
-    if cfg.overlap_paragraphs <= 0:
-        return blocks
-    heads = ["", *("\n\n".join(split_paragraphs(b)[-cfg.overlap_paragraphs :]) for b in blocks[:-1])]
-    return [_strip(f"{h}\n\n{b}") if h else b for h, b in zip(heads, blocks)]
-
-
-def by_sentence(text: str, cfg: ChunkConfig) -> list[str]:
-    """What the semantic strategy falls back on without vectors."""
-    blocks = greedy(split_sentences(text), cfg.semantic_max, lambda a, b: a + b)
-    if len(blocks) > 1 and tokens(blocks[-1]) < cfg.semantic_min:
-        blocks[-2:] = [blocks[-2] + blocks[-1]]
-    return blocks
-
-
-def semantic(text: str, cfg: ChunkConfig, embed: Callable[[list[str]], list[list[float]]]) -> list[str]:
-    """Sentences grouped until neighbours differ or a group is full; small groups are merged."""
-    sentences = split_sentences(text)
-    if len(sentences) < 2:
-        return by_sentence(text, cfg)
-    vectors = embed(sentences)
-    sims = [cosine(a, b) for a, b in zip(vectors, vectors[1:])]
-    limit = cfg.threshold
-    if cfg.threshold_mode == "percentile":
-        limit = sorted(sims)[math.floor((len(sims) - 1) * min(100, max(0, cfg.percentile)) / 100)]
-    most = max(128, cfg.semantic_max - cfg.overlap)
-    groups, total = [sentences[0]], tokens(sentences[0])
-    for sim, s in zip(sims, sentences[1:]):
-        n = tokens(s)
-        if sim < limit or total + n > most:
-            groups.append(s)
-            total = n
-        else:
-            groups[-1] += s
-            total += n
-    merged: list[str] = []
-    for g in groups:
-        if merged and min(tokens(g), tokens(merged[-1])) < cfg.semantic_min and tokens(g) + tokens(merged[-1]) <= most:
-            merged[-1] += g
-        else:
-            merged.append(g)
-    return with_overlap([t for t in map(_strip, merged) if t], cfg.overlap)
-
-
-def cosine(a: list[float], b: list[float]) -> float:
-    if not a or not b or len(a) != len(b):
-        return 0.0
-    dot, na, nb = (math.fsum(x * y for x, y in zip(p, q)) for p, q in ((a, b), (a, a), (b, b)))
-    return dot / math.sqrt(na * nb) if na and nb else 0.0
-
-
-def move_headings(chunks: list[str]) -> list[str]:
-    """A heading that ends a chunk goes to the head of the next."""
-    chunks = list(chunks)
-    for i in range(len(chunks) - 1):
-        lines = chunks[i].split("\n")
-        last = _strip(lines[-1])
-        if len(lines) > 1 and _HEADING.match(last):
-            chunks[i] = _strip("\n".join(lines[:-1]))
-            chunks[i + 1] = _strip(f"{last}\n{chunks[i + 1]}")
-    return [c for c in chunks if c]
-
-
-def cut(text: str | None, cfg: ChunkConfig, embed: Callable | None = None) -> list[str]:
-    """Chunks of one text."""
-    if not text or not _strip(text):
-        return []
-    if cfg.strategy == "recursive":
-        found = recursive(text, cfg)
-    elif cfg.strategy == "paragraph":
-        found = by_paragraph(text, cfg)
-    elif cfg.strategy == "semantic":
-        found = semantic(text, cfg, embed) if embed else by_sentence(text, cfg)
-    else:
-        found = slide(text, cfg.size, cfg.overlap)
-    return [c for c in map(_strip, move_headings(found) if cfg.markdown else found) if c]
+        pieces = lambda s, sep=sep: F.filter(F.split(s["t"], "\\Q" + sep + "\\E"), lambda x: x != "")
+        parts = F.flatten(F.transform(parts, lambda s: F.when(s["big"], F.transform(pieces(s), marked)).otherwise(F.array(s))))
+    return F.transform(parts, lambda s: s["t"])
+
+
+def move_headings(df: DataFrame) -> DataFrame:
+    """``df`` with the heading that ends one of ``blocks`` at the head of the next; empty blocks go."""
+    end = F.size("blocks") - 1
+
+    def state(head: Column, out: Column) -> Column:
+        return F.struct(head.cast("string").alias("head"), out.alias("out"))
+
+    def placed(s: Column, c: Column, i: Column) -> Column:
+        def split(lines: Column) -> Column:
+            last = trim(F.element_at(lines, -1))
+            moved = state(last, F.array_append(s["out"], trim(F.array_join(F.slice(lines, 1, F.size(lines) - 1), "\n"))))
+            return F.when((F.size(lines) > 1) & last.rlike(HEADING), moved).otherwise(state(F.lit(None), F.array_append(s["out"], c)))
+
+        return F.when((i < end) & c.contains("#"), let(F.split(c, "\n"), split)).otherwise(state(F.lit(None), F.array_append(s["out"], c)))
+
+    def step(s: Column, i: Column) -> Column:
+        c = F.col("blocks")[i]
+        return let(F.when(s["head"].isNotNull(), trim(F.concat(s["head"], F.lit("\n"), c))).otherwise(c), lambda own: placed(s, own, i))
 
+    fold = F.aggregate(F.sequence(F.lit(0), end), state(F.lit(None), F.array().cast("array<string>")), step, lambda s: s["out"])
+    some = F.exists("blocks", lambda c: c.contains("#"))
+    df = df.withColumn("__moved", F.when((end > 0) & some, fold).otherwise(F.col("blocks")))
+    return df.drop("blocks").withColumn("blocks", F.filter("__moved", lambda c: c != "")).drop("__moved")
 
-def chunk(docs: DataFrame, cfg: ChunkConfig, embed: Callable | None = None) -> DataFrame:
-    """doc_id, idx, text, tokens of every chunk; ``embed`` maps sentences to vectors (semantic)."""
+
+# -- the semantic strategy ------------------------------------------------------------------
+
+
+def sentence_vectors(sentences: DataFrame, embed: Embed) -> DataFrame:
+    """key, i, s, vector, error of every sentence (key, i, s); a batch whose ``embed`` fails has an error instead of vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, idx, text = [], [], []
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = cut(t, cfg, embed)
-                ids += [doc] * len(found)
-                idx += range(len(found))
-                text += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("doc_id").type), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array([tokens(t) for t in text], pa.int64())], ["doc_id", "idx", "text", "tokens"])
+            said = b.column("s").to_pylist()
+            try:
+                vectors, error = [list(map(float, v)) for v in embed(said)], None
+                if len(vectors) != len(said):
+                    raise ValueError(f"{len(vectors)} vectors for {len(said)} sentences")
+            except Exception as e:  # a provider may raise anything; the row says what
+                vectors, error = [None] * len(said), str(e) or type(e).__name__
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "i", "s")), pa.array(vectors, pa.list_(pa.float64())), pa.array([error] * len(said), pa.string())], ["key", "i", "s", "vector", "error"])
+
+    return materialise(sentences.mapInArrow(run, "key long, i int, s string, vector array<double>, error string"), "sentences")
+
+
+def semantic_groups(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """``blocks`` of rows of ``parts`` (two sentences at least) and ``sims`` of neighbours: sentences grouped
+    until neighbours differ or a group is full; then small groups are merged. ``threshold`` is what was used.
+    """
+    most = max(LEAST_GROUP, (cfg.semantic_max or 700) - cfg.overlap)
+    if cfg.threshold_mode == "percentile":
+        p = min(100, max(0, cfg.percentile or 85)) / 100
+        limit = F.array_sort("sims")[F.floor((F.size("sims") - 1) * p).cast("int")]
+    else:
+        limit = F.lit(float(cfg.threshold or 0.55))
+    df = df.withColumn("threshold", limit).withColumn("__n", F.transform("parts", count_tokens))
+    n, end = F.col("__n"), F.size("parts") - 1
+
+    def state(lo: Column, total: Column, cuts: Column) -> Column:
+        return F.struct(lo.alias("lo"), total.alias("total"), cuts.alias("cuts"))
+
+    def step(s: Column, i: Column) -> Column:
+        apart = (F.col("sims")[i - 1] < F.col("threshold")) | (s["total"] + n[i] > most)
+        return F.when(apart, state(i, n[i], _cuts(s, s["lo"], i - 1))).otherwise(state(s["lo"], s["total"] + n[i], s["cuts"]))
+
+    start = state(F.lit(0), n[0], F.array().cast(_NO_CUTS))
+    df = df.withColumn("__cuts", F.aggregate(F.sequence(F.lit(1), end), start, step, lambda s: _cuts(s, s["lo"], end)))
+    df = df.withColumn("__groups", F.transform("__cuts", lambda c: _glued(F.col("parts"), c["a"], c["b"], "")))
+
+    def merge(out: Column, g: Column) -> Column:
+        k = F.size(out)
+        last = lambda f: let(count_tokens(F.element_at(out, -1)), lambda a: let(count_tokens(g), lambda b: f(a, b)))
+        fits = last(lambda a, b: (F.least(a, b) < (cfg.semantic_min or 80)) & (a + b <= most))
+        joined = F.concat(F.slice(out, 1, k - 1), F.array(F.concat(F.element_at(out, -1), g)))
+        return F.when(k == 0, F.array(g)).otherwise(F.when(fits, joined).otherwise(F.array_append(out, g)))
+
+    merged = F.aggregate("__groups", F.array().cast("array<string>"), merge)
+    return df.withColumn("blocks", F.filter(F.transform(merged, trim), lambda c: c != "")).drop("__n", "__cuts", "__groups")
+
+
+def _fallback(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Sentences joined up to a length, for texts without vectors."""
+    return greedy(df, cfg.semantic_max or 700, "").withColumn("blocks", merge_last(F.col("blocks"), cfg.semantic_min or 80, ""))
+
+
+def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame:
+    df = df.withColumn("parts", T.sentences(F.col("text")))
+    none = F.lit(None).cast("double").alias("threshold")
+    if embed is None:
+        return _fallback(df, cfg).withColumn("degraded", F.lit("no-embedding")).withColumn("threshold", none)
+    df = materialise(df.withColumn("key", F.monotonically_increasing_id()), "texts")
+    many = F.size("parts") > 1
+    named = sentence_vectors(df.where(many).select("key", F.posexplode("parts").alias("i", "s")), embed)
+    after = F.lead("vector").over(Window.partitionBy("key").orderBy("i"))
+    held = named.withColumn("sim", T.cosine(F.col("vector"), after)).groupBy("key").agg(
+        F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("i", "sim"))).alias("l")
+    )
+    found = df.join(held, "key", "left").withColumn("sims", F.transform(F.slice("l", 1, F.size("l") - 1), lambda x: x["sim"])).drop("l")
+    fine = semantic_groups(found.where(many & F.col("error").isNull()), cfg)
+    if cfg.overlap > 0:
+        fine = with_heads(fine, lambda c: tail(c, cfg.overlap), "\n")
+    why = F.when(~many, "too-few-sentences").otherwise(F.concat(F.lit("embed-failed: "), "error"))
+    rest = _fallback(found.where(~many | F.col("error").isNotNull()), cfg).withColumn("degraded", why).withColumn("threshold", none)
+    kept = ["doc_id", "blocks", "degraded", "threshold"]
+    return fine.withColumn("degraded", F.lit(None).cast("string")).select(kept).unionByName(rest.select(kept))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, idx int, text string, tokens long")
 
+# -- chunks ---------------------------------------------------------------------------------
 
-def chunk_meta(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("doc_id").agg(
-        F.count("*").alias("n_chunks"), F.floor(F.avg("tokens") + 0.5).cast("long").alias("avg_tokens"), F.min("tokens").alias("min_tokens"), F.max("tokens").alias("max_tokens")
-    )
+
+def cut(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
+    """doc_id, blocks (the chunks' texts), degraded, threshold of every document (doc_id, text) that has text.
+
+    ``embed`` maps sentences to vectors (semantic); without it, or where it fails or there
+    is one sentence, sentences are joined by length and ``degraded`` says why.
+    """
+    df = docs.select("doc_id", "text").where(trim(F.col("text")) != "")
+    if cfg.strategy == "semantic":
+        df = _semantic(df, cfg, embed)
+    else:
+        if cfg.strategy == "recursive":
+            df = greedy(df.withColumn("parts", recursive_parts(F.col("text"), cfg.size)), cfg.size, None)
+            if cfg.overlap > 0:
+                df = with_heads(df, lambda c: tail(c, cfg.overlap), "\n")
+        elif cfg.strategy == "paragraph":
+            df = greedy(df.withColumn("parts", T.paragraphs(F.col("text"))), cfg.paragraph_max or 800, "\n\n")
+            if cfg.merge_small:
+                df = df.withColumn("blocks", merge_last(F.col("blocks"), SMALL, "\n\n"))
+            if cfg.overlap_paragraphs > 0:
+                k = cfg.overlap_paragraphs
+                df = with_heads(df, lambda c: let(T.paragraphs(c), lambda ps: F.array_join(F.slice(ps, F.greatest(F.size(ps) - k, F.lit(0)) + 1, k), "\n\n")), "\n\n")
+        else:
+            df = df.withColumn("u", T.units(F.col("text"))).withColumn("w", F.transform("u", unit_weight))
+            df = df.withColumn("cuts", slide_cuts(F.col("w"), cfg.size or 512, cfg.overlap))
+            found = F.transform("cuts", lambda c: trim(F.array_join(F.slice("u", c["a"] + 1, c["b"] - c["a"] + 1), "")))
+            df = df.withColumn("blocks", F.filter(found, lambda c: c != ""))
+        df = df.withColumn("degraded", F.lit(None).cast("string")).withColumn("threshold", F.lit(None).cast("double"))
+    df = df.select("doc_id", "blocks", "degraded", "threshold")
+    if cfg.markdown:
+        df = move_headings(df)
+    return df.select("doc_id", F.transform("blocks", trim).alias("blocks"), "degraded", "threshold")
+
+
+def chunk(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
+    """doc_id, idx, text, tokens of every chunk; an empty chunk goes, and leaves its place in ``idx`` free."""
+    # outer: no filter on the array is inferred, which would be pushed down and work every array out again
+    each = cut(docs, cfg, embed).select("doc_id", F.posexplode_outer("blocks").alias("idx", "text"))
+    return each.where("text <> ''").withColumn("tokens", count_tokens(F.col("text")))
+
+
+def chunk_meta(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
+    """One row for each document with text: doc_id, strategy, degraded, threshold, n_chunks, the tokens' average, least and largest, overlap_tokens."""
+    found = cut(docs, cfg, embed).withColumn("n", F.transform(F.filter("blocks", lambda c: c != ""), count_tokens))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    none = F.lit(0).cast("long")
+    return found.select(
+        "doc_id", F.lit(cfg.strategy).alias("strategy"), "degraded", F.round("threshold", 4).alias("threshold"), F.size("n").cast("long").alias("n_chunks"),
+        F.when(F.size("n") > 0, F.floor(total / F.size("n") + 0.5)).otherwise(none).alias("avg_tokens"),
+        F.coalesce(F.array_min("n"), none).alias("min_tokens"), F.coalesce(F.array_max("n"), none).alias("max_tokens"),
+        F.lit(float(cfg.overlap)).alias("overlap_tokens"),
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import trim
+from quarry.operators import conversations
 from quarry.storage import materialise
 
 Model = Callable[[list[str]], list[str]]
@@ -27,6 +28,28 @@ ANSWER_TAIL = (
     "- 如需更精确的答案，建议缩小问题范围或补充文档。\n\n"
     "（当前由本地 Mock 模型生成，未调用真实大模型。）"
 )
+#: What a model is asked for, around the question.
+REWRITE_SYSTEM = "你是查询优化专家。只输出查询语句本身，不要回答用户的问题。"
+ASKED = "用户问题："
+MULTI = (
+    "你是检索查询生成专家。基于对话历史和用户最新问题，生成 {n} 个不同角度的检索查询，用于召回互补资料。\n"
+    '只输出 JSON：{"queries":["q1","q2"]}，不要解释。'
+)
+HYDE = (
+    "请针对下面的问题，写一段\"假设性答案\"（100~200字），用于向量检索。\n"
+    "要求：像资料中的原话一样表述，包含可能的专业术语；不要说\"根据资料\"，直接写内容。\n\n问题：{q}"
+)
+RETRY = (
+    "上一轮检索没有找到能回答该问题的资料。请换一种表述方式，生成一个更利于检索的新查询（可拆分为更具体的子问题或替换同义词）。\n"
+    "只输出一个新查询文本，不要解释。\n\n原始问题：{q}\n已尝试的查询：{tried}"
+)
+SCORE_SYSTEM = (
+    "你是检索相关性评审专家。给定用户查询与若干候选片段，请为每个片段打出 0~100 的相关性分数。"
+    '只输出 JSON：{"scores":[{"index":0,"score":87}]}，不要任何解释。'
+)
+#: Where services put their list of scores, and what they call a score.
+LISTS = ["$.results", "$.output.results", "$.data", "$.documents"]
+SCORES = ["relevance_score", "score", "relevance", "similarity"]
 PIECE = 12
 EXCERPT = 60
 
@@ -53,6 +76,51 @@ def unquoted(c: Column) -> Column:
     return F.regexp_replace(trim(c), "^[\"'`]|[\"'`]$", "")
 
 
+def histories(messages: DataFrame, turns: int = 3) -> DataFrame:
+    """conv_id, history: the messages before the last one as lines of role and text, oldest first."""
+    before = conversations.history(messages, turns)
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), F.concat_ws(": ", "role", "text").alias("line"))))
+    return before.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+
+
+def rewrite_prompt(kind: str, prompt: str = "", count: int = 3) -> Column:
+    """What a model is asked, of columns text and history: the history stands before the request."""
+    text = F.coalesce("text", F.lit(""))
+    if kind == "hyde":
+        own = F.replace(F.lit(HYDE), F.lit("{q}"), text)
+    elif kind == "multi":
+        own = F.concat(F.lit(f"{prompt.strip()}\n\n{MULTI.replace('{n}', str(count))}\n\n{ASKED}"), text)
+    else:
+        own = F.concat(F.lit(f"{prompt.strip()}\n\n{ASKED}"), text)
+    return F.concat(F.lit(REWRITE_SYSTEM + "\n"), F.when(F.col("history") != "", F.concat("history", F.lit("\n"))).otherwise(""), own)
+
+
+def retry_prompt(text: Column, tried: Column) -> Column:
+    return F.replace(F.replace(F.lit(RETRY), F.lit("{q}"), text), F.lit("{tried}"), F.array_join(tried, "；"))
+
+
+def score_prompt(query: Column, texts: Column, most: int = 1200) -> Column:
+    """What a model is asked for the scores of an array of candidates, each cut at ``most`` characters."""
+    numbered = F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("[#"), i.cast("string"), F.lit("] "), F.substring(t, 1, most))), "\n\n")
+    return F.concat(F.lit(SCORE_SYSTEM + "\n查询："), query, F.lit("\n\n候选片段：\n"), numbered)
+
+
+def response_items(responses: DataFrame, percent: bool = False) -> DataFrame:
+    """query_id, index, score of rerank responses (query_id, answer: JSON text) of any known shape.
+
+    The first list there is counts; items without an index or a score go. ``percent``: a
+    model's own scores of 0 to 100, which may stand in other text.
+    """
+    raw = F.nullif(F.regexp_extract("answer", "(\\{[\\s\\S]*\\})", 1), F.lit("")) if percent else F.col("answer")
+    found = F.try_parse_json(F.coalesce(raw, "answer"))
+    lists = [F.try_variant_get(found, path, "array<variant>") for path in (["$.scores", "$.results", "$.data"] if percent else LISTS)]
+    each = responses.select("query_id", F.explode(F.coalesce(*lists)).alias("r"))
+    index = F.coalesce(F.try_variant_get("r", "$.index", "int"), F.try_variant_get("r", "$.document.index", "int"))
+    score = F.coalesce(*[F.try_variant_get("r", f"$.{name}", "double") for name in SCORES])
+    items = each.select("query_id", index.alias("index"), (score / 100 if percent else score).alias("score"))
+    return items.where("index is not null and score is not null")
+
+
 def rewrite(questions: DataFrame, model: Model | None = None, mode: str = "none", count: int = 3, prompt: str = "") -> DataFrame:
     """query_id, variant, text, mode: what to search for, for each question (query_id, text).
 
@@ -64,7 +132,9 @@ def rewrite(questions: DataFrame, model: Model | None = None, mode: str = "none"
     if mode == "none" or model is None:
         return asked.select("query_id", F.lit(0).alias("variant"), "text", F.lit("none").alias("mode"))
     count = max(2, min(5, count))
-    said = lambda rows, kind: ask(rows.select("query_id", F.concat(F.lit(f"{kind}\n{prompt}\n\n"), "text").alias("prompt")), model)
+    history = F.coalesce("history", F.lit("")) if "history" in questions.columns else F.lit("")
+    asked = questions.select("query_id", "text", history.alias("history"))
+    said = lambda rows, kind: ask(rows.select("query_id", rewrite_prompt(kind, prompt, count).alias("prompt")), model)
     parts, left = [], asked
     if mode in ("multi", "hyde"):
         got = asked.join(said(asked, mode), "query_id")
@@ -77,7 +147,7 @@ def rewrite(questions: DataFrame, model: Model | None = None, mode: str = "none"
             got = got.withColumn("list", F.coalesce(full, F.array().cast("array<string>"))).withColumn("bad", F.col("error").isNotNull())
         parts.append(got.where("not bad").select("query_id", F.posexplode("list").alias("variant", "text"), F.lit(mode).alias("mode")))
         parts.append(got.where("bad").select("query_id", F.lit(0).alias("variant"), "text", F.lit("error").alias("mode")))
-        left = got.where("not bad and size(list) = 0").select("query_id", "text")
+        left = got.where("not bad and size(list) = 0").select("query_id", "text", "history")
     got = left.join(said(left, "single"), "query_id")
     text = F.coalesce(F.nullif(unquoted(F.col("answer")), F.lit("")), "text")
     parts.append(got.select("query_id", F.lit(0).alias("variant"), text.alias("text"), F.when(F.col("error").isNull(), "single").otherwise("error").alias("mode")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import count_tokens
-from quarry.operators import models
+from quarry.operators import chunking, models
+from quarry.storage import materialise
 
 
 def stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -27,14 +28,37 @@ def chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(n, "doc_id", "left").fillna(0, ["n_chunks"])
 
 
+def _matching(chunks: DataFrame, keyword: str, doc_id: int | None) -> DataFrame:
+    found = chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)
+    return found.where(F.instr(F.lower("text"), F.lit(keyword.lower())) > 0) if keyword else found
+
+
 def browse(chunks: DataFrame, keyword: str = "", doc_id: int | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of chunks that hold ``keyword`` in any case, literally."""
-    found = chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)
-    if keyword:
-        found = found.where(F.instr(F.lower("text"), F.lit(keyword.lower())) > 0)
+    found = _matching(chunks, keyword, doc_id)
     return found.withColumn("has_vector", F.col("vector").isNotNull()).orderBy("chunk_pos").offset(offset).limit(limit)
 
 
+def browse_total(chunks: DataFrame, keyword: str = "", doc_id: int | None = None) -> DataFrame:
+    """One row, total: how many chunks all pages of ``browse`` hold together."""
+    return _matching(chunks, keyword, doc_id).agg(F.count("*").alias("total"))
+
+
+def page_average(page: DataFrame) -> DataFrame:
+    """One row, avg_tokens: the rounded average of a page's tokens, 0 for an empty page."""
+    return page.agg(F.coalesce(F.floor(F.avg("tokens") + 0.5), F.lit(0)).cast("long").alias("avg_tokens"))
+
+
+def add_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, doc_name, status, tokens, ...) with ``new`` ones (doc_id, doc_name): parsed, not counted yet."""
+    return docs.unionByName(new.withColumn("status", F.lit("parsed")).withColumn("tokens", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def clear(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Empty tables of the same columns."""
+    return docs.where(F.lit(False)), chunks.where(F.lit(False))
+
+
 def pending(chunks: DataFrame) -> DataFrame:
     return chunks.where("vector is null")
 
@@ -85,17 +109,34 @@ def status(docs: DataFrame, chunks: DataFrame, rule: str = "any") -> DataFrame:
 
 
 def add_chunks(chunks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks typed in by hand (chunk_id, doc_id, text): numbered after the document's rows, without vector."""
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("idx"))
+    """Chunks typed in by hand (chunk_id, doc_id, text): each numbered after its document's rows and those
+    added with it, in order of chunk_id; after all other chunks in position; without vector.
+    """
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("held"))
     last = chunks.agg(F.coalesce(F.max("chunk_pos"), F.lit(-1)).alias("last"))
-    named = texts.join(counts, "doc_id", "left").join(docs.select("doc_id", "doc_name"), "doc_id", "left").crossJoin(F.broadcast(last))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+    named = texts.withColumn("place", place).join(counts, "doc_id", "left").join(docs.select("doc_id", "doc_name"), "doc_id", "left").crossJoin(F.broadcast(last))
     made = named.withColumns({
-        "idx": F.coalesce("idx", F.lit(0)).cast("int"), "doc_name": F.coalesce("doc_name", F.lit("手动新增")), "tokens": count_tokens(F.col("text")),
+        "idx": (F.coalesce("held", F.lit(0)) + F.col("place") - 1).cast("int"), "doc_name": F.coalesce("doc_name", F.lit("手动新增")), "tokens": count_tokens(F.col("text")),
         "vector": F.lit(None).cast(chunks.schema["vector"].dataType), "chunk_pos": F.col("last") + 1 + F.monotonically_increasing_id(),
     })
     return chunks.unionByName(made.select(chunks.columns))
 
 
+def build(docs: DataFrame, chunks: DataFrame, cfg: chunking.ChunkConfig, dim: int = models.DIM) -> DataFrame:
+    """``chunks`` (chunk_id, chunk_pos, doc_id, idx, text, tokens, vector) with those of ``docs`` (doc_id, text) cut, embedded and put in place of the ones they had."""
+    made = preview(docs, cfg).withColumn("chunk_id", F.sha2(F.to_json(F.struct("doc_id", "idx", "text")), 256).cast(chunks.schema["chunk_id"].dataType))
+    made = materialise(made, "chunks")
+    whole = made.join(models.embed(made, "chunk_id", dim), "chunk_id", "left").withColumn("vector", F.col("vector").cast(chunks.schema["vector"].dataType))
+    return replace_chunks(chunks, whole.withColumn("chunk_pos", F.monotonically_increasing_id()).select(chunks.columns))
+
+
+def preview(docs: DataFrame, cfg: chunking.ChunkConfig, most: int | None = None) -> DataFrame:
+    """doc_id, idx, text, tokens of the chunks that a build would make, the first ``most`` of each document; nothing is written."""
+    made = chunking.chunk(docs, cfg)
+    return made if most is None else made.where(F.col("idx") < most)
+
+
 def index_pending(chunks: DataFrame, dim: int = models.DIM) -> DataFrame:
     """``chunks`` with offline vectors for those that have none."""
     kind = chunks.schema["vector"].dataType

@@ -10,10 +10,27 @@ WORDS = "[a-z0-9][a-z0-9_\\-]*"
 HAN = "[\\u3400-\\u4dbf\\u4e00-\\u9fff]+"
 
 
+def _fnv_step(h: Column, code: Column) -> Column:
+    return (h.bitwiseXOR(code) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+
+
 def fnv(c: Column) -> Column:
     """32-bit FNV-1a over code units (of characters below 65536)."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, ch: _fnv_step(h, F.ascii(ch).cast("long")))
+
+
+def word_entries(base: Column, dim: int) -> Column:
+    """idx, v: the twelve signed entries of a word whose hash is ``base``; the k-th place is that of the hash of word, #, k."""
+    mark = _fnv_step(base, F.lit(35).cast("long"))
+    out = []
+    for k in range(12):
+        h = mark
+        for digit in str(k):
+            h = _fnv_step(h, F.lit(ord(digit)).cast("long"))
+        size = 1 + F.shiftright(base, k).bitwiseAND(F.lit(7)) / 8
+        out.append(F.struct((h % dim).alias("idx"), F.when(h.bitwiseAND(F.lit(256)) > 0, size).otherwise(-size).alias("v")))
+    return F.array(*out)
 
 
 def model_terms(c: Column) -> Column:
@@ -30,12 +47,10 @@ def model_terms(c: Column) -> Column:
 def components(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
     """key, idx, value: non-zero entries of each text's unit vector, to six places."""
     each = texts.select(key, F.explode(model_terms(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    hashed = each.select(key, "n", "w", fnv(F.col("w")).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
-    h = fnv(F.concat("w", F.lit("#"), F.col("k").cast("string")))
-    hashed = hashed.withColumn("h", h)
-    sign = F.when(F.floor(F.col("h") / 256) % 2 == 1, 1.0).otherwise(-1.0)
-    size = 1 + (F.floor(F.col("base") / F.pow(F.lit(2.0), F.col("k") % 16)) % 8) / 8
-    sums = hashed.groupBy(key, (F.col("h") % dim).alias("idx")).agg(F.sum(F.col("n") * sign * size).alias("v"))
+    # a word's hash goes on to those of its entries, so it is read once
+    entries = F.get(F.transform(F.array(fnv(F.col("w"))), lambda h: word_entries(h, dim)), F.lit(0))
+    hashed = each.select(key, "n", F.inline(entries))
+    sums = hashed.groupBy(key, "idx").agg(F.sum(F.col("n") * F.col("v")).alias("v"))
     norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return sums.join(norm, key).where("v <> 0").select(key, "idx", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
 

@@ -7,9 +7,8 @@ there is one; a query is a benchmark item with the embedding of its id.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -81,10 +80,18 @@ def index_terms(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
 
 
-@query("""select * from (values (1, '人 工 智 能 人工 工智 智能', 0), (2, 'ai v2.0 学 习 学习', 0)) t(id, terms, zero)""")
+#: Letters that stand for CJK characters, as the tables hold none.
+LATIN, HAN = "abcdefghij", "人工智能学习资料机器"
+
+
+@query(f"""with d as (select doc_id, translate(lower(text), '{LATIN}', '{HAN}') as t from documents where text is not null),
+ l as (select doc_id, list_concat(regexp_extract_all(t, {WORD}), flatten(list_transform(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fff}}]+'),
+  lambda r: list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))))) as terms from d)
+ select doc_id, len(terms)::bigint as n_terms, md5(array_to_string(terms, ' ')) as terms_md5 from l""")
 def index_terms_cjk(spark, sf):
-    rows = spark.createDataFrame([(1, "人工智能"), (2, "AI 学习 v2.0")], "id int, text string")
-    return rows.select("id", F.array_join(T.index_terms(F.col("text")), " ").alias("terms"), F.lit(0).alias("zero"))
+    d = table(spark, sf, "documents").where("text is not null")
+    t = d.select("doc_id", T.index_terms(F.translate(F.lower("text"), LATIN, HAN)).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
 
 
 @query(rf"""select doc_id, len(s)::bigint as n_sentences, md5(array_to_string(s, '|')) as md5 from (select doc_id, list_filter(list_transform(
@@ -109,6 +116,7 @@ def _sql_chain(x: str, steps: list[tuple[str, str]]) -> str:
     return sql_trim(x)
 
 
+#: The same steps as in functions/text.py, for DuckDB's dialect.
 HTML_STEPS = [(r"(?i)<script[\s\S]*?</script>", "' '"), (r"(?i)<style[\s\S]*?</style>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(?:p|div|li|h[1-6]|tr)>", "chr(10)"), ("<[^>]+>", "' '"), ("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)")]
 CLEAN_STEPS = [(r"\r\n?", "chr(10)"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "''"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")]
 
@@ -124,21 +132,28 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("md5"))
 
 
-@query("""select * from (values (1, 'name: Ann | age: 3' || chr(10) || 'x | y | z'), (2, ''), (3, 'a: 1')) t(id, lines)""")
+@query(rf"""with l as (select doc_id, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: {sql_trim('x')} <> '') as l from documents where text is not null),
+ r as (select doc_id, list_transform(l, lambda x: list_transform(string_split(x, ','), lambda v: {sql_trim("regexp_replace(v, '^" + '"|"' + "$', '', 'g')")})) as r from l),
+ o as (select doc_id, array_to_string(list_transform(r[2:], lambda x: array_to_string(case when len(x) = len(r[1]) then list_transform(range(1, len(x) + 1), lambda i: r[1][i] || ': ' || x[i]) else x end, ' | ')), chr(10)) as t from r)
+ select doc_id, length(coalesce(t, ''))::bigint as n_chars, md5(coalesce(t, '')) as md5 from o""")
 def csv_lines(spark, sf):
-    rows = spark.createDataFrame([(1, 'name,age\n"Ann",3\n\nx,y,z'), (2, "only,header"), (3, '"a"\r\n 1 ')], "id int, text string")
-    return rows.select("id", T.csv_lines(F.col("text")).alias("lines"))
+    t = table(spark, sf, "documents").where("text is not null").select("doc_id", T.csv_lines(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("md5"))
 
 
-@query("""select * from (values (1, ''), (2, '*****'), (3, 'sk-1****cdef')) t(id, masked)""")
+@query("""with k as (select page_id, substring(url, 1, (page_id % 20)::bigint) as k from pages)
+ select page_id, case when length(k) = 0 or k is null then '' when length(k) <= 8 then repeat('*', length(k)) else left(k, 4) || '****' || right(k, 4) end as masked from k""")
 def mask_key(spark, sf):
-    return spark.createDataFrame([(1, None), (2, "short"), (3, "sk-1234567890abcdef")], "id int, k string").select("id", T.mask_key(F.col("k")).alias("masked"))
+    k = table(spark, sf, "pages").select("page_id", F.substring(F.col("url"), F.lit(1), (F.col("page_id") % 20).cast("int")).alias("k"))
+    return k.select("page_id", T.mask_key(F.col("k")).alias("masked"))
 
 
-@query("""select ext, count(*)::bigint as n, bool_or(ext in ('md', 'html')) as supported from (select lower(regexp_extract(p, '\\.([^./]+)$', 1)) as ext from (values ('a.MD'), ('b/c.html'), ('d.exe'), ('e.md')) v(p)) group by ext""")
+@query(rf"""with e as (select lower(regexp_extract(p, '\.([^./]+)$', 1)) as ext from (select url as p from pages union all select source || '.' || lang from documents union all select lang || '.Md' from documents) where p is not null)
+ select ext, count(*)::bigint as n, ext in ({", ".join(f"'{e}'" for e in T.EXTENSIONS)}) as supported from e group by ext""")
 def extension_gate(spark, sf):
-    rows = spark.createDataFrame([("a.MD",), ("b/c.html",), ("d.exe",), ("e.md",)], "p string")
-    return rows.groupBy(T.extension(F.col("p")).alias("ext")).agg(F.count("*").alias("n"), F.bool_or(T.supported(F.col("p"))).alias("supported"))
+    d = table(spark, sf, "documents")
+    names = table(spark, sf, "pages").select(F.col("url").alias("p")).union(d.select(F.concat("source", F.lit("."), "lang"))).union(d.select(F.concat("lang", F.lit(".Md")))).where("p is not null")
+    return names.groupBy(T.extension(F.col("p")).alias("ext")).agg(F.count("*").alias("n"), F.bool_or(T.supported(F.col("p"))).alias("supported"))
 
 
 # -- retrieval ------------------------------------------------------------------------------
@@ -208,7 +223,7 @@ def bm25_norm(spark, sf):
 def dense_topk(spark, sf):
     v = table(spark, sf, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    s = retrieval.dense(v.select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector")), asked)
+    s = retrieval.dense(v.select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector")), asked, 10)
     return s.select("query_id", "chunk_pos", retrieval.ranked("semantic"), F.round("semantic", 6).alias("semantic")).where("rank <= 10")
 
 
@@ -265,6 +280,40 @@ def context_block(spark, sf):
     return retrieval.context_block(_refs(spark, sf), corpus(spark, sf)).select("query_id", F.md5("block").alias("block_md5"))
 
 
+SQL_FIN = SQL_REFS.split(",\n refs as")[0]
+
+
+@query(SQL_FIN + """ select query_id, chunk_pos, round(f, 4) as best from (select *, max(round(f, 9)) over (partition by query_id) as top from fin) where rank = 1 and top < 0.9""")
+def best_rejected(spark, sf):
+    found = retrieval.retrieve(corpus(spark, sf), questions(spark, sf))
+    return retrieval.best_rejected(found, 0.9).select("query_id", "chunk_pos", F.round("best", 4).alias("best"))
+
+
+@query(SQL_FIN + """ select query_id, chunk_pos, rank::int as rank, round(f, 4) as score, source as doc_name, md5(substring(text, 1, 200)) as preview_md5 from fin join documents on doc_id = chunk_pos""")
+def search_view(spark, sf):
+    d = corpus(spark, sf)
+    shown = retrieval.projected(retrieval.retrieve(d, questions(spark, sf)), d)
+    return shown.select("query_id", "chunk_pos", "rank", F.col("fused_norm").alias("score"), "doc_name", F.md5("preview").alias("preview_md5"))
+
+
+@query(SQL_REFS + f""", t as (select query_id, ref, chunk_pos, list_distinct(regexp_extract_all(lower(text), {WORD})) as terms from refs join documents on doc_id = chunk_pos where ref <= 8),
+ folded as (select query_id, list_reduce(list({{'k': [{{'ref': ref, 'pos': chunk_pos, 'terms': terms}}]}} order by ref), lambda a, b: case when len(list_filter(a.k, lambda y:
+  len(list_intersect(y.terms, b.k[1].terms)) / len(list_distinct(list_concat(y.terms, b.k[1].terms))) >= 0.3)) > 0 then a else {{'k': list_concat(a.k, b.k)}} end) as f from t group by query_id)
+ select query_id, x.ref::int as ref, x.pos as chunk_pos from (select query_id, unnest(f.k) as x from folded)""")
+def context_dedupe(spark, sf):
+    return retrieval.without_repeats(_refs(spark, sf), corpus(spark, sf), 0.3)
+
+
+@query(f"""with t as (select item_id as query_id, list_distinct(regexp_extract_all(lower(d.text), {WORD})) as a, list_distinct(regexp_extract_all(lower(b.text), {WORD})) as e from benchmark b join documents d on d.doc_id = b.item_id),
+ n as (select *, len(list_intersect(a, e)) as i, len(list_distinct(list_concat(a, e))) as u from t)
+ select query_id, round(case when len(a) > 0 then i / len(a) else 0 end, 6) as precision, round(case when len(e) > 0 then i / len(e) else 0 end, 6) as recall, round(case when u > 0 then i / u else 0 end, 6) as jaccard from n""")
+def eval_jaccard(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer"))
+    rows = table(spark, sf, "benchmark").withColumnRenamed("text", "expected").join(d, "item_id").withColumnRenamed("item_id", "query_id")
+    found = retrieval.evaluate(rows)
+    return found.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "jaccard")])
+
+
 @query(f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, best as (select query_id, max(semantic) as best from both_ group by query_id)
  select query_id, best >= 0.95 as answered, round(best, 4) + 0.0 as best from best""")
 def no_answer(spark, sf):
@@ -307,7 +356,21 @@ def hash_embedding(spark, sf):
     return models.components(table(spark, sf, "benchmark"), "item_id")
 
 
-@query()
+SQL_UNITS_OF = f"""w as (select distinct w from (select unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]*')) as w from documents union all select unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]*')) from benchmark)),
+ h as (select w, k, {SQL_FNV.format('w')} as base, {SQL_FNV.format("(w || '#' || k)")} as h from w, range(12) t(k)),
+ e as (select w, h % 1024 as idx, (case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) * (1 + ((base >> k::bigint) & 7) / 8.0::double) as v from h),
+ qs as (select id, idx, sum(v) as v from (select item_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]*')) as w from benchmark) join e using (w) group by all),
+ ds as (select id, idx, sum(v) as v from (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]*')) as w from documents) join e using (w) group by all),
+ qn as (select id, idx, round(v / sqrt(sum(v * v) over (partition by id)), 6) as v from qs),
+ dn as (select id, idx, round(v / sqrt(sum(v * v) over (partition by id)), 6) as v from ds)"""
+
+
+@query(f"""with {SQL_LEX}, {SQL_UNITS_OF}, b30 as (select query_id, chunk_pos from (select b.item_id as query_id, d1.doc_id as chunk_pos,
+  row_number() over (partition by b.item_id order by round(coalesce(x.bm25, 0.0), 9) desc, d1.doc_id) as r from benchmark b cross join documents d1 left join lex x on x.query_id = b.item_id and x.chunk_pos = d1.doc_id) where r <= 30),
+ dots as (select query_id, chunk_pos, sum(q.v * c.v) as dot from b30 join qn q on q.id = query_id join dn c on c.id = chunk_pos and c.idx = q.idx group by all),
+ sc as (select query_id, chunk_pos, round(greatest(0.0, least(0.99, (coalesce(dot, 0.0) + 0.2) * 0.95)), 4) as rerank from b30 left join dots using (query_id, chunk_pos)),
+ pl as (select *, row_number() over (partition by query_id order by rerank desc, chunk_pos) as place from sc)
+ select query_id, chunk_pos, rerank, place::int as place from pl where place <= 8""")
 def hash_rerank(spark, sf):
     d, q = corpus(spark, sf), questions(spark, sf)
     found = retrieval.retrieve(d, q, RetrieveConfig(mode="bm25"))
@@ -316,25 +379,104 @@ def hash_rerank(spark, sf):
 
 # -- chunking -------------------------------------------------------------------------------
 
+SQL_UNITS = r"regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|\s+|[^\s]')"
+#: A unit's weight; blanks add up one by one, as doubles do.
+SQL_UNIT = r"""case when regexp_matches(x, '^[A-Za-z0-9]') then 0.25::double * length(x) when regexp_matches(x, '^\s')
+ then list_reduce(list_transform(string_split(x, ''), lambda c: case when c in (' ', chr(10), chr(9)) then 0.2::double else 0.25::double end), lambda a, b: a + b) else 0.25::double end"""
+
+
+def _sql_fold(units: str, enough: float, least: str = "0") -> str:
+    """(acc, n, hit): how many units reach ``enough`` together, more than ``least`` of them."""
+    hit = f"{{0}} >= {float(enough)}::double and {{1}} > {least}"
+    first = hit.format("x", "1")
+    grown = hit.format("a.acc + b.acc", "a.n + 1")
+    return f"""list_reduce(list_transform({units}, lambda x: {{{{'acc': x, 'n': 1::bigint, 'hit': {first}}}}}),
+ lambda a, b: case when a.hit then a else {{{{'acc': a.acc + b.acc, 'n': a.n + 1, 'hit': {grown}}}}} end)""".replace("{{", "{").replace("}}", "}")
+
+
+def _sql_slices(size: int, overlap: int) -> str:
+    """CTEs up to chunks (doc_id, idx, text): windows over units, one step of the recursion a chunk."""
+    reach = lambda st, least: _sql_fold(f"w[{st}:{st} + {5 * size + 1}]", size, least)
+    back = f"list_reverse(w[greatest(st + 1, en - {5 * overlap + 1}):en])"
+    keep = f"case when en = st then 1 else greatest(1, ({_sql_fold(back, overlap)}).n) end" if overlap else "0"
+    go_on = "hit" if overlap else "hit and en < len(w)"
+    return f"""recursive un as (select doc_id, {SQL_UNITS} as u from documents where regexp_matches(text, '[^[:space:]]')),
+ ws as (select doc_id, list_transform(u, lambda x: {SQL_UNIT}) as w from un),
+ hop(doc_id, st, en, hit) as (select doc_id, 1::bigint, r.n, r.hit from (select doc_id, {reach("1", "0")} as r from ws)
+  union all select doc_id, nst, nst + r.n - 1, r.hit from (select doc_id, nst, {reach("nst", "en - nst + 1")} as r from (
+   select hop.doc_id, en, w, en + 1 - {keep} as nst from hop join ws using (doc_id) where {go_on}))),
+ cut as (select doc_id, st, en, {sql_trim("array_to_string(u[st:en], '')")} as text from hop join un using (doc_id)),
+ chunks as (select doc_id, row_number() over (partition by doc_id order by st, en) - 1 as idx, text from cut where text <> '')"""
+
+
+def _sql_greedy(parts: str, limit: int, glue: str) -> str:
+    """CTEs up to blocks (doc_id, s): ``parts`` (of documents) joined while they stay within ``limit``."""
+    joined = f"a.buf || {glue} || b.buf"
+    return f"""parts as ({parts}), fold as (select doc_id, list_reduce(list_transform(s, lambda x: {{'buf': x, 'out': []::varchar[]}}),
+  lambda a, b: case when {SQL_TOKENS.format(joined)} > {limit} then {{'buf': b.buf, 'out': list_append(a.out, {sql_trim("a.buf")})}} else {{'buf': {joined}, 'out': a.out}} end) as f from parts where len(s) > 0),
+ blocks as (select doc_id, list_append(f.out, {sql_trim("f.buf")}) as s from fold)"""
+
+
+def _sql_merged(least: int, glue: str) -> str:
+    small = SQL_TOKENS.format("s[-1]")
+    return f"merged as (select doc_id, case when len(s) > 1 and {small} < {least} then list_append(s[1:-3], s[-2] || {glue} || s[-1]) else s end as s from blocks)"
+
+
+SQL_CHUNK_ROWS = f"select doc_id, idx::int as idx, {SQL_TOKENS.format('text')} as tokens, md5(text) as md5 from chunks"
+SQL_EACH = "chunks as (select doc_id, unnest(range(len(s))) as idx, unnest(s) as text from {0})"
+SQL_SENTENCES = rf"""select doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'),
+ '[^。！？!?；;\n]+[。！？!?；;]?["''”’）)]*|\n+'), lambda x: {sql_trim('x')}), lambda x: x <> '') as s from documents"""
+SQL_PARAGRAPHS = rf"""select doc_id, list_filter(list_transform(case when len(regexp_split_to_array(t, '\n\s*\n')) <= 1 then string_split(t, chr(10)) else regexp_split_to_array(t, '\n\s*\n') end,
+ lambda x: {sql_trim('x')}), lambda x: x <> '') as s from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as t from documents)"""
+GAP = "chr(10) || chr(10)"
+#: The paragraphs of a block are what lies between its blank lines; a block of one has its lines.
+SQL_LAPPED = f"""blocks2 as (select doc_id, unnest(range(len(s))) as i, unnest(s) as text from merged),
+ lapped as (select doc_id, i as idx, text, lag(text) over (partition by doc_id order by i) as before from blocks2),
+ chunks as (select doc_id, idx, case when before is null then text else
+  case when contains(before, {GAP}) then string_split(before, {GAP})[-1] else string_split(before, chr(10))[-1] end || {GAP} || text end as text from lapped)"""
+
 
 def _chunks(cfg: chunking.ChunkConfig, spark, sf) -> DataFrame:
     c = chunking.chunk(table(spark, sf, "documents"), cfg)
     return c.select("doc_id", "idx", "tokens", F.md5("text").alias("md5"))
 
 
-for _name, _cfg in {
-    "fixed_chunks": chunking.ChunkConfig(size=64, overlap_enabled=False, markdown=False),
-    "fixed_chunks_overlap": chunking.ChunkConfig(size=64, overlap_mode="absolute", overlap_value=10, markdown=False),
-    "recursive_chunks": chunking.ChunkConfig("recursive", size=128),
-    "paragraph_chunks": chunking.ChunkConfig("paragraph", paragraph_max=200),
-    "semantic_fallback": chunking.ChunkConfig("semantic", semantic_max=200),
-}.items():
-    QUERIES[_name] = partial(_chunks, _cfg)
+@query(f"with {_sql_slices(64, 0)} {SQL_CHUNK_ROWS}")
+def fixed_chunks(spark, sf):
+    return _chunks(chunking.ChunkConfig(size=64, overlap_enabled=False, markdown=False), spark, sf)
+
+
+@query(f"with {_sql_slices(64, 10)} {SQL_CHUNK_ROWS}")
+def fixed_chunks_overlap(spark, sf):
+    return _chunks(chunking.ChunkConfig(size=64, overlap_mode="absolute", overlap_value=10, markdown=False), spark, sf)
 
 
 @query()
+def recursive_chunks(spark, sf):
+    return _chunks(chunking.ChunkConfig("recursive", size=128), spark, sf)
+
+
+@query(f"with {_sql_greedy(SQL_PARAGRAPHS, 200, GAP)}, {_sql_merged(60, GAP)}, {SQL_LAPPED} {SQL_CHUNK_ROWS}")
+def paragraph_chunks(spark, sf):
+    return _chunks(chunking.ChunkConfig("paragraph", paragraph_max=200), spark, sf)
+
+
+@query(f"with {_sql_greedy(SQL_SENTENCES, 200, chr(39) * 2)}, {_sql_merged(80, chr(39) * 2)}, {SQL_EACH.format('merged')} {SQL_CHUNK_ROWS}")
+def semantic_fallback(spark, sf):
+    return _chunks(chunking.ChunkConfig("semantic", semantic_max=200), spark, sf)
+
+
+@query(f"""with {_sql_slices(512, 77)}, t as (select doc_id, {SQL_TOKENS.format('text')} as n from chunks)
+ select doc_id, 'fixed' as strategy, count(*)::bigint as n_chunks, floor(sum(n) / count(*) + 0.5)::bigint as avg_tokens, min(n)::bigint as min_tokens, max(n)::bigint as max_tokens, 77.0::double as overlap_tokens from t group by doc_id""")
 def chunk_meta(spark, sf):
-    return chunking.chunk_meta(chunking.chunk(table(spark, sf, "documents"), chunking.ChunkConfig()))
+    made = chunking.chunk_meta(table(spark, sf, "documents"), chunking.ChunkConfig(markdown=False))
+    return made.drop("degraded", "threshold")
+
+
+@query(f"with {_sql_slices(64, 0)} {SQL_CHUNK_ROWS} where idx < 3")
+def chunk_preview(spark, sf):
+    cfg = chunking.ChunkConfig(size=64, overlap_enabled=False, markdown=False)
+    return knowledge_base.preview(table(spark, sf, "documents"), cfg, 3).select("doc_id", "idx", "tokens", F.md5("text").alias("md5"))
 
 
 # -- conversations --------------------------------------------------------------------------
@@ -372,18 +514,22 @@ def prompt(spark, sf):
 SQL_KB = "kb as (select d.doc_id as chunk_pos, d.doc_id as chunk_id, d.doc_id % 50 as doc_id, d.text, length(d.text)::bigint as tokens, e.embedding as vector from documents d left join embeddings e on e.vec_id = d.doc_id)"
 
 
-def _kb_docs(spark) -> DataFrame:
-    return spark.range(60).select(F.col("id").alias("doc_id"))
+#: Documents of the knowledge base; a chunk's is its position modulo 50, so the last ones have none.
+SQL_KB_DOCS = "(select distinct doc_id % 60 as i from documents) r"
 
 
-@query(f"with {SQL_KB} select 60::bigint as docs, count(*)::bigint as chunks, count(vector)::bigint as indexed, (count(*) - count(vector))::bigint as pending, coalesce(min_by(len(vector), case when vector is not null then chunk_pos end), 0)::bigint as dim, sum(tokens)::bigint as tokens from kb")
+def _kb_docs(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(60)).alias("doc_id")).distinct()
+
+
+@query(f"with {SQL_KB} select (select count(*) from {SQL_KB_DOCS})::bigint as docs, count(*)::bigint as chunks, count(vector)::bigint as indexed, (count(*) - count(vector))::bigint as pending, coalesce(min_by(len(vector), case when vector is not null then chunk_pos end), 0)::bigint as dim, sum(tokens)::bigint as tokens from kb")
 def kb_stats(spark, sf):
-    return knowledge_base.stats(_kb_docs(spark), kb_chunks(spark, sf))
+    return knowledge_base.stats(_kb_docs(spark, sf), kb_chunks(spark, sf))
 
 
-@query(f"with {SQL_KB} select r.i as doc_id, count(kb.doc_id)::bigint as n_chunks from range(60) r(i) left join kb on kb.doc_id = r.i group by r.i")
+@query(f"with {SQL_KB} select r.i as doc_id, count(kb.doc_id)::bigint as n_chunks from {SQL_KB_DOCS} left join kb on kb.doc_id = r.i group by r.i")
 def docs_chunk_count(spark, sf):
-    return knowledge_base.chunk_counts(_kb_docs(spark), kb_chunks(spark, sf))
+    return knowledge_base.chunk_counts(_kb_docs(spark, sf), kb_chunks(spark, sf))
 
 
 @query(f"with {SQL_KB} select chunk_id, doc_id, vector is not null as has_vector from kb where contains(lower(text), 'the') order by chunk_pos limit 20 offset 5")
@@ -411,17 +557,17 @@ def replace_chunks(spark, sf):
 
 @query(f"with {SQL_KB} select doc_id, count(*)::bigint as n from kb where doc_id not in (1, 2) group by doc_id")
 def delete_doc(spark, sf):
-    _, chunks = knowledge_base.delete_documents(_kb_docs(spark), kb_chunks(spark, sf), spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    _, chunks = knowledge_base.delete_documents(_kb_docs(spark, sf), kb_chunks(spark, sf), spark.createDataFrame([(1,), (2,)], "doc_id long"))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {SQL_KB}, s as (select doc_id, bool_and(vector is not null or chunk_id % 2 = 0) as ready from kb group by doc_id)
- select r.i as doc_id, case when s.ready is null then 'parsed' when s.ready then 'indexed' else 'chunked' end as status from range(60) r(i) left join s on s.doc_id = r.i""")
+ select r.i as doc_id, case when s.ready is null then 'parsed' when s.ready then 'indexed' else 'chunked' end as status from {SQL_KB_DOCS} left join s on s.doc_id = r.i""")
 def set_vectors(spark, sf):
     kb = kb_chunks(spark, sf)
     zero = F.array(F.lit(0.0).cast("float"))
     filled = knowledge_base.set_vectors(kb, kb.where("chunk_id % 2 = 0").select("chunk_id", F.coalesce("vector", zero).alias("new_vector")))
-    return knowledge_base.status(_kb_docs(spark), filled, "all")
+    return knowledge_base.status(_kb_docs(spark, sf), filled, "all")
 
 
 @query(f"with {SQL_KB} select chunk_id, doc_id from kb where chunk_id % 5 <> 0")
@@ -435,6 +581,43 @@ def index_pending(spark, sf):
     return knowledge_base.index_pending(kb_chunks(spark, sf), 64).select("chunk_id", F.size("vector").cast("long").alias("dim"))
 
 
+@query(f"with {SQL_KB} select count(*)::bigint as total from kb where contains(lower(text), 'the')")
+def browse_total(spark, sf):
+    return knowledge_base.browse_total(kb_chunks(spark, sf), "THE")
+
+
+@query(f"with {SQL_KB} select floor(avg(tokens) + 0.5)::bigint as avg_tokens from (select tokens from kb where contains(lower(text), 'the') order by chunk_pos limit 20 offset 5)")
+def page_average(spark, sf):
+    return knowledge_base.page_average(knowledge_base.browse(kb_chunks(spark, sf), "THE", offset=5, limit=20))
+
+
+def _named_chunks(spark, sf) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_pos")) - 1
+    return kb_chunks(spark, sf).withColumn("idx", place).withColumn("doc_name", F.lit("d"))
+
+
+@query(f"""with {SQL_KB}, n as (select doc_id, count(*) as n from kb group by doc_id),
+ t as (select -item_id - 1 as chunk_id, item_id % 70 as doc_id, text from benchmark),
+ p as (select *, row_number() over (partition by doc_id order by chunk_id) - 1 as p from t)
+ select chunk_id, p.doc_id, (coalesce(n, 0) + p)::int as idx, case when p.doc_id < 60 then 'd' else '手动新增' end as doc_name, {SQL_TOKENS.format('text')} as tokens from p left join n using (doc_id)""")
+def add_chunk(spark, sf):
+    texts = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("chunk_id"), F.pmod("item_id", F.lit(70)).alias("doc_id"), "text")
+    made = knowledge_base.add_chunks(_named_chunks(spark, sf), texts, _kb_docs(spark, sf).withColumn("doc_name", F.lit("d")))
+    return made.where("chunk_id < 0 and vector is null").select("chunk_id", "doc_id", "idx", "doc_name", "tokens")
+
+
+@query(f"select i as doc_id, 'parsed' as status, 0::bigint as tokens from {SQL_KB_DOCS} union all select -item_id - 1, 'parsed', 0 from benchmark")
+def add_document(spark, sf):
+    docs = knowledge_base.add_documents(_kb_docs(spark, sf).limit(0).select("doc_id", F.lit("x").alias("doc_name"), F.lit("parsed").alias("status"), F.lit(0).cast("long").alias("tokens")), _kb_docs(spark, sf).withColumn("doc_name", F.lit("a")))
+    new = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("b").alias("doc_name"))
+    return knowledge_base.add_documents(docs, new).select("doc_id", "status", "tokens")
+
+
+@query("select 0::bigint as docs, 0::bigint as chunks, 0::bigint as indexed, 0::bigint as pending, 0::bigint as dim, 0::bigint as tokens")
+def cleared(spark, sf):
+    return knowledge_base.stats(*knowledge_base.clear(_kb_docs(spark, sf), kb_chunks(spark, sf)))
+
+
 # -- sources --------------------------------------------------------------------------------
 
 
@@ -490,3 +673,57 @@ def refusals(spark, sf):
 def context_budget(spark, sf):
     c = table(spark, sf, "conversations")
     return dialogue.within_budget(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("ref"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens")), 400)
+
+
+def _first_words(prompts: list[str]) -> list[str]:
+    """A model of the tests' kind: words 1 to 5 and 6 to 10 of the question as two queries."""
+    import json
+    import re
+
+    found = [re.findall("[A-Za-z]+", p.rsplit(dialogue.ASKED, 1)[-1]) for p in prompts]
+    return [json.dumps({"queries": [" ".join(w[:5]), " ".join(w[5:10])]}) for w in found]
+
+
+@query("""with w as (select item_id as query_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark where text is not null)
+ select query_id, v::int as variant, array_to_string(w[5 * v + 1:5 * v + 5], ' ') as text, 'multi' as mode from w, range(2) t(v)""")
+def rewrite_variants(spark, sf):
+    asked = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
+    return dialogue.rewrite(asked, _first_words, "multi")
+
+
+@query("""with n as (select item_id as query_id, len(regexp_extract_all(text, '[A-Za-z]+')) as n from benchmark where len(regexp_extract_all(text, '[A-Za-z]+')) > 1)
+ select query_id, (n - n % 2)::bigint as chunk_pos, (n % 2)::int as iteration from n join documents on doc_id = n - n % 2""")
+def retry_rounds(spark, sf):
+    # a question of an even number of words finds the document of that number; another is asked again without its last word
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").where(F.size(words) > 1)
+    search = lambda q: q.select("query_id", F.size(words).cast("long").alias("chunk_pos")).where("chunk_pos % 2 = 0").join(docs, "chunk_pos")
+    propose = lambda q: q.select("query_id", F.array_join(F.slice(words, 1, F.size(words) - 1), " ").alias("new_text"))
+    return dialogue.with_retries(asked, search, propose, 1).select("query_id", "chunk_pos", "iteration")
+
+
+@query("""select item_id as query_id, i::int as index, round((item_id % 7 + i) / 100.0::double, 6) as score from benchmark, range(3) t(i)""")
+def rerank_responses(spark, sf):
+    # services answer in four shapes and name their scores in four ways
+    item = lambda name: F.array(*[F.struct(F.lit(i).alias("index"), ((F.col("item_id") % 7 + i) / 100).alias(name)) for i in range(3)])
+    shapes = [
+        F.to_json(F.struct(item("relevance_score").alias("results"))), F.to_json(F.struct(F.struct(item("score").alias("results")).alias("output"))),
+        F.to_json(F.struct(item("relevance").alias("data"))), F.to_json(F.struct(item("similarity").alias("documents"))),
+    ]
+    shape = F.element_at(F.array(*shapes), (F.col("item_id") % 4 + 1).cast("int"))
+    found = dialogue.response_items(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "item_id", shape.alias("answer")))
+    return found.select("query_id", "index", F.round("score", 6).alias("score"))
+
+
+@query()
+def incremental_index(spark, sf):
+    """Documents written as files, one each, and indexed by the streaming job."""
+    from quarry.storage import scratch
+    from quarry.streaming import indexing
+
+    base = scratch(spark, "incremental")
+    table(spark, sf, "documents").where("text is not null").select("doc_id", "text").write.partitionBy("doc_id").option("lineSep", "\n").text(f"{base}/in")
+    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(), 64).awaitTermination()
+    made = spark.read.parquet(f"{base}/out")
+    return made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"), F.min(F.size("vector")).cast("long").alias("dim"))

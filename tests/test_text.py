@@ -40,41 +40,3 @@ def test_overlap_sizes():
     assert chunking.ChunkConfig(size=512).overlap == 77
     assert chunking.ChunkConfig(overlap_enabled=False).overlap == 0
     assert chunking.ChunkConfig(overlap_mode="absolute", overlap_value=30).overlap == 30
-
-
-def test_slide_sizes_and_overlap():
-    text = "".join(f"句{i}内容" for i in range(200))
-    plain, lapped = chunking.slide(text, 20, 0), chunking.slide(text, 20, 8)
-    assert "".join(plain) == text and len(lapped) > len(plain)
-    assert all(chunking.tokens(c) <= 45 for c in chunking.slide("hello world 你好 " * 30, 30, 0))
-    assert any(lapped[0].endswith(lapped[1][:k]) for k in range(3, 12))
-
-
-def test_slide_ends_on_a_boundary_with_the_overlap_alone():
-    assert chunking.slide("一二三四", 4, 2) == ["一二三四", "三四"]
-    assert chunking.slide("一二三四", 2, 1) == ["一二", "二三", "三四", "四"]
-
-
-def test_strategies():
-    text = "\n\n".join("para graph number %d with words. " % i * 8 for i in range(20))
-    assert all(chunking.tokens(c) <= 60 for c in chunking.cut(text, chunking.ChunkConfig("recursive", size=60, overlap_enabled=False)))
-    assert len(chunking.cut(text, chunking.ChunkConfig("paragraph", paragraph_max=200, overlap_paragraphs=0))) > 2
-    assert chunking.cut("  \n ", chunking.ChunkConfig()) == [] and chunking.cut(None, chunking.ChunkConfig()) == []
-
-    def embed(sentences):
-        return [[float(sum(ord(c) % 8 == k for c in s)) for k in range(8)] for s in sentences]
-
-    cfg = chunking.ChunkConfig("semantic", semantic_max=200, semantic_min=40, overlap_enabled=False)
-    found = chunking.cut("今天天气不错。我们去散步吧！" * 40, cfg, embed)
-    # the limit is on the sum of the sentences' rounded estimates; the estimate of the whole group can lie above it
-    assert len(found) > 1 and all(sum(map(chunking.tokens, chunking.split_sentences(c))) <= 200 for c in found)
-
-
-def test_heading_moves_on():
-    assert chunking.move_headings(["text\n## Title", "body"]) == ["text", "## Title\nbody"]
-    assert chunking.move_headings(["# Only", "body"]) == ["# Only", "body"]
-
-
-def test_chunk_job_handles_null_and_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a b c", "z")], "doc_id long, text string, tokens string")
-    assert [tuple(r) for r in chunking.chunk(docs, chunking.ChunkConfig()).collect()] == [(3, 0, "a b c", 1)]
