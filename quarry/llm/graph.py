@@ -18,8 +18,11 @@ def join_unique(rows: DataFrame, side: DataFrame, key: list[str], total: int) ->
     which there are a constant number at most, are broadcast, so that no task gets all rows of one.
     """
     bound = max(FREQUENT, total // SHARE)
-    hot = F.broadcast(side.where(F.col("m") > bound).drop("m"))
-    cold = side.where(F.col("m") <= bound).drop("m")
+    side = materialise(side, "side")
+    often = F.col("m") > bound
+    if side.where(often).isEmpty():
+        return rows.join(side.drop("m"), key)
+    hot, cold = F.broadcast(side.where(often).drop("m")), side.where(~often).drop("m")
     return rows.join(hot.select(key), key, "left_anti").join(cold, key).unionByName(rows.join(hot, key))
 
 

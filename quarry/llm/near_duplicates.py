@@ -39,8 +39,9 @@ from quarry.storage import materialise
 
 NGRAM, THRESHOLD = 5, 0.8
 RECALL, ROWS = 0.9999, 4
-#: n-grams of the sets in one block.
+#: n-grams of the sets in one block; candidates (about 30 bytes each) that are broadcast to the texts at most.
 BLOCK = 1 << 17
+CANDIDATES = 2_000_000
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -222,7 +223,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
     sized = members.join(copies.select("node", "n", "own.r"), "node")
     blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("m"))
     members = materialise(join_unique(sized, blocks, ["comp"], total).select("node", "comp", "blocks", "r"), "members")
-    sets = sets_of(docs.select("r", "text").join(members, "r"), n)
+    # texts stay where they are while the candidates are few enough; beyond, both sides are shuffled by row
+    sets = sets_of(docs.select("r", "text").join(F.broadcast(members) if members.count() <= CANDIDATES else members, "r"), n)
     dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "set")
     together = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node")
