@@ -6,6 +6,8 @@ sequence (one segmented minimum), applies that pair at all of its places in all
 sequences at once, and closes the gaps. What is left of a sequence when no pair
 has a rank is its token count. Counts of short words are remembered per worker.
 
+A word of very many characters takes rounds that grow with its length.
+
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated
 results; other columns are ignored. No shuffle.
 """

@@ -65,3 +65,20 @@ def test_items_of_many_words(spark):
         assert {(x["doc_id"], x["n_words"], x["n_hit"]) for x in decontaminate.decontaminate(docs, items, bound=bound).collect()} == want
     found = decontaminate.anchors(docs, items).agg(F.sum(F.size("iw"))).first()[0]
     assert found < 2 * decontaminate.WINDOW * 8000
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables and labels, a very long text and columns whose names clash."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = "doc_id long, text string, lang string, score string, __r string, n string, part string"
+    long = " ".join(f"w{k % 997}x{k // 997}" for k in range(150_000))
+    rows = [(1, PROSE[0], "aa"), (2, long, "aa"), (None, None, None), (3, "", "aa"), (4, PROSE[1], None)]
+    docs = spark.createDataFrame([(*r, *"zzzz") for r in rows], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).isEmpty(), name
+        found = stage(spark, docs, str(tmp_path))
+        ids = {r["doc_id"] for r in found.select("doc_id").collect()}
+        assert ids >= {1, 2, 4}, name
+        if name != "packing":
+            assert found.columns == docs.columns, name
