@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, dialogue, retrieval
+from quarry.operators import conversations, chunking, dialogue, retrieval
 from quarry.sources import files
 from quarry.streaming import indexing
 
@@ -99,16 +99,38 @@ def test_stream(spark, folder):
 def test_rewrite(spark):
     q = spark.createDataFrame([(1, "one"), (2, "two"), (3, "bad"), (4, "none")], "query_id long, text string")
 
+    multi, hyding, asked = "检索查询生成专家", "假设性答案", dialogue.ASKED
+
     def model(prompts):
-        return ['"single"' if x.startswith("single") else {"one": 'so {"queries": ["a", "", "b", "c", "d"]}', "two": '{"queries": []}', "bad": "{"}.get(x.split("\n")[-1], '{"other": 1}') for x in prompts]
+        return [{"one": 'so {"queries": ["a", "", "b", "c", "d"]}', "two": '{"queries": []}', "bad": "{"}.get(x.rsplit(asked, 1)[-1], '{"other": 1}') if multi in x else '"single"' for x in prompts]
 
     got = sorted(map(tuple, dialogue.rewrite(q, model, "multi").collect()))
     assert got == [(1, 0, "a", "multi"), (1, 1, "b", "multi"), (1, 2, "c", "multi"), (2, 0, "single", "single"), (3, 0, "bad", "error"), (4, 0, "single", "single")]
-    hyde = dialogue.rewrite(q, lambda ps: [" " if "two" in x and x.startswith("hyde") else " long " for x in ps], "hyde")
+    hyde = dialogue.rewrite(q, lambda ps: [" " if "two" in x and hyding in x else " long " for x in ps], "hyde")
     assert sorted(map(tuple, hyde.where("query_id < 3").collect())) == [(1, 0, "one", "hyde"), (1, 1, "long", "hyde"), (2, 0, "long", "single")]
     assert {tuple(r) for r in dialogue.rewrite(q, lambda ps: 1 / 0, "single").select("text", "mode").collect()} == {(t, "error") for t in ("one", "two", "bad", "none")}
 
 
+def test_prompts(spark):
+    said = [(1, 0, "user", "first"), (1, 1, "assistant", "answer"), (1, 2, "user", "what now {q}?"), (2, 0, "user", "alone")]
+    talk = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
+    rows = conversations.last_user(talk).withColumnRenamed("question", "text").join(dialogue.histories(talk), "conv_id", "left").withColumn("history", F.coalesce("history", F.lit("")))
+    got = {r["conv_id"]: r for r in rows.select("conv_id", dialogue.rewrite_prompt("single", "P").alias("s"), dialogue.rewrite_prompt("multi", "", 4).alias("m"), dialogue.rewrite_prompt("hyde").alias("h")).collect()}
+    assert got[1]["s"] == dialogue.REWRITE_SYSTEM + "\nuser: first\nassistant: answer\nP\n\n" + dialogue.ASKED + "what now {q}?"
+    assert got[2]["s"] == dialogue.REWRITE_SYSTEM + "\nP\n\n" + dialogue.ASKED + "alone"
+    assert "生成 4 个" in got[2]["m"] and got[2]["m"].endswith(dialogue.ASKED + "alone") and got[1]["h"].endswith("问题：what now {q}?")
+    one = spark.range(1).select(dialogue.retry_prompt(F.lit("q1"), F.array(F.lit("a"), F.lit("b"))).alias("r"), dialogue.score_prompt(F.lit("q1"), F.array(F.lit("x" * 2000), F.lit("y"))).alias("s")).first()
+    assert one["r"].endswith("原始问题：q1\n已尝试的查询：a；b") and one["s"].endswith("[#0] " + "x" * 1200 + "\n\n[#1] y")
+
+
+def test_rerank_responses_of_models(spark):
+    rows = [(1, 'so {"scores": [{"index": 0, "score": 87}, {"index": 1}, {"score": 3}]} ok'), (2, "no json"), (3, None), (4, '{"data": [{"index": "2", "score": "50"}]}')]
+    got = dialogue.response_items(spark.createDataFrame(rows, "query_id long, answer string"), percent=True).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0.87), (4, 2, 0.5)]
+    nested = [(1, '{"documents": [{"document": {"index": 3}, "similarity": 0.25}]}'), (2, '{"results": "none"}')]
+    assert [tuple(r) for r in dialogue.response_items(spark.createDataFrame(nested, "query_id long, answer string")).collect()] == [(1, 3, 0.25)]
+
+
 def test_rerank(spark):
     c = spark.createDataFrame([(1, 10, 1, 0.5), (1, 11, 2, 0.4), (2, 10, 1, 0.3)], "query_id long, chunk_pos long, rank int, fused_norm double")
     items = spark.createDataFrame([(1, 1, 0.9), (1, 5, 0.8), (1, 0, None), (2, 0, float("nan"))], "query_id long, index int, score double")
