@@ -29,6 +29,8 @@ def _matching(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without a letter or with a narrow margin go."""
+    # whole rows go through Python here: small batches keep its workers small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     found = language_id.identify(docs, language_id.learn(docs), prefix="__", columns=docs.columns)
     return found.where("not __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
