@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversations, dialogue, knowledge_base, models, retrieval
+from quarry.operators import chunking, conversations, dialogue, knowledge_base, models, retrieval, statistics
 from quarry.operators.retrieval import RetrieveConfig
 from quarry.sources import files
 from quarry.storage import table
@@ -339,9 +339,8 @@ def adjacent_cosine(spark, sf):
 
 @query(f"with {SQL_ADJ}, l as (select list_sort(list(sim)) as s from a where sim is not null) select round(s[1 + floor((len(s) - 1) * 0.85)::int], 6) as threshold from l")
 def percentile_break(spark, sf):
-    sims = _adjacent(spark, sf)
-    n = sims.count()
-    return sims.orderBy("sim").offset(int((n - 1) * 85 / 100)).limit(1).select(F.round("sim", 6).alias("threshold"))
+    found = statistics.discrete_percentile(_adjacent(spark, sf), "sim", 85)
+    return spark.createDataFrame([(found,)], "threshold double").select(F.round("threshold", 6).alias("threshold"))
 
 
 SQL_FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
