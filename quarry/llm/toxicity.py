@@ -32,8 +32,8 @@ SAMPLE_TERMS, TEXT_TERMS = 8 << 20, 1 << 14
 #: Bits of a hashed term; terms kept for their own effect, its least chi-square, and least texts that hold one.
 BITS = 22
 TERMS, LEAST_CHI, LEAST_TEXTS = 1024, 15.0, 3
-#: Frequent terms whose pairs are tried, pairs kept at most, a pair's least chi-square (of two million) and least texts.
-PAIRED, PAIRS, PAIR_CHI, PAIR_TEXTS = 2048, 128, 40.0, 10
+#: Frequent terms whose pairs are tried, pairs kept at most, a pair's least chi-square (of half a million) and least texts.
+PAIRED, PAIRS, PAIR_CHI, PAIR_TEXTS = 1024, 128, 40.0, 10
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.02, 1e-4
 
@@ -103,7 +103,8 @@ def _in_pairs(row: np.ndarray, which: np.ndarray, seen: np.ndarray, y: np.ndarra
     keep = place[which] >= 0
     x = np.zeros((n, len(often)), np.float32)
     x[row[keep], place[which[keep]]] = 1
-    both, of_one = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
+    ones = x[y > 0]
+    both, of_one = x.T @ x, ones.T @ ones
     chi = (of_one - both * share) ** 2 / np.maximum(both * share * (1 - share) * np.maximum(1 - both / n, 1e-9), 1e-9)
     chi[both < PAIR_TEXTS] = 0
     np.fill_diagonal(chi, 0)
