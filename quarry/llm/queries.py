@@ -127,8 +127,68 @@ from dw left join places p using (doc_id) left join found f using (doc_id)
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.whitening import whiten_rows
+
+    return whiten_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Verdicts are bits of a number; a step's state has the bits of the filters before it.
+OP12_SQL = r"""
+with l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by text) as least from t),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+  + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > least, false)::int as m
+  from w left join l using (doc_id)),
+g as (select part, m, good, toxic, count(*) as n from m group by all),
+x as (select unnest(string_split('ABCDE', '')) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as o from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select o, s, substr(o, s, 1) as f, (1 << (instr('ABCDE', substr(o, s, 1)) - 1))::int as bit,
+  list_reduce(list_prepend(0, list_transform(range(1, s), lambda i: (1 << (instr('ABCDE', substr(o, i, 1)) - 1))::int)), lambda p, q: p + q) as state from o, range(1, 6) r(s)),
+c as (select part, o, s, f, sum(case when m & (state | bit) = 0 then n else 0 end) as kept, sum(case when m & state = 0 and m & bit <> 0 then n else 0 end) as removed,
+  sum(case when m & state <> 0 and m & bit <> 0 then n else 0 end) as redundant, sum(case when m = bit then n else 0 end) as unique_fails,
+  sum(case when m & state = 0 and m & bit <> 0 and good then n else 0 end) as good_lost, sum(case when m & state = 0 and m & bit <> 0 and toxic then n else 0 end) as toxic_lost
+  from g, s group by all)
+select part, o as filter_order, s::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from c
+"""
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+#: What all slots of a source take together is the first words of its circle, up to its target.
+OP13_SQL = r"""
+with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size,
+  md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as shuffle from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from d group by source),
+w as (select *, 2 * source_size as bound, [5, 2, 1][((place - 1) % 3 + 1)::int] as weight from s),
+c as (select *, row_number() over (order by bound / weight, place) as k, coalesce(sum(bound) over (order by bound / weight, place rows between unbounded preceding and 1 preceding), 0)::bigint as full_words,
+  sum(weight) over (order by bound / weight, place rows between current row and unbounded following) as open_weight from w),
+v as (select arg_min(level, k) as level from (select k, bound / weight as most, (1.5::double * (select sum(source_size) from s)::bigint - full_words) / open_weight as level from c) where level <= most),
+t as (select source, source_size, least(bound::double, level * weight) as target, least(bound, round(level * weight)::bigint) as words from w, v),
+b as (select doc_id, size, source_size, target, words, coalesce(sum(size) over (partition by d.source order by shuffle, doc_id, size rows between unbounded preceding and 1 preceding), 0) as lo from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target, (greatest(0, least(lo + size, words) - lo) + greatest(0, least(lo + source_size + size, words) - lo - source_size))::bigint as taken from b
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_ngram_join, op3_url_filters, op4_quality_rules, op5_warc, op6_toxicity, op7_decontamination, op8_packing, op9_chunk_store, op10_language_id)
-}
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_decontamination": OP7_SQL.replace("\\\\", "\\")}
+    for f in (
+        op1_token_counts, op2_ngram_join, op3_url_filters, op4_quality_rules, op5_warc, op6_toxicity, op7_decontamination, op8_packing, op9_chunk_store, op10_language_id,
+        op11_embedding_whitening, op12_filter_audit, op13_source_mixing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": OP5_SQL, "op7_decontamination": OP7_SQL.replace("\\\\", "\\"), "op12_filter_audit": OP12_SQL.replace("\\\\", "\\"), "op13_source_mixing": OP13_SQL.replace("\\\\", "\\"),
+}
