@@ -79,12 +79,12 @@ from p left join r on p.html = r.html
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.toxicity import fit, score
+    from quarry.llm.toxicity import fit_by_id, score
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = labels.where(fold != 0).select("doc_id", F.col("toxic").alias("label"))
-    machine = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    machine = fit_by_id(docs.select("doc_id", "text"), known)
     return score(docs, machine).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

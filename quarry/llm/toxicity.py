@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices, texts
 from quarry.llm.words import Words
+from quarry.storage import materialise
 
 #: Labelled texts fitted on, their terms in all, and of one text (those with the least hashes); a term takes four bytes.
 SAMPLE_ROWS = 20_000
@@ -32,8 +33,10 @@ SAMPLE_TERMS, TEXT_TERMS = 8 << 20, 1 << 14
 #: Bits of a hashed term; terms kept for their own effect, its least chi-square, and least texts that hold one.
 BITS = 22
 TERMS, LEAST_CHI, LEAST_TEXTS = 1024, 15.0, 3
-#: Frequent terms whose pairs are tried, pairs kept at most, a pair's least chi-square (of half a million) and least texts.
-PAIRED, PAIRS, PAIR_CHI, PAIR_TEXTS = 1024, 128, 40.0, 10
+#: Pairs kept at most, a pair's least chi-square (of millions that are tried) and least texts; terms, the most frequent, whose pairs are counted as a matrix.
+PAIRS, PAIR_CHI, PAIR_TEXTS, DENSE = 128, 40.0, 10, 2048
+#: Rows of such a matrix at a time.
+ROWS = 4096
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.02, 1e-4
 
@@ -70,9 +73,25 @@ class Machine:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_terms: int = SAMPLE_TERMS) -> Machine:
     """A machine from rows of text, label; of texts with both labels the larger counts."""
-    known = labelled.where("label is not null").select("text", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    chosen = known.groupBy("h").agg(F.max("label").alias("label")).orderBy("h").limit(sample_rows)
-    drawn = known.drop("label").join(F.broadcast(chosen), "h")
+    known = _hashed(labelled.where("label is not null"), "label")
+    return _sampled(known.select("h", "label"), known.select("h", "text"), sample_rows, sample_terms)
+
+
+def fit_by_id(docs: DataFrame, known: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_terms: int = SAMPLE_TERMS) -> Machine:
+    """A machine from documents (doc_id, text) and labels by id (doc_id, label): ids meet labels without the texts, of which those of the sample alone are read again."""
+    hashed = _hashed(docs, "doc_id")
+    said = hashed.select("doc_id", "h").join(known.where("label is not null").select("doc_id", "label"), "doc_id")
+    return _sampled(said.select("h", "label"), hashed.select("h", "text"), sample_rows, sample_terms)
+
+
+def _hashed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *columns)
+
+
+def _sampled(said: DataFrame, held: DataFrame, sample_rows: int, sample_terms: int) -> Machine:
+    """A machine from the labels of texts (h, label) and the texts (h, text)."""
+    chosen = said.groupBy("h").agg(F.max("label").alias("label")).orderBy("h").limit(sample_rows)
+    drawn = held.join(F.broadcast(chosen), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -84,33 +103,87 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_terms: int =
             edges = np.concatenate(([0], np.cumsum(np.minimum(n, TEXT_TERMS)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.ListArray.from_arrays(pa.array(edges), pa.array(term[keep].astype(np.int32))), b.column("label").cast(pa.int32())], ["h", "terms", "label"])
 
-    held = drawn.mapInArrow(run, "h long, terms array<int>, label int").dropDuplicates(["h"])
-    before = F.sum(F.size("terms")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))  # over sample_rows rows at most
-    rows = held.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_terms).orderBy("h").select("terms", "label").toArrow()
+    listed = drawn.mapInArrow(run, "h long, terms array<int>, label int").dropDuplicates(["h"])
+    listed = materialise(listed, "sample")
+    # sample_rows rows at most: the running sum is over sizes, the terms aren't sorted
+    before = F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    within = listed.select("h", F.size("terms").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_terms)
+    rows = listed.join(F.broadcast(within.select("h")), "h").select("h", "terms", "label").toArrow().sort_by("h")
     y = rows.column("label").to_numpy().astype(np.float64)
     size = np.array([len(t) for t in rows.column("terms")], np.int64)
     flat = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in rows.column("terms").chunks if len(c)] or [np.zeros(0, np.int32)])
     return _fit(np.repeat(np.arange(len(y)), size), flat, y)
 
 
+def _chi(both: np.ndarray, of_one: np.ndarray, n: int, share: float) -> np.ndarray:
+    """Chi-square of pairs held by ``both`` texts, ``of_one`` of them with label 1."""
+    return (of_one - both * share) ** 2 / np.maximum(both * share * (1 - share) * np.maximum(1 - both / n, 1e-9), 1e-9)
+
+
 def _in_pairs(row: np.ndarray, which: np.ndarray, seen: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Terms of the pairs that tell the labels apart, of the most frequent ones; neither needs an effect of its own."""
+    """Terms of the pairs that tell the labels apart; neither needs an effect of its own.
+
+    Every pair of terms with enough texts is tried: pairs of the ``DENSE`` most frequent terms as a
+    matrix, those of a rarer one with any other from the texts that hold it. Of the latter, pairs
+    with too few texts of label 1 to tell it are not counted in full.
+    """
     n, share = len(y), y.mean()
-    often = np.argsort(-seen, kind="stable")[:PAIRED]
-    often = often[seen[often] >= LEAST_TEXTS]
+    often = np.argsort(-seen, kind="stable")[:DENSE]
+    often = often[seen[often] >= PAIR_TEXTS]
     place = np.full(len(seen), -1)
     place[often] = np.arange(len(often))
-    keep = place[which] >= 0
-    x = np.zeros((n, len(often)), np.float32)
-    x[row[keep], place[which[keep]]] = 1
-    ones = x[y > 0]
-    both, of_one = x.T @ x, ones.T @ ones
-    chi = (of_one - both * share) ** 2 / np.maximum(both * share * (1 - share) * np.maximum(1 - both / n, 1e-9), 1e-9)
-    chi[both < PAIR_TEXTS] = 0
-    np.fill_diagonal(chi, 0)
-    top = np.sort(chi.ravel())[-2 * PAIRS] if chi.size > 2 * PAIRS else 0
-    a, b = np.nonzero(chi >= max(PAIR_CHI, top))
-    return often[np.union1d(a, b)]
+    both, of_one = np.zeros((2, len(often), len(often)))
+    ends = np.searchsorted(row, np.arange(n + 1))
+    for lo in range(0, n, ROWS):
+        hi = min(n, lo + ROWS)
+        at = slice(ends[lo], ends[hi])
+        keep = place[which[at]] >= 0
+        x = np.zeros((hi - lo, len(often)), np.float32)
+        x[row[at][keep] - lo, place[which[at][keep]]] = 1
+        ones = x[y[lo:hi] > 0]
+        both += x.T @ x
+        of_one += ones.T @ ones
+    chi = np.triu(np.where(both >= PAIR_TEXTS, _chi(both, of_one, n, share), 0), 1)
+    a, b = np.nonzero(chi >= PAIR_CHI)
+    found = [(chi[a, b], often[a], often[b]), *_rare_pairs(row, which, seen, y, place, ends)]
+    value, a, b = (np.concatenate(c) for c in zip(*found))
+    best = np.lexsort((b, a, -value))[:PAIRS]
+    return np.union1d(a[best], b[best])
+
+
+def _rare_pairs(row: np.ndarray, which: np.ndarray, seen: np.ndarray, y: np.ndarray, place: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """chi, a, b of the pairs that tell label 1, of a term a beyond the most frequent and any term b."""
+    n, share = len(y), y.mean()
+    # a pair of PAIR_TEXTS texts or more needs so many of label 1 at least
+    counts = np.arange(1, n + 1)
+    enough = _chi(np.maximum(counts, PAIR_TEXTS).astype(float), counts.astype(float), n, share) >= PAIR_CHI
+    least = int(counts[enough & (counts > share * np.maximum(counts, PAIR_TEXTS))].min(initial=n + 1))
+    seen1 = np.bincount(which, weights=y[row], minlength=len(seen)).astype(int)
+    able = np.flatnonzero((seen1 >= least) & (seen >= PAIR_TEXTS))
+    slot = np.full(len(seen), -1)
+    slot[able] = np.arange(len(able))
+    kept = slot[which] >= 0
+    row, which = row[kept], slot[which[kept]]  # only terms that can be in such a pair, by their place in able
+    ends = np.searchsorted(row, np.arange(n + 1))
+    order = np.argsort(which, kind="stable")
+    holders, first = row[order], np.searchsorted(which[order], np.arange(len(able) + 1))
+    frequent = place[able] >= 0
+
+    def held(texts: np.ndarray) -> np.ndarray:
+        """How many of ``texts`` hold each term."""
+        size = ends[texts + 1] - ends[texts]
+        at = np.repeat(ends[texts] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(which[at], minlength=len(able))
+
+    for a in np.flatnonzero(~frequent).tolist():
+        texts = holders[first[a] : first[a + 1]]
+        of_one = held(texts[y[texts] > 0])
+        b = np.flatnonzero((of_one >= least) & (frequent | (np.arange(len(able)) > a)))
+        if len(b):
+            both = held(texts)[b].astype(float)
+            chi = np.where(both >= PAIR_TEXTS, _chi(both, of_one[b].astype(float), n, share), 0)
+            good = chi >= PAIR_CHI
+            yield chi[good], able[np.full(good.sum(), a)], able[b[good]]
 
 
 def _fit(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> Machine:

@@ -230,3 +230,35 @@ def test_the_shuffle_is_by_hash(spark):
     docs = spark.createDataFrame([(k, f"text {k}", "s") for k in range(20)], "doc_id long, text string, source string")
     begin = {r["doc_id"]: r["begin"] for r in mixing.pieces(docs).collect()}
     assert sorted(begin, key=begin.get) == sorted(begin, key=lambda k: hashlib.md5(f"{k}:text {k}".encode()).hexdigest())
+
+
+# -- op6 ------------------------------------------------------------------------------------
+
+
+def test_pairs_are_all_tried(monkeypatch):
+    """Telling pairs of rare terms and of a rare and a frequent one are found wherever the matrix ends."""
+    rng = np.random.default_rng(2)
+    n, m = 600, 60
+    held = rng.random((n, m)) < np.linspace(0.7, 0.05, m)
+    y = np.zeros(n)
+    y[held[:, 2] & held[:, 40] | held[:, 45] & held[:, 30]] = 1
+    row, which = np.nonzero(held)
+    seen, both, of_one, share = held.sum(axis=0), held.T.astype(int) @ held, held[y > 0].T.astype(int) @ held[y > 0], y.mean()
+    chi = (of_one - both * share) ** 2 / np.maximum(both * share * (1 - share) * np.maximum(1 - both / n, 1e-9), 1e-9)
+    from quarry.llm import toxicity
+
+    for dense in (m, 20, 3, 1):
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        often = np.argsort(-seen, kind="stable")[:dense]
+        value = [(-chi[a, b], min(a, b), max(a, b)) for a in range(m) for b in range(a) if both[a, b] >= 10 and chi[a, b] >= 40 and (of_one[a, b] > share * both[a, b] or {a, b} <= set(often.tolist()))]
+        want = {t for _, a, b in sorted(value)[: toxicity.PAIRS] for t in (a, b)}
+        assert len(value) < toxicity.PAIRS and set(toxicity._in_pairs(row, which, seen, y).tolist()) == want and {40, 45} <= want
+
+
+def test_op6_on_its_held_out_fold(spark):
+    sf = "/root/testdata/sf0.1"
+    said = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
+    got = [(said[r["doc_id"]], r["predicted"]) for r in queries.op6_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in said]
+    toxic = [p for y, p in got if y]
+    clean = [p for y, p in got if not y]
+    assert len(toxic) > 50 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.01
