@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.text import SPACE, count_tokens, trim, twentieths
+from quarry.operators.models import neighbour_cosines
 from quarry.storage import materialise
 
 #: The separators of the recursive strategy, coarse to fine; tokens of a small last paragraph; least group of the semantic strategy.
@@ -41,6 +42,7 @@ class ChunkConfig:
     threshold: float = 0.55
     threshold_mode: str = "absolute"
     percentile: float = 85
+    offline_vectors: bool = False
     paragraph_max: int = 800
     merge_small: bool = True
     overlap_paragraphs: int = 1
@@ -259,6 +261,9 @@ def _fallback(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
 def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame:
     df = df.withColumn("parts", T.sentences(F.col("text")))
     none = F.lit(None).cast("double").alias("threshold")
+    if embed is None and cfg.offline_vectors:
+        found = neighbour_cosines(df.select("doc_id", "parts"), "parts").withColumn("error", F.lit(None).cast("string"))
+        return _by_vectors(materialise(found, "sims"), cfg)
     if embed is None:
         return _fallback(df, cfg).withColumn("degraded", F.lit("no-embedding")).withColumn("threshold", none)
     df = materialise(df.withColumn("key", F.monotonically_increasing_id()), "texts")
@@ -269,6 +274,12 @@ def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame
         F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("i", "sim"))).alias("l")
     )
     found = df.join(held, "key", "left").withColumn("sims", F.transform(F.slice("l", 1, F.size("l") - 1), lambda x: x["sim"])).drop("l")
+    return _by_vectors(found, cfg)
+
+
+def _by_vectors(found: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Chunks of rows of doc_id, parts, sims and error; by length where there is one sentence or an error."""
+    many, none = F.size("parts") > 1, F.lit(None).cast("double").alias("threshold")
     fine = semantic_groups(found.where(many & F.col("error").isNull()), cfg)
     if cfg.overlap > 0:
         fine = with_heads(fine, lambda c: tail(c, cfg.overlap), "\n")
@@ -284,8 +295,9 @@ def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame
 def cut(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
     """doc_id, blocks (the chunks' texts), degraded, threshold of every document (doc_id, text) that has text.
 
-    ``embed`` maps sentences to vectors (semantic); without it, or where it fails or there
-    is one sentence, sentences are joined by length and ``degraded`` says why.
+    ``embed`` maps sentences to vectors (semantic); ``offline_vectors`` takes the offline model's
+    instead. Without either, or where it fails or there is one sentence, sentences are joined
+    by length and ``degraded`` says why.
     """
     df = docs.select("doc_id", "text").where(trim(F.col("text")) != "")
     if cfg.strategy == "semantic":

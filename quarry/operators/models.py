@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +80,100 @@ def rerank(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, top_n: int =
     value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), (F.coalesce("dot", F.lit(0.0)) + 0.2) * 0.95)), 4)
     order = Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), "chunk_pos")
     return scored.withColumn("rerank", value).select("query_id", "chunk_pos", "rerank", F.row_number().over(order).alias("place")).where(F.col("place") <= top_n)
+
+
+# -- vectors of the sentences of whole texts ------------------------------------------------
+
+_WORDS, _HAN = re.compile(WORDS), re.compile("[\u3400-\u4dbf\u4e00-\u9fff]+")
+#: Characters of sentences whose vectors a task holds at a time, and of words that are hashed together.
+SENTENCE_CHARS, LONG_WORD = 1 << 19, 48
+
+
+def _terms(sentence: str) -> list[str]:
+    low = sentence.lower()
+    runs = _HAN.findall(low)
+    return _WORDS.findall(low) + [g for r in runs for g in (*r, *map("".join, zip(r, r[1:])))]
+
+
+def _hash_words(words: list[str]) -> np.ndarray:
+    """32-bit FNV-1a of each word's characters."""
+    h = np.full(len(words), 2166136261, np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(size <= LONG_WORD)
+    wide = int(size[short].max(initial=0))
+    codes = np.array([words[k] for k in short.tolist()], f"<U{max(1, wide)}").view("<u4").reshape(len(short), -1).astype(np.uint64)
+    for k in range(wide):
+        more = size[short] > k
+        h[short[more]] = ((h[short[more]] ^ codes[more, k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        one = 2166136261
+        for c in words[k]:
+            one = ((one ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        h[k] = one
+    return h
+
+
+def _word_entries(base: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values (in eighths) of each word's twelve entries."""
+    step = lambda h, c: ((h ^ np.uint64(c)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    mark, idx, v = step(base, 35), [], []
+    for k in range(12):
+        h = mark
+        for digit in str(k):
+            h = step(h, ord(digit))
+        size = 8 + (base >> np.uint64(k) & np.uint64(7)).astype(np.int64)
+        idx.append((h % np.uint64(dim)).astype(np.int64))
+        v.append(np.where(h & np.uint64(256), size, -size))
+    return np.stack(idx, axis=1), np.stack(v, axis=1)
+
+
+def _cosines(sentences: list[str], dim: int) -> np.ndarray:
+    """Cosine of each sentence's vector and the next one's."""
+    lists = [_terms(s) for s in sentences]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    words, which = {}, np.zeros(n.sum(), np.int64)
+    for k, w in enumerate(w for own in lists for w in own):
+        which[k] = words.setdefault(w, len(words))
+    if not words:
+        return np.zeros(len(sentences) - 1)
+    idx, v = _word_entries(_hash_words(list(words)), dim)
+    keys, back = np.unique((np.repeat(np.arange(len(lists)), n)[:, None] * dim + idx[which]).ravel(), return_inverse=True)
+    sums = np.bincount(back, weights=v[which].ravel()) / 8
+    owner = keys // dim
+    norm = np.sqrt(np.bincount(owner, weights=sums * sums, minlength=len(lists)))[owner]
+    value = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+    millionths = np.sign(value) * np.floor(np.abs(value) * 1e6 + 0.5)  # whole numbers: their products add up exactly in any order
+    square = np.bincount(owner, weights=millionths * millionths, minlength=len(lists))
+    at = np.minimum(np.searchsorted(keys, keys + dim), len(keys) - 1)
+    met = keys[at] == keys + dim
+    dot = np.bincount(owner[met], weights=millionths[met] * millionths[at[met]], minlength=len(lists))[:-1].astype(np.float64)
+    size = np.sqrt(square[:-1]) * np.sqrt(square[1:])
+    return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+
+
+def neighbour_cosines(texts: DataFrame, column: str, name: str = "sims", dim: int = DIM) -> DataFrame:
+    """``texts`` with ``name``: of each row's sentences (an array), the cosine of each one's offline vector and
+    that of the next. Vectors are sparse, in blocks of sentences, and live in the task alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(column)
+            count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_pylist()
+            sims, lo = np.zeros(len(flat)), 0
+            while lo < len(flat) - 1:
+                hi, chars = lo + 1, len(flat[lo])
+                while hi < len(flat) and chars < SENTENCE_CHARS:
+                    chars += len(flat[hi])
+                    hi += 1
+                hi = max(hi, lo + 2)
+                sims[lo : hi - 1] = _cosines(flat[lo:hi], dim)
+                lo = hi - 1  # the last one meets its follower in the next block
+            last = np.zeros(len(flat), bool)
+            last[np.cumsum(count)[count > 0] - 1] = True
+            edges = np.concatenate(([0], np.cumsum(np.maximum(count - 1, 0)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(edges), pa.array(sims[~last]))], [*b.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInArrow(run, f"{fields}, `{name}` array<double>")

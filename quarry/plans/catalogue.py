@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversations, dialogue, knowledge_base, models, retrieval, statistics
+from quarry.operators import chunking, conversations, dialogue, knowledge_base, lexical_index, models, retrieval, statistics
 from quarry.operators.retrieval import RetrieveConfig
 from quarry.sources import files
-from quarry.storage import table
+from quarry.storage import materialise, scratch, table
+from quarry.streaming import indexing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,6 +213,40 @@ def bm25_topk(spark, sf):
     return s.select("query_id", "chunk_pos", retrieval.ranked("bm25"), F.round("bm25", 6).alias("score")).where("rank <= 10")
 
 
+#: The corpus after the changes of ``_changed_index``.
+SQL_CHANGED = """corpus as (select doc_id, case when lang = 'de' then text || ' revised edition' else text end as text from documents where source is distinct from 'src3' and lang is distinct from 'es'
+ union all select -item_id - 1, text from benchmark)"""
+
+
+def _changed_index(spark, sf) -> str:
+    """An index of the documents, then one run of edits and deletions, one of further chunks, one compaction and one more run of deletions."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), "text", "lang", "source")
+    path = scratch(spark, "lexical-index")
+    lexical_index.create(docs, path, buckets=16)
+    edited = docs.where("lang = 'de'").select("chunk_pos", F.concat("text", F.lit(" revised edition")).alias("text"))
+    lexical_index.update(spark, path, edited, docs.where("source = 'src3'"))
+    lexical_index.update(spark, path, table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("chunk_pos"), "text"))
+    lexical_index.compact(spark, path)
+    lexical_index.update(spark, path, gone=docs.where("lang = 'es'"))
+    return path
+
+
+@query(f"""with {SQL_CHANGED}, {SQL_LEX.replace("from documents)", "from corpus)")} select query_id, chunk_pos, rank::int as rank, round(score, 6) as score from (
+ select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos) as rank from raw) where rank <= 10""")
+def indexed_bm25_topk(spark, sf):
+    s = lexical_index.bm25(spark, _changed_index(spark, sf), questions(spark, sf))
+    return s.select("query_id", "chunk_pos", retrieval.ranked("bm25"), F.round("bm25", 6).alias("score")).where("rank <= 10")
+
+
+@query(f"""with {SQL_CHANGED}, {SQL_D.replace("from documents)", "from corpus)")}, b as (select distinct unnest(regexp_extract_all(lower(text), {WORD})) as term from benchmark),
+ e as (select unnest(list_distinct(t)) as term from d) select term, count(*)::bigint as df, (select count(*) from d)::bigint as n, round((select avg(len(t)) from d), 6) as avgdl from e join b using (term) group by term""")
+def indexed_frequencies(spark, sf):
+    path = _changed_index(spark, sf)
+    terms = materialise(retrieval.asked_terms(questions(spark, sf)).select("term").distinct(), "terms")
+    df = lexical_index.postings(spark, path, terms).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(lexical_index.stats(spark, path))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(f"with {SQL_LEX} select query_id, count(*)::bigint as n, round(max(bm25), 6) as top, round(sum(bm25), 4) as total from lex group by query_id")
 def bm25_norm(spark, sf):
     s = retrieval.normalised(retrieval.bm25(corpus(spark, sf), questions(spark, sf)))
@@ -465,6 +500,39 @@ def semantic_fallback(spark, sf):
     return _chunks(chunking.ChunkConfig("semantic", semantic_max=200), spark, sf)
 
 
+SQL_WORDS_OF = r"regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\-]*')"
+#: Vectors of sentences in millionths, so that sums are exact; then sentences grouped from the left and small groups merged.
+SQL_SEMANTIC = f"""sen as ({SQL_SENTENCES} where text is not null), si as (select doc_id, unnest(range(len(s))) as i, unnest(s) as text from sen),
+ sw as (select doc_id, i, w, count(*) as n from (select doc_id, i, unnest({SQL_WORDS_OF}) as w from si) group by all),
+ hw as (select w, k, {SQL_FNV.format('w')} as base, {SQL_FNV.format("(w || '#' || k)")} as h from (select distinct w from sw), range(12) t(k)),
+ we as (select w, h % 1024 as idx, sum((case when (h >> 8) & 1 = 1 then 1 else -1 end) * (8 + ((base >> k::bigint) & 7))) as v from hw group by all),
+ sv as (select doc_id, i, idx, sum(n * v)::bigint as v from sw join we using (w) group by all having sum(n * v) <> 0),
+ sn as (select *, (round(v / 8.0::double / sqrt(sum(v * v) over (partition by doc_id, i)::double / 64) * 1e6))::bigint as m from sv),
+ sq as (select doc_id, i, sum(m * m)::double as q from sn group by all),
+ sd as (select a.doc_id, b.i, sum(a.m * b.m)::double as dot from sn a join sn b on a.doc_id = b.doc_id and b.i = a.i + 1 and a.idx = b.idx group by all),
+ sc as (select si.doc_id, si.i, si.text, {SQL_TOKENS.format('si.text')} as n, case when si.i > 0 then coalesce(dot / (sqrt(p.q) * sqrt(o.q)), 0.0) end as sim
+  from si left join sd using (doc_id, i) left join sq o on o.doc_id = si.doc_id and o.i = si.i left join sq p on p.doc_id = si.doc_id and p.i = si.i - 1),
+ st as (select doc_id, @limit@ as limit_, list({{'buf': text, 'tot': n, 'sim': sim}} order by i) as l from sc group by doc_id),
+ gf as (select doc_id, list_reduce(list_transform(l, lambda x: {{'buf': x.buf, 'tot': x.tot, 'sim': x.sim, 'lim': limit_, 'out': []::varchar[]}}),
+  lambda a, b: case when b.sim < b.lim or a.tot + b.tot > 400 then {{'buf': b.buf, 'tot': b.tot, 'sim': b.sim, 'lim': b.lim, 'out': list_append(a.out, a.buf)}}
+   else {{'buf': a.buf || b.buf, 'tot': a.tot + b.tot, 'sim': b.sim, 'lim': b.lim, 'out': a.out}} end) as f from st),
+ gm as (select doc_id, list_reduce(list_transform(list_append(f.out, f.buf), lambda x: {{'g': [x], 'n': {SQL_TOKENS.format('x')}}}),
+  lambda a, b: case when least(a.n, b.n) < 80 and a.n + b.n <= 400 then {{'g': list_append(a.g[1:-2], a.g[-1] || b.g[1]), 'n': {SQL_TOKENS.format('(a.g[-1] || b.g[1])')}}}
+   else {{'g': list_append(a.g, b.g[1]), 'n': b.n}} end) as f from gf),
+ chunks as (select doc_id, unnest(range(len(f.g))) as idx, {sql_trim("unnest(f.g)")} as text from gm)"""
+
+
+@query(f"with {SQL_SEMANTIC.replace('@limit@', '0.3::double')} {SQL_CHUNK_ROWS}")
+def semantic_chunks(spark, sf):
+    return _chunks(chunking.ChunkConfig("semantic", semantic_max=400, threshold=0.3, overlap_enabled=False, markdown=False, offline_vectors=True), spark, sf)
+
+
+@query(f"with {SQL_SEMANTIC.replace('@limit@', '(list_sort(list(sim) filter (where sim is not null)))[1 + floor((count(sim) - 1) * 0.35)::int]')} {SQL_CHUNK_ROWS}")
+def semantic_percentile(spark, sf):
+    cfg = chunking.ChunkConfig("semantic", semantic_max=400, threshold_mode="percentile", percentile=35, overlap_enabled=False, markdown=False, offline_vectors=True)
+    return _chunks(cfg, spark, sf)
+
+
 @query(f"""with {_sql_slices(512, 77)}, t as (select doc_id, {SQL_TOKENS.format('text')} as n from chunks)
  select doc_id, 'fixed' as strategy, count(*)::bigint as n_chunks, floor(sum(n) / count(*) + 0.5)::bigint as avg_tokens, min(n)::bigint as min_tokens, max(n)::bigint as max_tokens, 77.0::double as overlap_tokens from t group by doc_id""")
 def chunk_meta(spark, sf):
@@ -715,14 +783,44 @@ def rerank_responses(spark, sf):
     return found.select("query_id", "index", F.round("score", 6).alias("score"))
 
 
-@query()
-def incremental_index(spark, sf):
-    """Documents written as files, one each, and indexed by the streaming job."""
-    from quarry.storage import scratch
-    from quarry.streaming import indexing
+#: Documents of one source and language, one after the other, are the text of one file.
+_FILE = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.coalesce("lang", F.lit("none"))).alias("part")
+SQL_FILES = f"""files as (select part as doc_id, {_sql_chain("string_agg(text || chr(10), '' order by doc_id)", CLEAN_STEPS)} as text
+ from (select coalesce(source, 'none') || '-' || coalesce(lang, 'none') as part, doc_id, text from documents where text is not null @some@) group by part)"""
+
+
+def _sql_file_chunks(some: str = "") -> str:
+    slices = _sql_slices(512, 77).replace("from documents", "from files")
+    return f"""with {slices.replace("recursive un as", "recursive " + SQL_FILES.replace('@some@', some) + ", un as")}, t as (select doc_id, {SQL_TOKENS.format('text')} as n from chunks)
+ select doc_id as part, count(*)::bigint as n_chunks, sum(n)::bigint as tokens, 64::bigint as dim from t group by doc_id"""
 
+
+def _write_files(docs: DataFrame, path: str, mode: str) -> None:
+    listed = docs.where("text is not null").select("doc_id", "text", _FILE).repartition("part").sortWithinPartitions("part", "doc_id")
+    listed.select("part", "text").write.mode(mode).partitionBy("part").option("lineSep", "\n").text(path)
+
+
+def _by_file(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    part = F.regexp_extract("path", "part=([^/]*)", 1).alias("part")
+    made = chunks.join(paths.select("doc_id", part), "doc_id")
+    return made.groupBy("part").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"), F.min(F.size("vector")).cast("long").alias("dim"))
+
+
+@query(_sql_file_chunks())
+def incremental_index(spark, sf):
+    """Documents written as files and indexed by the streaming job."""
     base = scratch(spark, "incremental")
-    table(spark, sf, "documents").where("text is not null").select("doc_id", "text").write.partitionBy("doc_id").option("lineSep", "\n").text(f"{base}/in")
-    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(), 64).awaitTermination()
-    made = spark.read.parquet(f"{base}/out")
-    return made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"), F.min(F.size("vector")).cast("long").alias("dim"))
+    _write_files(table(spark, sf, "documents"), f"{base}/in", "overwrite")
+    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(markdown=False), 64).awaitTermination()
+    return _by_file(spark.read.parquet(f"{base}/out"), files.ingest(spark, f"{base}/in").select("doc_id", F.col("file_path").alias("path")))
+
+
+@query(_sql_file_chunks("and lang is distinct from 'en'"))
+def folder_sync(spark, sf):
+    """A folder that is indexed, of which files are then replaced by others and deleted: what is left is the last state."""
+    base, docs, cfg = scratch(spark, "folder"), table(spark, sf, "documents"), chunking.ChunkConfig(markdown=False)
+    _write_files(docs.withColumn("text", F.substring("text", 1, 200)), f"{base}/in", "overwrite")
+    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64)
+    _write_files(docs.where("lang is distinct from 'en'"), f"{base}/in", "overwrite")
+    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64)
+    return _by_file(indexing.indexed_chunks(spark, f"{base}/out"), indexing.manifest(spark, f"{base}/out"))

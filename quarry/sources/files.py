@@ -151,8 +151,8 @@ def parse(files: DataFrame, pdf_reader: Callable[[bytes], str] | None = None) ->
     return known.withColumn("text", T.normalize(body)).withColumn("error", F.when(F.col("text").isNull(), missing))
 
 
-def describe(parsed: DataFrame) -> DataFrame:
-    """Document rows of parsed files; the id is made from the path, characters are UTF-16 units."""
+def describe(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Document rows of parsed files, with the columns of ``keep``; the id is made from the path, characters are UTF-16 units."""
     return parsed.select(
         F.concat(F.lit("doc_"), F.left(F.sha2("path", 256), F.lit(32))).alias("doc_id"),
         F.regexp_extract("path", "([^/]*)$", 1).alias("name"),
@@ -165,6 +165,7 @@ def describe(parsed: DataFrame) -> DataFrame:
         F.col("modificationTime").alias("created_at"),
         "text",
         "error",
+        *keep,
     )
 
 

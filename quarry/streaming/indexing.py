@@ -1,20 +1,33 @@
-"""Incremental indexing: new files of a folder become chunks with vectors, each batch exactly once.
+"""Incremental indexing of a folder's files as chunks with vectors.
 
-A batch writes its own partition of the target, replacing it if the batch runs again,
-and chunk ids follow from document, place and text; so a restart changes nothing.
+``index_folder`` is for folders where files only arrive: a stream whose batches write
+their own partition of the target, replacing it if the batch runs again.
+
+``sync_folder`` follows changes and deletions too. A manifest holds path, time, length and
+content hash of every file that is indexed; each run joins it with the folder's listing.
+New files and those whose time or length differ are read, and only where the content
+differs are they cut and embedded again. A document's chunks are those of the run that its
+manifest row names, so they are replaced or removed in the moment the run is committed; a
+run that is lost before changes nothing and is repeated whole.
+
+Chunk ids follow from document, place and text; so a restart gives the same ones.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quarry import runs
+from quarry.functions.text import supported
 from quarry.operators import chunking, models
 from quarry.sources import files
-from quarry.storage import materialise
+from quarry.storage import materialise, scratch
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -42,3 +55,73 @@ def index_folder(
         chunks_of(docs, cfg, dim).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return small.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_MANIFEST = "path string, doc_id string, modified timestamp, length long, hash string, chunk_run int, gone boolean"
+_CHUNKS = "chunk_id string, doc_id string, idx int, text string, tokens long, vector array<double>"
+_FACTS = "added long, changed long, touched long, removed long"
+
+
+def manifest(spark: SparkSession, target: str) -> DataFrame:
+    """path, doc_id, modified, length, hash, chunk_run of every file that is indexed."""
+    found = runs.committed(spark, target)
+    if not found:
+        return spark.createDataFrame([], _MANIFEST).drop("gone")
+    rows = runs.read(spark, target, "manifest", _MANIFEST, found)
+    last = rows.groupBy("path").agg(F.max_by(F.struct("doc_id", "modified", "length", "hash", "chunk_run", "gone"), "run").alias("m")).select("path", "m.*")
+    return last.where("not gone").drop("gone")
+
+
+def indexed_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """chunk_id, doc_id, idx, text, tokens, vector of the files as they were at the last run."""
+    found = runs.committed(spark, target)
+    if not found:
+        return spark.createDataFrame([], _CHUNKS)
+    current = manifest(spark, target).select("doc_id", F.col("chunk_run").alias("run"))
+    return runs.read(spark, target, "chunks", _CHUNKS, found).join(current, ["doc_id", "run"], "left_semi").drop("run")
+
+
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves where patterns are read."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def sync_folder(
+    spark: SparkSession, source: str, target: str, cfg: chunking.ChunkConfig = chunking.ChunkConfig(), dim: int = models.DIM,
+    files_per_read: int = 10_000, pdf_reader: Callable[[bytes], str] | None = None,
+) -> int | None:
+    """Bring ``target`` to the state of the files below ``source``; the number of the run, None where nothing differs.
+
+    Files of other extensions, above the size limit or of no bytes count as not there. Paths
+    of differing files pass the driver, ``files_per_read`` at a time.
+    """
+    done = runs.committed(spark, target)
+    run = done[-1] + 1 if done else 0
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    there = scan.load(source).select("path", F.col("modificationTime").alias("modified"), "length").where((F.col("length") <= files.MAX_BYTES) & supported(F.col("path")))
+    there, known = materialise(there, "listing"), materialise(manifest(spark, target), "manifest")
+    before = known.select("path", F.col("modified").alias("m0"), F.col("length").alias("l0"), F.col("hash").alias("h0"), F.col("chunk_run").alias("r0"))
+    differs = F.col("m0").isNull() | (F.col("m0") != F.col("modified")) | (F.col("l0") != F.col("length"))
+    suspects = materialise(there.join(before, "path", "left").where(differs), "suspects")
+    removed = materialise(known.join(there, "path", "left_anti"), "removed")
+    if suspects.isEmpty() and removed.isEmpty():
+        return None
+    staged = scratch(spark, "texts")
+    kinds = "doc_id string, path string, modified timestamp, length long, text string, hash string"
+    spark.createDataFrame([], kinds).write.parquet(staged)
+    paths = (_literal(r["path"]) for r in suspects.select("path").toLocalIterator())
+    for some in iter(lambda: list(itertools.islice(paths, files_per_read)), []):
+        content = spark.read.format("binaryFile").load(some).withColumn("hash", F.sha2("content", 256))
+        parsed = files.describe(files.parse(content, pdf_reader), ("hash",))
+        parsed.select("doc_id", F.col("file_path").alias("path"), F.col("created_at").alias("modified"), F.col("size").alias("length"), "text", "hash").write.mode("append").parquet(staged)
+    texts = spark.read.schema(kinds).parquet(staged)
+    same = F.col("h0").eqNullSafe(F.col("hash"))
+    judged = texts.join(suspects.select("path", "h0", "r0"), "path").withColumn("same", same)
+    judged = materialise(judged.withColumn("chunk_run", F.when(F.col("same"), F.col("r0")).otherwise(run)), "judged")
+    chunks_of(judged.where("not same").select("doc_id", "text"), cfg, dim).write.mode("overwrite").parquet(f"{target}/chunks/run={run}")
+    columns = ["path", "doc_id", "modified", "length", "hash", "chunk_run"]
+    rows = judged.select(*columns, F.lit(False).alias("gone")).union(removed.select(*columns, F.lit(True)))
+    rows.write.mode("overwrite").parquet(f"{target}/manifest/run={run}")
+    counts = judged.agg(F.count_if(F.col("h0").isNull()).alias("added"), F.count_if(F.col("h0").isNotNull() & ~F.col("same")).alias("changed"), F.count_if("same").alias("touched")).first()
+    runs.commit(spark.createDataFrame([(*counts, removed.count())], _FACTS), target, run)
+    return run

@@ -97,3 +97,23 @@ def test_token_counts_near_a_half(spark):
     texts = [" " * a + "x" * b + "句" * c for a in range(0, 60) for b in range(0, 12, 3) for c in (0, 1)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunking.count_tokens(F.col("t")).alias("n")).collect()
     assert all(x["n"] == plain.tokens(x["t"]) for x in rows)
+
+
+def test_neighbours_by_the_offline_model(spark):
+    """Cosines of sentences in a task equal those of the model's vectors; blocks of sentences meet at their ends."""
+    import numpy as np
+
+    from quarry.operators import models
+
+    texts = [["alpha beta gamma.", "Beta GAMMA, delta!", "", "人工智能 学习", "智能学习。", "x" * 70 + " alpha"], [], ["one"], ["same words", "same words"], None, ["a-b_c a-b_c", "... !", "a-b_c"]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, parts array<string>")
+    said = spark.createDataFrame([(100 * i + k, s) for i, t in enumerate(texts) for k, s in enumerate(t or [])], "key long, text string")
+    v = {r["key"]: np.array(r["vector"]) for r in models.embed(said, "key", 64).collect()}
+    for chars in (1, 40, 1 << 19):
+        old, models.SENTENCE_CHARS = models.SENTENCE_CHARS, chars
+        got = {r["doc_id"]: r["sims"] for r in models.neighbour_cosines(frame, "parts", dim=64).collect()}
+        models.SENTENCE_CHARS = old
+        for i, t in enumerate(texts):
+            pairs = [(v[100 * i + k], v[100 * i + k + 1]) for k in range(len(t or []) - 1)]
+            want = [float(a @ b / np.sqrt((a @ a) * (b @ b))) if (a @ a) * (b @ b) > 0 else 0.0 for a, b in pairs]
+            assert got[i] == pytest.approx(want, abs=1e-9)
