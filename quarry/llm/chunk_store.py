@@ -7,11 +7,16 @@ passages give equal chunks wherever they stand. The store, a Parquet folder, hol
 * ``kind=recipe``: per document its id count, the hashes and ends of its chunks
   and the Merkle root over them;
 * ``manifest``: one row a document in ascending doc_id order with its start in the
-  stream and its root, and ``roots``: the Merkle root of each manifest partition.
+  stream and its root, ``roots``: the Merkle root over the rows of each manifest segment,
+  and ``seal``: documents, ids and the root over all segments.
 
 Chunks and recipes leave the encoder together and share one exchange by key, where
-equal chunks are merged before and after it; ids cross the network once. Reading
-checks every chunk against its hash and every recipe against its root.
+equal chunks are merged before and after it; ids cross the network once.
+
+Reading starts from the seal: segments are hashed again and held against their roots and these
+against the seal; every document of the manifest must have a recipe of the same root, every recipe
+must give its root, every chunk that it names must be there and match its hash, and the
+ids must be as many as the manifest says. Whatever was lost or changed raises.
 
 Null and empty texts are the end id alone. Rows that share a doc_id are documents
 of their own, next to each other in the stream in an order fixed by their content;
@@ -30,9 +35,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quarry.llm.batches import slices, texts
 from quarry.llm.encoding import encoder
+from quarry.storage import forget, materialise
 
 #: Ids in a chunk: at least, about (a power of two beyond the least), at most.
 LEAST, MASK_BITS, MOST = 64, 8, 1024
@@ -146,12 +153,43 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     listed.mapInArrow(number, f"doc_id {kind}, key binary, copy int, n long, root binary, at long, part int").write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
 
-    @F.pandas_udf("binary")
-    def root_of(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda rows: merkle([bytes(r["root"]) for r in rows]))
+    segments = _segments(manifest)
+    segments.write.parquet(f"{path}/roots")
+    n, ids, root = _seal(manifest, spark.read.parquet(f"{path}/roots"))
+    spark.createDataFrame([(n, ids, root)], "documents long, ids long, root binary").coalesce(1).write.parquet(f"{path}/seal")
+
+
+@F.pandas_udf(BinaryType())
+def _root_of(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda leaves: merkle([bytes(r["leaf"]) for r in leaves]))
+
 
-    segments = manifest.groupBy("part", F.floor(F.col("at") / (1 << 20)).alias("segment"))
-    segments.agg(F.sort_array(F.collect_list(F.struct("at", "root"))).alias("leaves")).select("part", "segment", root_of("leaves").alias("root")).write.parquet(f"{path}/roots")
+def _segments(manifest: DataFrame) -> DataFrame:
+    """part, segment, root of each run of 2^20 ids in a manifest partition; a leaf is the hash of a row."""
+    row = [F.hex("key"), F.hex("root"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "copy", "n", "at")]]
+    leaf = F.unhex(F.sha2(F.concat_ws(":", *row), 256)).alias("leaf")
+    rows = manifest.select("part", F.floor(F.col("at") / (1 << 20)).alias("segment"), "at", leaf)
+    return rows.groupBy("part", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "leaf"))).alias("l")).select("part", "segment", _root_of("l").alias("root"))
+
+
+def _seal(manifest: DataFrame, segments: DataFrame) -> tuple[int, int, bytes]:
+    """Documents, ids, and the root over the roots of the partitions, of which one row each reaches the driver."""
+    parts = segments.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("segment", F.col("root").alias("leaf")))).alias("l")).select("part", _root_of("l").alias("root"))
+    n, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return n, ids, merkle([bytes(r["root"]) for r in sorted(parts.collect())])
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raise where the manifest isn't what was written."""
+    rows = spark.read.parquet(f"{path}/manifest")
+    found = materialise(_segments(rows), "segments")
+    kept = spark.read.schema("part int, segment long, root binary").parquet(f"{path}/roots").withColumnRenamed("root", "kept")
+    both = found.join(kept, ["part", "segment"], "full_outer")
+    if not both.where(~F.col("root").eqNullSafe(F.col("kept"))).isEmpty():
+        raise ValueError("a manifest segment differs from its root")
+    if tuple(spark.read.schema("documents long, ids long, root binary").parquet(f"{path}/seal").first() or ()) != _seal(rows, found):
+        raise ValueError("the manifest differs from its seal")
+    forget(spark, found)
 
 
 def _store(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -164,7 +202,8 @@ def _kind(spark: SparkSession, path: str) -> str:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, key, copy, n, root, start: every document in the stream."""
+    """doc_id, key, copy, n, root, start: every document in the stream, of a manifest that was verified."""
+    verify_manifest(spark, path)
     rows = spark.read.parquet(f"{path}/manifest")
     totals = sorted(rows.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
     base = spark.createDataFrame([(r["part"], b) for r, b in zip(totals, [0, *accumulate(r["n"] for r in totals)])], "part int, base long")
@@ -178,7 +217,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uses(spark: SparkSession, path: str) -> DataFrame:
-    """key, seq, hash, end, n: the chunks of every document; raises where a recipe doesn't give its root."""
+    """key, seq, hash, end, n, recipe_root (in the first row): the chunks of every document; raises where a recipe doesn't give its root."""
 
     @F.pandas_udf("boolean")
     def rooted(hashes: pd.Series, root: pd.Series) -> pd.Series:
@@ -186,25 +225,37 @@ def uses(spark: SparkSession, path: str) -> DataFrame:
 
     good = F.when(rooted("hashes", "content"), True).otherwise(F.raise_error(F.lit("a recipe differs from its root")).cast("boolean"))
     recipes = _store(spark, path, _kind(spark, path)).where("kind = 'recipe'").where(good)
-    each = recipes.select("key", "n", F.posexplode(F.arrays_zip("hashes", "ends")).alias("seq", "part"))
-    return each.select("key", "seq", F.col("part.hashes").alias("hash"), F.col("part.ends").alias("end"), "n")
+    each = recipes.select("key", "n", "content", F.posexplode(F.arrays_zip("hashes", "ends")).alias("seq", "part"))
+    first = F.when(F.col("seq") == 0, F.col("content")).alias("recipe_root")
+    return each.select("key", "seq", F.col("part.hashes").alias("hash"), F.col("part.ends").alias("end"), "n", first)
+
+
+def _sound(condition: Column, message: str) -> Column:
+    return F.when(condition, True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
 def _found(column: str) -> Column:
-    return F.when(F.col(column).isNotNull(), True).otherwise(F.raise_error(F.lit("a chunk is missing")).cast("boolean"))
+    return _sound(F.col(column).isNotNull(), "a chunk is missing")
+
+
+def _rebuilt(spark: SparkSession, path: str, made: DataFrame) -> DataFrame:
+    """The verified manifest with what was made of the recipes (key, recipe_root, size and others) of each document."""
+    both = manifest(spark, path).join(made, "key", "left")
+    both = both.where(_sound(F.col("recipe_root").isNotNull(), "a recipe is missing"))
+    return both.where(_sound((F.col("recipe_root") == F.col("root")) & (F.col("size") == F.col("n")), "a recipe differs from the manifest"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n, ids (as stored) of every document, rebuilt from its chunks."""
     made = (
         uses(spark, path)
-        .join(chunks(spark, path).select("hash", "content"), "hash", "left")
+        .join(chunks(spark, path).select("hash", F.col("n").alias("size"), "content"), "hash", "left")
         .where(_found("content"))
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("parts"))
-        .select("key", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["content"])), "")).alias("ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("parts"), F.sum("size").alias("size"), F.max("recipe_root").alias("recipe_root"))
+        .select("key", "size", "recipe_root", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["content"])), "")).alias("ids"))
     )
-    return manifest(spark, path).join(made, "key").select("doc_id", "start", "n", "ids")
+    return _rebuilt(spark, path, made).select("doc_id", "start", "n", "ids")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -228,11 +279,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         uses(spark, path)
         .join(sums, "hash", "left")
         .where(_found("crc"))
-        .select("key", "size", shifted("crc", F.col("n") - F.col("end")).alias("crc"))
+        .select("key", "size", "recipe_root", shifted("crc", F.col("n") - F.col("end")).alias("crc"))
         .groupBy("key")
-        .agg(F.sum("size").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"))
+        .agg(F.sum("size").alias("size"), F.expr("bit_xor(crc)").alias("ids_crc32"), F.max("recipe_root").alias("recipe_root"))
     )
-    return manifest(spark, path).join(made, "key").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _rebuilt(spark, path, made).select("doc_id", "start", F.col("size").alias("n_tokens"), "ids_crc32")
 
 
 # -- CRC-32 of a whole from the CRC-32 of its parts -----------------------------------------

@@ -262,3 +262,71 @@ def test_op6_on_its_held_out_fold(spark):
     toxic = [p for y, p in got if y]
     clean = [p for y, p in got if not y]
     assert len(toxic) > 50 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.01
+
+
+# -- op9 ------------------------------------------------------------------------------------
+
+
+def changed(column, f):
+    """A damage: one row's ``column`` in the first file of a table becomes ``f`` of it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def run(files):
+        t = pq.ParquetFile(files[0]).read()
+        rows = t.to_pylist()
+        rows[0][column] = f(rows[0][column])
+        pq.write_table(pa.Table.from_pylist(rows, t.schema), files[0])
+        (files[0].parent / f".{files[0].name}.crc").unlink(missing_ok=True)
+
+    return run
+
+
+def lost_row(files):
+    import pyarrow.parquet as pq
+
+    t = pq.ParquetFile(files[0]).read()
+    pq.write_table(t.slice(1), files[0])
+    (files[0].parent / f".{files[0].name}.crc").unlink(missing_ok=True)
+
+
+def lost(files):
+    for f in files:
+        f.unlink()
+
+
+DAMAGE = {
+    "recipes": ("store/kind=recipe", lost), "chunks": ("store/kind=chunk", lost), "a chunk's content": ("store/kind=chunk", changed("content", lambda b: bytes([b[0] ^ 1]) + b[1:])),
+    "a recipe's root": ("store/kind=recipe", changed("content", lambda b: bytes(32))), "a recipe": ("store/kind=recipe", lost_row), "a chunk": ("store/kind=chunk", lost_row),
+    "a recipe's chunk list": ("store/kind=recipe", changed("hashes", lambda h: h[:-1])), "the manifest": ("manifest", lost), "a manifest row": ("manifest", lost_row), "a manifest root": ("manifest", changed("root", lambda b: bytes(32))),
+    "a manifest id": ("manifest", changed("doc_id", lambda i: 77)), "a count": ("manifest", changed("n", lambda n: n + 1)), "roots": ("roots", lost), "a root": ("roots", changed("root", lambda b: bytes(32))), "the seal": ("seal", lost),
+}
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    import public_tokenizers
+
+    from quarry.llm import chunk_store
+
+    path = tmp_path_factory.mktemp("store") / "whole"
+    docs = spark.createDataFrame([(k, f"text {k} " * (k * 40), 1) for k in range(12)], "doc_id long, text string, at int")
+    chunk_store.write(docs, f"file://{path}", public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert chunk_store.digests(spark, f"file://{path}").count() == chunk_store.read(spark, f"file://{path}").count() == 12
+    return path
+
+
+@pytest.mark.parametrize("what", DAMAGE)
+def test_a_damaged_store_raises(spark, store, tmp_path, what):
+    import shutil
+
+    from quarry.llm import chunk_store
+
+    table, damage = DAMAGE[what]
+    path = tmp_path / "store"
+    shutil.copytree(store, path)
+    files = sorted((path / table).glob("*.parquet"), key=lambda f: -f.stat().st_size)
+    damage(files)
+    for reader in (chunk_store.digests, chunk_store.read):
+        with pytest.raises(Exception, match="differs|missing|infer schema"):
+            reader(spark, f"file://{path}").collect()
