@@ -23,6 +23,8 @@ without words has targets of 0, an empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from quarry.storage import forget, materialise
 
 BLANK_FREE = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2, 1024
-#: Documents of a part of a source's circle, slots of a stretch, rows of a table that is broadcast at most.
-PART, STRETCH, SMALL = 8192, 16384, 200_000
+#: Rows of a table that is broadcast at most. Parts of a circle and stretches of the sequence are as many as each holds rows: both grow with the root of the input.
+SMALL = 200_000
 #: The golden ratio's fraction, and that of its multiples by 2^12 and 2^24.
 GOLDEN = (0.6180339887498949, 0.46721791956929826, 0.7245985558456156)
 
@@ -93,7 +95,7 @@ def schedule(needs: DataFrame) -> DataFrame:
     total, n = some.agg(F.sum("blocks"), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], f"slot long, key {needs.schema['key'].dataType.simpleString()}, rank long")
-    wide = -(-total // max(1024, 4 * n))
+    wide, stretch = -(-total // max(1024, 4 * n)), math.isqrt(total) + 1
     cells = some.select("key", "first", "blocks", F.explode(F.sequence(F.floor(F.col("first") / wide), F.floor((F.col("first") + F.col("blocks") - 1) / wide))).alias("cell"))
     cells = _small(materialise(cells, "cells"))
     need = _small(materialise(some.select("key", "blocks"), "need"))
@@ -101,7 +103,7 @@ def schedule(needs: DataFrame) -> DataFrame:
     while True:
         slots = spark.range(total + spare).select(F.col("id").alias("slot"), F.least(F.floor(_point(F.col("id")) * total), F.lit(total - 1)).alias("at"))
         placed = slots.withColumn("cell", F.floor(F.col("at") / wide)).join(cells, "cell").where("at >= first and at < first + blocks")
-        placed = placed.select("slot", "key", F.floor(F.col("slot") / STRETCH).alias("stretch"))
+        placed = placed.select("slot", "key", F.floor(F.col("slot") / stretch).alias("stretch"))
         counts = materialise(placed.groupBy("key", "stretch").agg(F.count("*").alias("n")), "stretches")
         short = need.join(counts.groupBy("key").agg(F.sum("n").alias("got")), "key", "left").where(F.coalesce("got", F.lit(0)) < F.col("blocks"))
         if short.isEmpty():
@@ -118,7 +120,7 @@ def schedule(needs: DataFrame) -> DataFrame:
 def placed(found: DataFrame, sources: DataFrame) -> DataFrame:
     """``measured`` documents with source_size, target, words of their source and their begin on its circle."""
     total = found.count()
-    parts = F.ceil(F.col("m") / PART).cast("long")
+    parts = F.ceil(F.sqrt("m")).cast("long")
     sized = materialise(sources.select("key", "source_size", "target", "words", "m", parts.alias("parts")), "sized")
     # the shuffle's first 32 bits say the part, so that parts are in its order
     joined = join_unique(found, sized, ["key"], total)
