@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices
 
-#: Texts drawn per language for its dictionary, the dictionary's bytes, and the languages learned at most (those with most texts).
+#: Texts drawn per language for its dictionary, the dictionary's bytes, and those of all dictionaries, which share them where languages are many.
 SAMPLE_TEXTS = 300
-DICT_BYTES = 256 << 10
-LANGUAGES = 256
+DICT_BYTES, LEAST_BYTES = 256 << 10, 64
+MODEL_BYTES = 64 << 20
 LEVEL = 6
 
 
@@ -33,20 +33,23 @@ def letters(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "))
 
 
-def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES, model_bytes: int = MODEL_BYTES) -> dict[str, bytes]:
     """language -> dictionary, from rows with a text and a lang.
 
     The ``sample_texts`` distinct texts of each language with the least hashes fill
     up to ``dict_bytes``; this is the bounded sample that the model is fitted on. It is
     cut to 2 * ``dict_bytes`` a language before it comes to the driver. Copies count
-    once, so every language with a text has a dictionary.
+    once, so every language with a text has a dictionary; more than ``model_bytes`` /
+    ``dict_bytes`` languages have smaller ones, of fewer texts.
     """
     known = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", letters("text").alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
     distinct = known.select("lang", "h").distinct()
-    most = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    n = max(1, distinct.select("lang").distinct().count())
+    share = min(1.0, model_bytes / (n * dict_bytes))
+    dict_bytes, sample_texts = max(LEAST_BYTES, int(dict_bytes * share)), max(1, int(sample_texts * share))
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = distinct.join(F.broadcast(most), "lang").withColumn("k", least).where(F.col("k") <= sample_texts).drop("k")
+    sample = distinct.withColumn("k", least).where(F.col("k") <= sample_texts).drop("k")
     cut = F.left("text", F.lit(dict_bytes)).alias("text")  # more of a text has no room
     drawn = known.join(F.broadcast(sample), ["lang", "h"]).select("lang", "h", cut).distinct()
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
