@@ -42,7 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least doc_id of each class, null ids last; rows with equal id and text are one."""
+    """The row with the least doc_id of each class, null ids last; rows equal in all columns are one."""
     return near_duplicates.representatives(docs, docs.columns)
 
 

@@ -7,7 +7,7 @@ Jaccard similarity of their n-gram sets is 0.8 or more.
 1. Each text becomes its set's hash and one hash per band; band and row numbers are
    chosen so that a pair at the threshold shares a band with probability ``RECALL``.
 2. Texts with equal sets are one class of copies; one row, that with the least id,
-   stands for all. Sets are known by their hashes, rows by a hash of id and text, so
+   stands for all. Sets and rows are known by hashes of 128 bits, a row's over id and text, so
    ids may be null or repeated with other texts, and of any type that has an order.
 3. Texts that share a band hash are tied to the least of them, in a star, never as
    all pairs; components of these ties hold every candidate pair.
@@ -77,13 +77,16 @@ def shingles(batch: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(text[fresh], minlength=len(batch)), h[fresh]
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+def row_key(columns: list[str]) -> Column:
+    """A 128-bit hash of a row's ``columns``; null is a value of its own."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
+    sizes = [F.length(known(c)).cast("string") for c in columns]  # so that no two rows run together alike
+    return F.unhex(F.md5(F.concat_ws(":", *sizes, *map(known, columns)).cast("binary")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, r: a hash of both, by which rows are known."""
-    return docs.select("doc_id", "text", row_key().alias("r"))
+def keyed(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """doc_id, text, r: a hash of ``columns``, by which rows are known."""
+    return docs.select("doc_id", "text", row_key(list(columns)).alias("r"))
 
 
 def signatures(docs: DataFrame, n_bands: int, rows: int, n: int) -> DataFrame:
@@ -109,7 +112,7 @@ def signatures(docs: DataFrame, n_bands: int, rows: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("r"), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "r", "n", "k1", "k2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, r long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, r binary, n long, k1 long, k2 long, bands array<long>")
 
 
 class Block:
@@ -214,7 +217,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
     sig = materialise(signatures(docs, bands(threshold, recall, rows), rows, n), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "r")
     copies = sig.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("own"), F.first("n").alias("n"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    copies = materialise(copies.withColumn("node", F.col("k1")), "copies")
+    copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "copies")  # written once, so ids stay
     banded = copies.select("node", F.posexplode("bands").alias("band", "h"))
     met = banded.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1")
     total = copies.count()
@@ -252,10 +255,11 @@ def link_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
 
 
 def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the row of ``docs`` with the least doc_id of each class, null ids last; rows with
-    equal id and text are one. Texts without words stay.
+    """``columns`` of the row of ``docs`` with the least doc_id of each class, null ids last, of equal ids that
+    with the least hash; rows that are equal in all columns are one. Texts without words stay.
     """
-    marked = docs.withColumn("__r", row_key())
-    sig, sets = classes(keyed(docs))
-    stay = materialise(sets.select(F.col("whole.r").alias("__r")).union(sig.where("n = 0").select("r")).distinct(), "representatives")
-    return marked.join(stay, "__r", "left_semi").dropDuplicates(["__r"]).select(*[F.col(f"`{c}`") for c in columns])
+    own = next(n for k in range(len(columns) + 1) if (n := "__r" + "_" * k) not in columns)
+    marked = docs.withColumn(own, row_key(columns))
+    sig, sets = classes(keyed(docs, tuple(columns)))
+    stay = materialise(sets.select(F.col("whole.r").alias(own)).union(sig.where("n = 0").select("r")).distinct(), "representatives")
+    return marked.join(stay, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in columns])

@@ -81,4 +81,11 @@ def test_stages_of_odd_tables(spark, tmp_path):
         ids = {r["doc_id"] for r in found.select("doc_id").collect()}
         assert ids >= {1, 2, 4}, name
         if name != "packing":
-            assert found.columns == docs.columns, name
+            assert found.columns == docs.columns and {r["__r"] for r in found.collect()} == {"z"}, name
+
+
+def test_of_rows_that_differ_elsewhere_one_is_kept_always(spark):
+    rows = [(1, PROSE[0], "aa"), (1, PROSE[0], "bb"), (1, PROSE[0], None), (1, PROSE[0], None), (None, PROSE[0], "null"), (2, PROSE[1], "aa"), (None, None, "aa"), (None, None, None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [sorted(map(str, near_duplicates.representatives(docs.repartition(n), docs.columns).collect())) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == 4
