@@ -111,19 +111,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows are compared as joined words; no word holds a blank.
 OP7_SQL = r"""
-with dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
-iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
-win as (select distinct item_id, k, array_to_string(w[s:s + k - 1], ' ') as t from (
-  select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from iw where len(w) > 0)),
+with dw as (select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+iw as (select row_number() over () as item, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+win as (select distinct item, item_id, k, array_to_string(w[s:s + k - 1], ' ') as t from (
+  select item, item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from iw where len(w) > 0)),
 ks as (select distinct k from win),
-occ as (select doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') as t from (
-  select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from dw, ks where len(w) >= k)),
-hit as (select o.doc_id, o.s, o.k, win.item_id from occ o join win on o.t = win.t and o.k = win.k),
-places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from hit) group by doc_id),
-found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+occ as (select row, k, s, array_to_string(w[s:s + k - 1], ' ') as t from (
+  select row, w, k, unnest(range(1, len(w) - k + 2)) as s from dw, ks where len(w) >= k)),
+hit as (select o.row, o.s, o.k, win.item, win.item_id from occ o join win on o.t = win.t and o.k = win.k),
+places as (select row, count(distinct p) as n_hit from (select row, unnest(range(s, s + k)) as p from hit) group by row),
+found as (select row, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by row)
 select dw.doc_id, len(dw.w)::bigint as n_words, coalesce(p.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
   sha256(coalesce(f.ids, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
-from dw left join places p using (doc_id) left join found f using (doc_id)
+from dw left join places p using (row) left join found f using (row)
 """
 
 
