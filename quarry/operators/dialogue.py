@@ -30,6 +30,7 @@ ANSWER_TAIL = (
 )
 #: What a model is asked for, around the question.
 REWRITE_SYSTEM = "你是查询优化专家。只输出查询语句本身，不要回答用户的问题。"
+RETRY_SYSTEM = "你是检索优化助手，只输出一条新的检索查询。"
 ASKED = "用户问题："
 MULTI = (
     "你是检索查询生成专家。基于对话历史和用户最新问题，生成 {n} 个不同角度的检索查询，用于召回互补资料。\n"
@@ -96,7 +97,9 @@ def rewrite_prompt(kind: str, prompt: str = "", count: int = 3) -> Column:
 
 
 def retry_prompt(text: Column, tried: Column) -> Column:
-    return F.replace(F.replace(F.lit(RETRY), F.lit("{q}"), text), F.lit("{tried}"), F.array_join(tried, "；"))
+    """What a model is asked for another query, after those ``tried`` found nothing."""
+    asked = F.replace(F.replace(F.lit(RETRY), F.lit("{q}"), text), F.lit("{tried}"), F.array_join(tried, " / "))
+    return F.concat(F.lit(RETRY_SYSTEM + "\n"), asked)
 
 
 def score_prompt(query: Column, texts: Column, most: int = 1200) -> Column:
