@@ -1,10 +1,11 @@
 """Cutting texts into chunks: four strategies with overlap, as array expressions over documents.
 
-A text becomes an array of units, parts or sentences with their weights; one fold over
+A text becomes an array of parts or sentences with their weights; one fold over
 the weights finds where chunks begin and end (its state is a running weight that starts
 anew with each chunk), and slices of the array are the chunks. Weights are whole
 twentieths of a token, so a fold only adds numbers; the text itself is weighed again
-only where its sum is a half token, as there rounding decides.
+only where its sum is a half token, as there rounding decides. Fixed windows over units are
+found by search in running sums (windows.py), as array expressions have no running sum.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.text import SPACE, count_tokens, trim, twentieths
 from quarry.operators.models import neighbour_cosines
+from quarry.operators.windows import recursive_blocks, windows
 from quarry.storage import materialise
 
 #: The separators of the recursive strategy, coarse to fine; tokens of a small last paragraph; least group of the semantic strategy.
@@ -74,53 +76,19 @@ def _cuts(state: Column, a: Column, b: Column) -> Column:
 _NO_CUTS = "array<struct<a:int,b:int>>"
 
 
-def slide_cuts(w: Column, size: float, overlap: float) -> Column:
-    """First and last unit (from 0) of each window over units of weights ``w`` that reaches ``size``;
-    a window starts with units worth ``overlap`` of the one before, one at least.
-    """
-    zero = F.lit(0.0)
-
-    def state(st: Column, acc: Column, cuts: Column) -> Column:
-        return F.struct(st.cast("int").alias("st"), acc.alias("acc"), cuts.alias("cuts"))
-
-    def after(s: Column, i: Column) -> Column:
-        if overlap <= 0:
-            return state(i + 1, zero, _cuts(s, s["st"], i))
-        step = lambda a, x: F.when(a["back"] < overlap, F.struct((a["n"] + 1).alias("n"), (a["back"] + x).alias("back"))).otherwise(a)
-        carried = F.aggregate(F.reverse(F.slice(w, s["st"] + 2, i - s["st"])), F.struct(F.lit(0).alias("n"), zero.alias("back")), step, lambda a: F.greatest(a["n"], F.lit(1)))
-        return let(i + 1 - carried, lambda st: state(st, F.aggregate(F.slice(w, st + 1, i + 1 - st), zero, lambda n, x: n + x), _cuts(s, s["st"], i)))
-
-    def step(s: Column, i: Column) -> Column:
-        return let(s["acc"] + w[i], lambda acc: F.when(acc >= size, after(s, i)).otherwise(state(s["st"], acc, s["cuts"])))
-
-    last = F.size(w) - 1
-    finish = lambda s: F.when(s["st"] <= last, _cuts(s, s["st"], last)).otherwise(s["cuts"])
-    none = F.array().cast(_NO_CUTS)
-    return F.when(last >= 0, F.aggregate(F.sequence(F.lit(0), last), state(F.lit(0), zero, none), step, finish)).otherwise(none)
-
-
-def _glued(parts: Column, lo: Column, hi: Column, glue: str | None) -> Column:
-    """Parts lo to hi as one text; without ``glue`` a line end stands between parts that have none there."""
-    some = F.slice(parts, lo + 1, hi - lo + 1)
-    if glue is not None:
-        return F.array_join(some, glue)
-    between = lambda a, b: F.when(a.endswith("\n") | b.startswith("\n"), "").otherwise("\n")
-    return F.aggregate(some, F.lit(""), lambda a, b: F.when(a == "", b).otherwise(F.concat(a, between(a, b), b)))
+def _glued(parts: Column, lo: Column, hi: Column, glue: str) -> Column:
+    """Parts lo to hi as one text."""
+    return F.array_join(F.slice(parts, lo + 1, hi - lo + 1), glue)
 
 
 def _tokens(q: Column, text: Column) -> Column:
     return F.when(q % 20 != 10, F.floor((q + 10) / 20)).otherwise(count_tokens(text))
 
 
-def greedy(df: DataFrame, limit: float, glue: str | None) -> DataFrame:
+def greedy(df: DataFrame, limit: float, glue: str) -> DataFrame:
     """``df`` with ``blocks``: its non-empty ``parts`` joined from the left while they stay within ``limit`` tokens."""
-    parts, q, first, last = F.col("parts"), F.col("__q"), F.col("__first"), F.col("__last")
+    parts, q = F.col("parts"), F.col("__q")
     df = df.withColumn("__q", F.transform("parts", twentieths))
-    if glue is None:
-        df = df.withColumn("__first", F.transform("parts", lambda p: p.startswith("\n"))).withColumn("__last", F.transform("parts", lambda p: p.endswith("\n")))
-
-    def between(i: Column) -> Column:
-        return F.lit(4 * len(glue)) if glue is not None else F.when(last[i - 1] | first[i], 0).otherwise(4)
 
     def state(lo: Column, n: Column, cuts: Column) -> Column:
         return F.struct(lo.alias("lo"), n.cast("long").alias("n"), cuts.alias("cuts"))
@@ -129,7 +97,7 @@ def greedy(df: DataFrame, limit: float, glue: str | None) -> DataFrame:
         def grown(n: Column) -> Column:
             return F.when(_tokens(n, _glued(parts, s["lo"], i, glue)) > limit, state(i, q[i], _cuts(s, s["lo"], i - 1))).otherwise(state(s["lo"], n, s["cuts"]))
 
-        return F.when(i == 0, state(s["lo"], q[i], s["cuts"])).otherwise(let(s["n"] + between(i) + q[i], grown))
+        return F.when(i == 0, state(s["lo"], q[i], s["cuts"])).otherwise(let(s["n"] + 4 * len(glue) + q[i], grown))
 
     end = F.size("parts") - 1
     start = state(F.lit(0), F.lit(0), F.array().cast(_NO_CUTS))
@@ -138,7 +106,7 @@ def greedy(df: DataFrame, limit: float, glue: str | None) -> DataFrame:
     df = df.withColumn("__blocks", F.transform("__cuts", lambda c: trim(_glued(parts, c["a"], c["b"], glue))))
     blocks = F.col("__blocks")
     whole = F.when((F.size(blocks) > 0) & (F.element_at(blocks, -1) == ""), F.slice(blocks, 1, F.size(blocks) - 1)).otherwise(blocks)
-    return df.withColumn("blocks", whole).drop("__q", "__first", "__last", "__cuts", "__blocks")
+    return df.withColumn("blocks", whole).drop("__q", "__cuts", "__blocks")
 
 
 def merge_last(blocks: Column, least: float, glue: str) -> Column:
@@ -163,16 +131,6 @@ def with_heads(df: DataFrame, head: Callable[[Column], Column], glue: str) -> Da
     return df.withColumn("__named", F.when(h.isNull(), F.col("blocks")).otherwise(F.transform("blocks", lambda c, i: F.when(i > 0, trim(named(c, i))).otherwise(c)))).drop("blocks", "__heads").withColumnRenamed("__named", "blocks")
 
 
-def recursive_parts(text: Column, size: int) -> Column:
-    """The text split at ever finer separators wherever it is above ``size`` tokens."""
-    marked = lambda x: F.struct(x.alias("t"), (count_tokens(x) > size).alias("big"))
-    parts = F.array(marked(text))
-    for sep in SEPARATORS:
-        pieces = lambda s, sep=sep: F.filter(F.split(s["t"], "\\Q" + sep + "\\E"), lambda x: x != "")
-        parts = F.flatten(F.transform(parts, lambda s: F.when(s["big"], F.transform(pieces(s), marked)).otherwise(F.array(s))))
-    return F.transform(parts, lambda s: s["t"])
-
-
 def move_headings(df: DataFrame) -> DataFrame:
     """``df`` with the heading that ends one of ``blocks`` at the head of the next; empty blocks go."""
     end = F.size("blocks") - 1
@@ -304,9 +262,7 @@ def cut(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFr
         df = _semantic(df, cfg, embed)
     else:
         if cfg.strategy == "recursive":
-            df = greedy(df.withColumn("parts", recursive_parts(F.col("text"), cfg.size)), cfg.size, None)
-            if cfg.overlap > 0:
-                df = with_heads(df, lambda c: tail(c, cfg.overlap), "\n")
+            df = recursive_blocks(df, cfg.size, cfg.overlap, SEPARATORS, ["doc_id"])
         elif cfg.strategy == "paragraph":
             df = greedy(df.withColumn("parts", T.paragraphs(F.col("text"))), cfg.paragraph_max or 800, "\n\n")
             if cfg.merge_small:
@@ -315,10 +271,7 @@ def cut(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFr
                 k = cfg.overlap_paragraphs
                 df = with_heads(df, lambda c: let(T.paragraphs(c), lambda ps: F.array_join(F.slice(ps, F.greatest(F.size(ps) - k, F.lit(0)) + 1, k), "\n\n")), "\n\n")
         else:
-            df = df.withColumn("u", T.units(F.col("text"))).withColumn("w", F.transform("u", unit_weight))
-            df = df.withColumn("cuts", slide_cuts(F.col("w"), cfg.size or 512, cfg.overlap))
-            found = F.transform("cuts", lambda c: trim(F.array_join(F.slice("u", c["a"] + 1, c["b"] - c["a"] + 1), "")))
-            df = df.withColumn("blocks", F.filter(found, lambda c: c != ""))
+            df = fixed_windows(df, cfg).withColumn("blocks", F.transform("windows", lambda w: w["text"]))
         df = df.withColumn("degraded", F.lit(None).cast("string")).withColumn("threshold", F.lit(None).cast("double"))
     df = df.select("doc_id", "blocks", "degraded", "threshold")
     if cfg.markdown:
@@ -326,16 +279,53 @@ def cut(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFr
     return df.select("doc_id", F.transform("blocks", trim).alias("blocks"), "degraded", "threshold")
 
 
+def fixed_windows(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """doc_id, windows (text, begin, end, tokens; places in characters) of every document that has text, by the fixed strategy."""
+    some = docs.select("doc_id", "text").where(trim(F.col("text")) != "")
+    return windows(some, cfg.size or 512, cfg.overlap, ["doc_id"])
+
+
+def _as_windows(cfg: ChunkConfig) -> bool:
+    """Whether chunks are the windows as they are: no heading moves."""
+    return cfg.strategy not in ("recursive", "paragraph", "semantic") and not cfg.markdown
+
+
 def chunk(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
     """doc_id, idx, text, tokens of every chunk; an empty chunk goes, and leaves its place in ``idx`` free."""
+    if _as_windows(cfg):
+        each = fixed_windows(docs, cfg).select("doc_id", F.posexplode("windows").alias("idx", "w"))
+        return each.select("doc_id", "idx", "w.text", "w.tokens")
     # outer: no filter on the array is inferred, which would be pushed down and work every array out again
     each = cut(docs, cfg, embed).select("doc_id", F.posexplode_outer("blocks").alias("idx", "text"))
     return each.where("text <> ''").withColumn("tokens", count_tokens(F.col("text")))
 
 
+def chunk_spans(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """doc_id, idx, begin, end: which characters of its text each chunk of the fixed strategy is."""
+    each = fixed_windows(docs, cfg).select("doc_id", F.posexplode("windows").alias("idx", "w"))
+    return each.select("doc_id", "idx", "w.begin", "w.end")
+
+
+def coverage(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """doc_id, n_chunks, covered (characters in some chunk) and shared (in two or more neighbours, with repeats), as chunks really
+    lie; planned: the share of a chunk that the configured overlap is.
+    """
+    w = F.col("windows")
+    before = lambda i: F.when(i > 0, F.get(w, i - 1)["end"]).otherwise(0)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x)
+    fresh = F.transform(w, lambda x, i: x["end"] - F.greatest(x["begin"], before(i)))
+    again = F.transform(w, lambda x, i: F.greatest(before(i) - x["begin"], F.lit(0)))
+    planned = F.lit(math.floor(100 * cfg.overlap / (cfg.size or 512) + 0.5))
+    return fixed_windows(docs, cfg).select("doc_id", F.size(w).cast("long").alias("n_chunks"), total(fresh).alias("covered"), total(again).alias("shared"), planned.alias("planned"))
+
+
 def chunk_meta(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
     """One row for each document with text: doc_id, strategy, degraded, threshold, n_chunks, the tokens' average, least and largest, overlap_tokens."""
-    found = cut(docs, cfg, embed).withColumn("n", F.transform(F.filter("blocks", lambda c: c != ""), count_tokens))
+    if _as_windows(cfg):
+        none = F.lit(None)
+        found = fixed_windows(docs, cfg).select("doc_id", F.transform("windows", lambda w: w["tokens"]).alias("n"), none.cast("string").alias("degraded"), none.cast("double").alias("threshold"))
+    else:
+        found = cut(docs, cfg, embed).withColumn("n", F.transform(F.filter("blocks", lambda c: c != ""), count_tokens))
     total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
     none = F.lit(0).cast("long")
     return found.select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversations, dialogue, knowledge_base, lexical_index, models, retrieval, statistics
+from quarry.operators import chunking, conversations, dialogue, knowledge_base, lexical_index, models, pruned, retrieval, statistics
 from quarry.operators.retrieval import RetrieveConfig
 from quarry.sources import files
 from quarry.storage import materialise, scratch, table
@@ -262,6 +262,20 @@ def dense_topk(spark, sf):
     return s.select("query_id", "chunk_pos", retrieval.ranked("semantic"), F.round("semantic", 6).alias("semantic")).where("rank <= 10")
 
 
+@query(ORACLE_SQL["dense_topk"])
+def dense_pruned(spark, sf):
+    v = table(spark, sf, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    s, _ = pruned.dense(v.select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector")), asked, 10)
+    return s.select("query_id", "chunk_pos", "rank", (F.round("semantic", 6) + F.lit(0.0)).alias("semantic"))
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_pruned(spark, sf):
+    s, _ = pruned.bm25(corpus(spark, sf), questions(spark, sf), 10)
+    return s.select("query_id", "chunk_pos", "rank", F.round("bm25", 6).alias("score"))
+
+
 @query(_sql_top(SQL_RRF, "(2.0::double / 61)"))
 def hybrid_rrf(spark, sf):
     return _mode(spark, sf)
@@ -490,6 +504,33 @@ def recursive_chunks(spark, sf):
     return _chunks(chunking.ChunkConfig("recursive", size=128), spark, sf)
 
 
+#: A text's weight in twentieths of a token; tokens of it, where a half is decided by the text.
+SQL_TWENTIETHS = r"(5 * length({0}) - length(regexp_replace({0}, '[^ \n\t]+', '', 'g')) + 15 * length(regexp_replace({0}, '[^\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}\x{{f900}}-\x{{faff}}]+', '', 'g')))::bigint"
+
+
+def _sql_recursive(size: int, overlap: int) -> str:
+    """CTEs up to chunks: one level of splits a separator, a fold that joins parts, heads of the block before."""
+    quoted = ["chr(10) || chr(10)", "chr(10)", *[f"'{x}'" for x in chunking.SEPARATORS[2:]]]
+    levels = [f"""l{k + 1} as (select doc_id, flatten(list_transform(s, lambda x: case when ({SQL_TWENTIETHS.format('x')} + 10) // 20 > {size} or {SQL_TWENTIETHS.format('x')} % 20 = 10 and {SQL_TOKENS.format('x')} > {size}
+  then list_filter(string_split(x, {sep}), lambda y: y <> '') else [x] end)) as s from l{k})""" for k, sep in enumerate(quoted)]
+    glue = "(case when ends_with(a.buf, chr(10)) or starts_with(b.buf, chr(10)) then '' else chr(10) end)"
+    q = f"(a.q + b.q + 4 * length({glue}))"
+    fits = f"case when {q} % 20 <> 10 then ({q} + 10) // 20 else {SQL_TOKENS.format(f'(a.buf || {glue} || b.buf)')} end <= {size}"
+    return f"""l0 as (select doc_id, [text] as s from documents where regexp_matches(text, '[^[:space:]]')), {", ".join(levels)},
+ fold as (select doc_id, list_reduce(list_transform(s, lambda x: {{'buf': x, 'q': {SQL_TWENTIETHS.format('x')}, 'out': []::varchar[]}}),
+  lambda a, b: case when {fits} then {{'buf': a.buf || {glue} || b.buf, 'q': {q}, 'out': a.out}} else {{'buf': b.buf, 'q': b.q, 'out': list_append(a.out, {sql_trim("a.buf")})}} end) as f from l9 where len(s) > 0),
+ bl as (select doc_id, unnest(range(len(s))) as i, unnest(s) as text from (select doc_id, case when {sql_trim("f.buf")} = '' then f.out else list_append(f.out, {sql_trim("f.buf")}) end as s from fold)),
+ bu as (select doc_id, i, text, {SQL_UNITS} as u from bl), bw as (select *, list_reverse(list_transform(u[greatest(1, len(u) - {5 * overlap}):], lambda x: {SQL_UNIT})) as w from bu),
+ bh as (select doc_id, i, text, {sql_trim(f"array_to_string(u[len(u) - ({_sql_fold('w', overlap)}).n + 1:], '')")} as head from bw),
+ bp as (select doc_id, i, text, lag(head) over (partition by doc_id order by i) as before from bh),
+ chunks as (select * from (select doc_id, i as idx, case when i > 0 and coalesce(before, '') <> '' then {sql_trim("before || chr(10) || text")} else text end as text from bp) where text <> '')"""
+
+
+@query(f"with {_sql_recursive(128, 19)} {SQL_CHUNK_ROWS}")
+def recursive_overlap(spark, sf):
+    return _chunks(chunking.ChunkConfig("recursive", size=128, markdown=False), spark, sf)
+
+
 @query(f"with {_sql_greedy(SQL_PARAGRAPHS, 200, GAP)}, {_sql_merged(60, GAP)}, {SQL_LAPPED} {SQL_CHUNK_ROWS}")
 def paragraph_chunks(spark, sf):
     return _chunks(chunking.ChunkConfig("paragraph", paragraph_max=200), spark, sf)
@@ -540,6 +581,22 @@ def chunk_meta(spark, sf):
     return made.drop("degraded", "threshold")
 
 
+SQL_SPANS = f"""{_sql_slices(64, 10)}, raw as (select doc_id, st, array_to_string(u[st:en], '') as r, coalesce(list_sum(list_transform(u[1:st - 1], lambda x: length(x))), 0) as off from hop join un using (doc_id)),
+ spans as (select doc_id, row_number() over (partition by doc_id order by st, off + length(r)) - 1 as idx, off + length(r) - length(regexp_replace(r, '^{TRIM}', '')) as a, off + length(regexp_replace(r, '{TRIM}$', '')) as b
+  from raw where {sql_trim('r')} <> '')"""
+
+
+@query(f'with {SQL_SPANS} select doc_id, idx::int as idx, a::bigint as begin, b::bigint as "end" from spans')
+def chunk_spans(spark, sf):
+    return chunking.chunk_spans(table(spark, sf, "documents"), chunking.ChunkConfig(size=64, overlap_mode="absolute", overlap_value=10, markdown=False))
+
+
+@query(f"""with {SQL_SPANS}, l as (select *, coalesce(lag(b) over (partition by doc_id order by idx), 0) as before from spans)
+ select doc_id, count(*)::bigint as n_chunks, sum(b - greatest(a, before))::bigint as covered, sum(greatest(before - a, 0))::bigint as shared, 16::int as planned from l group by doc_id""")
+def chunk_coverage(spark, sf):
+    return chunking.coverage(table(spark, sf, "documents"), chunking.ChunkConfig(size=64, overlap_mode="absolute", overlap_value=10, markdown=False))
+
+
 @query(f"with {_sql_slices(64, 0)} {SQL_CHUNK_ROWS} where idx < 3")
 def chunk_preview(spark, sf):
     cfg = chunking.ChunkConfig(size=64, overlap_enabled=False, markdown=False)
@@ -784,7 +841,6 @@ def rerank_responses(spark, sf):
 
 
 #: Documents of one source and language, one after the other, are the text of one file.
-_FILE = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.coalesce("lang", F.lit("none"))).alias("part")
 SQL_FILES = f"""files as (select part as doc_id, {_sql_chain("string_agg(text || chr(10), '' order by doc_id)", CLEAN_STEPS)} as text
  from (select coalesce(source, 'none') || '-' || coalesce(lang, 'none') as part, doc_id, text from documents where text is not null @some@) group by part)"""
 
@@ -796,7 +852,8 @@ def _sql_file_chunks(some: str = "") -> str:
 
 
 def _write_files(docs: DataFrame, path: str, mode: str) -> None:
-    listed = docs.where("text is not null").select("doc_id", "text", _FILE).repartition("part").sortWithinPartitions("part", "doc_id")
+    part = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.coalesce("lang", F.lit("none"))).alias("part")
+    listed = docs.where("text is not null").select("doc_id", "text", part).repartition("part").sortWithinPartitions("part", "doc_id")
     listed.select("part", "text").write.mode(mode).partitionBy("part").option("lineSep", "\n").text(path)
 
 

@@ -117,3 +117,31 @@ def test_neighbours_by_the_offline_model(spark):
             pairs = [(v[100 * i + k], v[100 * i + k + 1]) for k in range(len(t or []) - 1)]
             want = [float(a @ b / np.sqrt((a @ a) * (b @ b))) if (a @ a) * (b @ b) > 0 else 0.0 for a, b in pairs]
             assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_spans_give_the_texts_back(spark):
+    """A chunk is its span of the text; what no chunk covers is blank."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for cfg in CONFIGS[0], ChunkConfig(size=4, overlap_mode="absolute", overlap_value=2, markdown=False):
+        texts = {(x["doc_id"], x["idx"]): x["text"] for x in chunking.chunk(docs, cfg).collect()}
+        spans = chunking.chunk_spans(docs, cfg).collect()
+        assert {(x["doc_id"], x["idx"]): TEXTS[x["doc_id"]][x["begin"] : x["end"]] for x in spans} == texts
+        inside = {}
+        for x in spans:
+            inside.setdefault(x["doc_id"], []).extend(range(x["begin"], x["end"]))
+        for x in chunking.coverage(docs, cfg).collect():
+            own = inside[x["doc_id"]]
+            rest = [c for k, c in enumerate(TEXTS[x["doc_id"]]) if k not in set(own)]
+            assert x["covered"] == len(set(own)) and not plain._strip("".join(rest)) and x["shared"] >= len(own) - len(set(own))
+
+
+def test_windows_of_odd_units():
+    from quarry.operators import windows
+
+    some = ["1.2.3.4", "1.2.3.4.", ".5 6.", "🙂12🙂", " 　\t ", "a" * 70 + "人", "x1.5y", "2.5" * 9]
+    r = random.Random(8)
+    for _ in range(400):
+        text = "".join(r.choice(some + PIECES) for _ in range(r.choice([0, 1, 4, 25])))
+        for size, overlap in ((4, 0), (4, 0.5), (6, 30), (1, 1), (2.5, 0.2), (0.25, 3)):
+            assert [text[a:b] for a, b, _ in windows.spans(text, size, overlap)] == plain.slide(text, size, overlap)
+            assert all(k == plain.tokens(text[a:b]) for a, b, k in windows.spans(text, size, overlap))
