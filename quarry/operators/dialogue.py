@@ -182,6 +182,40 @@ def rerank_chain(candidates: DataFrame, rerankers: dict[str, Callable[[DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What is said where a reranker has nothing, and where the next one stood in for it.
+NOTHING = "重排结果为空"
+STOOD_IN = "重排 API 失败，已降级为 LLM 打分："
+
+
+def rerank_with_fallback(candidates: DataFrame, service: Callable[[DataFrame], DataFrame], other: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 20, names: tuple[str, str] = ("api", "llm")) -> DataFrame:
+    """``candidates`` (query_id, rank from 1, chunk_pos, ...) with rerank, place, rerank_mode and degraded.
+
+    A service maps candidates to items: query_id, index (rank - 1), score, error (text, where it failed for the query).
+    Queries for which the first fails, or has no item of theirs, go to ``other``, and ``degraded`` says why; where
+    that fails too they keep their candidates in order, without rerank, and both reasons are told.
+    """
+    keep = candidates.columns
+
+    def served(rows: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+        items = materialise(run(rows).select("query_id", "index", "score", "error"), "items")
+        why = items.where("error is not null").groupBy("query_id").agg(F.max("error").alias("why"))
+        scored = rerank_items(rows, items).join(why, "query_id", "left_anti")
+        order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "rank")
+        scored = materialise(scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n).withColumn("rerank_mode", F.lit(name)), "reranked")
+        lost = rows.select("query_id").distinct().join(scored.select("query_id").distinct(), "query_id", "left_anti").join(why, "query_id", "left")
+        return scored, materialise(lost.select("query_id", F.coalesce("why", F.lit(NOTHING)).alias("why")), "failed")
+
+    result = [*keep, "rerank", "place", "rerank_mode", "degraded"]
+    done, failed = served(candidates, service, names[0])
+    parts = [done.withColumn("degraded", F.lit(None).cast("string")).select(result)]
+    if other is not None:
+        second, again = served(candidates.join(failed.select("query_id"), "query_id", "left_semi"), other, names[1])
+        parts.append(second.join(failed, "query_id").withColumn("degraded", F.concat(F.lit(STOOD_IN), "why")).select(result))
+        failed = failed.join(again.select("query_id", F.col("why").alias("also")), "query_id").select("query_id", F.concat_ws(" | ", "why", "also").alias("why"))
+    rest = candidates.join(failed, "query_id").select(*keep, F.lit(None).cast("double").alias("rerank"), F.col("rank").cast("int").alias("place"), F.lit("none").alias("rerank_mode"), F.col("why").alias("degraded"))
+    return reduce(DataFrame.unionByName, [*parts, rest])
+
+
 def with_retries(questions: DataFrame, search: Callable[[DataFrame], DataFrame], propose: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """What ``search`` finds for each question (query_id, text), with iteration and query.
 

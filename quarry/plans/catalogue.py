@@ -370,6 +370,145 @@ def no_answer(spark, sf):
     return best.select("query_id", (F.col("best") >= 0.95).alias("answered"), (F.round("best", 4) + F.lit(0.0)).alias("best"))
 
 
+# -- searches of other questions ------------------------------------------------------------
+
+
+def _sql_lex(asked: str) -> str:
+    """The lexical CTEs for questions (query_id, text) of the table ``asked``."""
+    own = f"qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), {WORD})[1:128]) as term from benchmark)"
+    assert own in SQL_LEX
+    return SQL_LEX.replace(own, own.replace("item_id as query_id", "query_id").replace("from benchmark", f"from {asked}"))
+
+
+@query(f"""with d as (select coalesce(source, '') as session, doc_id as chunk_pos, regexp_extract_all(lower(coalesce(text, '')), {WORD}) as t from documents),
+ st as (select session, count(*) as n, avg(len(t)) as avgdl from d group by session), l as (select session, chunk_pos, len(t) as dl, unnest(t) as term from d),
+ tf as (select session, chunk_pos, dl, term, count(*) as tf from l group by all), df as (select session, term, count(*) as df from tf group by all),
+ qf as (select item_id as query_id, term, count(*) as qf from (select item_id, unnest(regexp_extract_all(lower(text), {WORD})[1:128]) as term from benchmark) group by all),
+ raw as (select tf.session, query_id, chunk_pos, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
+  from qf join tf using (term) join df on df.term = tf.term and df.session = tf.session join st on st.session = tf.session group by all)
+ select session, query_id, chunk_pos, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by session, query_id order by round(score, 9) desc, chunk_pos) as rank from raw) where rank <= 3""")
+def session_topk(spark, sf):
+    """Every source is a corpus of its own, in which all questions are asked."""
+    docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("session"), F.col("doc_id").alias("chunk_pos"), "text")
+    asked = docs.select("session").distinct().join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
+    s = retrieval.session_topk(docs, asked, 3)
+    return s.select("session", "query_id", "chunk_pos", "rank", F.round("bm25", 6).alias("score"))
+
+
+SQL_VARIANTS = """v as (select item_id * 10 + v as query_id, item_id, v::int as variant, array_to_string(w[5 * v + 1:5 * v + 5], ' ') as text
+ from (select item_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark where text is not null), range(2) t(v))"""
+SQL_VARIANT_FIRST = f"""with {SQL_VARIANTS}, {_sql_lex("v")}, rb as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(bm25, 9) desc, chunk_pos) as r from lex where bm25 > 0),
+ a as (select v.item_id, v.variant, d1.doc_id as chunk_pos, coalesce(1.0::double / (60 + r), 0.0) as fused from v cross join documents d1 left join rb on rb.query_id = v.query_id and rb.chunk_pos = d1.doc_id),
+ b as (select *, row_number() over (partition by item_id, variant order by round(fused, 9) desc, chunk_pos) as r from a)"""
+
+
+def _variants(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two queries that a model makes of each question, searched together; they have no vectors, so by terms alone."""
+    asked = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
+    made = dialogue.rewrite(asked, _first_words, "multi").withColumn("vector", F.lit(None).cast("array<float>"))
+    return retrieval.search_variants(corpus(spark, sf), made)
+
+
+@query(f"""{SQL_VARIANT_FIRST}, c as (select *, row_number() over (partition by item_id, chunk_pos order by round(fused, 9) desc, variant) as v1 from b where r <= 30),
+ e as (select *, row_number() over (partition by item_id order by round(fused, 9) desc, chunk_pos) as place from c where v1 = 1)
+ select item_id as query_id, chunk_pos, variant, place::int as place, round(fused, 6) as fused from e where place <= 30""")
+def variant_search(spark, sf):
+    return _variants(spark, sf)[0].select("query_id", "chunk_pos", "variant", "place", F.round("fused", 6).alias("fused"))
+
+
+@query(f"{SQL_VARIANT_FIRST} select item_id as query_id, variant, r::int as rank, chunk_pos from b where r <= 10")
+def variant_trace(spark, sf):
+    return _variants(spark, sf)[1].select("query_id", "variant", "rank", "chunk_pos")
+
+
+#: Terms a reranker takes of a question, and those that the model which stands in for it does.
+LONG_QUESTION, LONGER_QUESTION = 12, 22
+
+
+def _overlap_service(spark, sf, most: int, of_both: bool):
+    """A reranker that scores by common terms, and fails for questions of more than ``most``."""
+
+    def run(candidates: DataFrame) -> DataFrame:
+        terms = lambda c: F.array_distinct(T.index_terms(F.col(c)))
+        asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms("text").alias("q"))
+        texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), terms("text").alias("t"))
+        both = candidates.join(asked, "query_id").join(texts, "chunk_pos")
+        whole = F.size(F.array_union("q", "t")) if of_both else F.size("q")
+        fails = F.size("q") > most
+        return both.select("query_id", (F.col("rank") - 1).alias("index"), F.when(~fails, F.size(F.array_intersect("q", "t")) / whole).alias("score"), F.when(fails, F.format_string(f"more than {most} terms")).alias("error"))
+
+    return run
+
+
+@query(f"""with {SQL_LEX}, c as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos) as rank from raw),
+ t as (select c.*, list_distinct(regexp_extract_all(lower(b.text), {WORD})) as q, list_distinct(regexp_extract_all(lower(d.text), {WORD})) as t from c join benchmark b on item_id = query_id join documents d on doc_id = chunk_pos where rank <= 10),
+ s as (select *, len(list_intersect(q, t)) as i, case when len(q) <= {LONG_QUESTION} then 'api' when len(q) <= {LONGER_QUESTION} then 'llm' else 'none' end as m from t),
+ r as (select *, case m when 'api' then i / len(list_distinct(list_concat(q, t))) when 'llm' then i / len(q) end as rerank from s),
+ p as (select *, row_number() over (partition by query_id order by rerank desc nulls last, rank) as place from r)
+ select query_id, chunk_pos, round(rerank, 6) as rerank, place::int as place, m as rerank_mode,
+  case m when 'llm' then '{dialogue.STOOD_IN}more than {LONG_QUESTION} terms' when 'none' then 'more than {LONG_QUESTION} terms | more than {LONGER_QUESTION} terms' end as degraded from p where place <= 5 or m = 'none'""")
+def rerank_degraded(spark, sf):
+    found = retrieval.bm25(corpus(spark, sf), questions(spark, sf))
+    candidates = materialise(found.select("query_id", "chunk_pos", retrieval.ranked("bm25")).where("rank <= 10"), "candidates")
+    api, llm = _overlap_service(spark, sf, LONG_QUESTION, True), _overlap_service(spark, sf, LONGER_QUESTION, False)
+    shown = dialogue.rerank_with_fallback(candidates, api, llm, 5)
+    return shown.select("query_id", "chunk_pos", F.round("rerank", 6).alias("rerank"), "place", "rerank_mode", "degraded")
+
+
+def _shorter(prompts: list[str]) -> list[str]:
+    """A model of the tests' kind: of the question asked, the next three words that weren't asked yet."""
+    import re
+
+    out = []
+    for p in prompts:
+        asked, tried = p.rsplit("原始问题：", 1)[1].rsplit("\n已尝试的查询：", 1)
+        at = 3 * (len(tried.split(" / ")) - 1)
+        out.append(" ".join(re.findall("[A-Za-z]+", asked)[at : at + 3]))
+    return out
+
+
+#: Weight a term that a passage must reach for a question to count as found.
+FOUND = 2.5
+
+
+@query(f"""with w as (select item_id, text, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark where text is not null),
+ a as (select item_id, 0 as i, text from w union all select item_id, i, array_to_string(w[3 * i - 2:3 * i], ' ') from w, range(1, 3) t(i)), v as (select item_id * 10 + i as query_id, item_id, i, text from a where text <> ''),
+ {_sql_lex("v")}, n as (select query_id, count(distinct term) as terms from qt group by query_id),
+ hit as (select item_id, i, v.text, chunk_pos from raw join n using (query_id) join v using (query_id) where round(score / terms, 6) >= {FOUND}),
+ first as (select item_id, min(i) as i from hit group by item_id)
+ select item_id as query_id, chunk_pos, i::int as iteration, md5(text) as query_md5 from hit join first using (item_id, i)""")
+def retry_search(spark, sf):
+    """Questions that no passage answers well enough are asked again in other words, twice at most."""
+    docs = corpus(spark, sf)
+
+    def search(asked: DataFrame) -> DataFrame:
+        terms = asked.select("query_id", F.size(F.array_distinct(F.slice(T.index_terms(F.col("text")), 1, retrieval.QUERY_TERMS))).alias("terms"))
+        found = retrieval.bm25(docs, asked).join(terms, "query_id")
+        return found.where(F.round(F.col("bm25") / F.col("terms"), 6) >= FOUND).select("query_id", "chunk_pos")
+
+    def propose(left: DataFrame) -> DataFrame:
+        prompts = left.select("query_id", dialogue.retry_prompt(F.get("tried", F.lit(0)), F.col("tried")).alias("prompt"))
+        return dialogue.ask(prompts, _shorter).select("query_id", F.col("answer").alias("new_text"))
+
+    asked = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
+    return dialogue.with_retries(asked, search, propose, 2).select("query_id", "chunk_pos", "iteration", F.md5("query").alias("query_md5"))
+
+
+@query(f"""with u as (select conv_id as query_id, coalesce(max_by(case when role = 'user' then text end, case when role = 'user' then turn end), '') as text from conversations group by conv_id), {_sql_lex("u")},
+ c as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos) as ref from raw),
+ k as (select query_id, string_agg('[' || ref || '] 来源：' || source || chr(10) || d.text, chr(10) || chr(10) order by ref) as block from c join documents d on doc_id = chunk_pos where ref <= 3 group by query_id)
+ select u.query_id as conv_id, md5('【参考资料】' || chr(10) || coalesce(block, '（无参考资料）') || chr(10) || chr(10) || '【用户问题】' || chr(10) || u.text) as content_md5 from u left join k using (query_id)""")
+def prompt_with_context(spark, sf):
+    """The last message of each conversation's prompt: the passages found for its question, then the question."""
+    c = table(spark, sf, "conversations")
+    asked = conversations.last_user(c).select(F.col("conv_id").alias("query_id"), F.col("question").alias("text"))
+    refs = retrieval.bm25(corpus(spark, sf), asked).select("query_id", "chunk_pos", retrieval.ranked("bm25", "ref")).where("ref <= 3")
+    blocks = retrieval.context_block(refs, corpus(spark, sf)).withColumnRenamed("query_id", "conv_id")
+    made = conversations.prompt(c, blocks, "S")
+    last = made.groupBy("conv_id").agg(F.max_by("content", "seq").alias("content"))
+    return last.select("conv_id", F.md5("content").alias("content_md5"))
+
+
 # -- vectors --------------------------------------------------------------------------------
 
 SQL_ADJ = """a as (select vec_id, list_cosine_similarity(embedding::double[], lead(embedding::double[]) over (order by vec_id)) as sim from embeddings)"""
