@@ -422,7 +422,7 @@ def variant_trace(spark, sf):
 
 
 #: Terms a reranker takes of a question, and those that the model which stands in for it does.
-LONG_QUESTION, LONGER_QUESTION = 12, 22
+LONG_QUESTION, LONGER_QUESTION = 28, 40
 
 
 def _overlap_service(spark, sf, most: int, of_both: bool):
@@ -515,9 +515,8 @@ SQL_ADJ = """a as (select vec_id, list_cosine_similarity(embedding::double[], le
 
 
 def _adjacent(spark, sf) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))  # ids are dense: a join, not one sorted task
-    return v.join(following, "vec_id").select("vec_id", T.cosine(F.col("embedding"), F.col("b")).alias("sim"))
+    following = statistics.with_next(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return following.select("vec_id", T.cosine(F.col("embedding"), F.col("next")).alias("sim"))
 
 
 @query(f"with {SQL_ADJ} select vec_id, round(sim, 6) + 0.0 as sim from a where sim is not null")

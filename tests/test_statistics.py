@@ -16,3 +16,14 @@ def test_percentiles(spark, monkeypatch, rows):
         for p in (0, 50, 85, 100):
             assert statistics.discrete_percentile(df, "v", p) == known[math.floor((len(known) - 1) * p / 100)]
     assert statistics.discrete_percentile(df.limit(0), "v", 50) is None
+
+
+def test_the_next_row_in_order(spark):
+    """Neighbours by order, wherever ids have gaps and ranges end."""
+    ids = [3, 4, 9, 100, 101, 5000, -7, 12, 13]
+    rows = spark.createDataFrame([(i, f"v{i}" if i != 12 else None) for i in ids], "i long, v string").repartition(3)
+    order = sorted(ids)
+    want = {(a, f"v{b}" if b != 12 else None) for a, b in zip(order, order[1:])}
+    got = {(r["i"], r["next"]) for r in statistics.with_next(rows, "i", "v").collect()}
+    assert got == want
+    assert statistics.with_next(rows.limit(0), "i", "v").isEmpty()
