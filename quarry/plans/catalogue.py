@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversations, dialogue, knowledge_base, lexical_index, models, pruned, retrieval, statistics
+from quarry.operators import chunking, conversations, dialogue, evaluation, knowledge_base, lexical_index, models, pruned, retrieval, statistics
 from quarry.operators.retrieval import RetrieveConfig
 from quarry.sources import files
 from quarry.storage import materialise, scratch, table
@@ -741,6 +741,50 @@ def chunk_preview(spark, sf):
     return knowledge_base.preview(table(spark, sf, "documents"), cfg, 3).select("doc_id", "idx", "tokens", F.md5("text").alias("md5"))
 
 
+# -- answers and their passages -------------------------------------------------------------
+
+SQL_GIVEN = f"""{SQL_LEX}, p as (select query_id, chunk_pos, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos)::int as ref from raw),
+ g as (select p.query_id, ref, list_distinct(regexp_extract_all(lower(text), {WORD})) as held from p join documents on doc_id = chunk_pos where ref <= 3)"""
+
+
+def _given(spark, sf) -> DataFrame:
+    """The first three passages of each question."""
+    docs = corpus(spark, sf)
+    found = retrieval.bm25(docs, questions(spark, sf)).select("query_id", "chunk_pos", retrieval.ranked("bm25", "ref")).where("ref <= 3")
+    return found.join(docs.select("chunk_pos", "text"), "chunk_pos").select("query_id", "ref", "text")
+
+
+@query(f"""with {SQL_GIVEN}, sen as ({SQL_SENTENCES}), a as (select item_id as query_id, list_distinct(regexp_extract_all(lower(b.text), {WORD})) as q, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), {WORD})) as a, sen.s
+  from benchmark b join documents d on d.doc_id = item_id join sen on sen.doc_id = item_id),
+ t as (select query_id, unnest(range(len(s))) as i, unnest(list_transform(s, lambda x: list_distinct(regexp_extract_all(lower(x), {WORD})))) as terms from a),
+ u as (select t.query_id, i, max(coalesce(len(list_intersect(terms, held)), 0) / len(terms)) as support from t left join g using (query_id) where len(terms) > 0 group by t.query_id, i),
+ m as (select query_id, count(*) as n, sum((support >= 0.5)::int) as good, avg(support) as mean from u group by query_id)
+ select query_id, coalesce(n, 0)::bigint as n_sentences, coalesce(good, 0)::bigint as n_supported, round(coalesce(mean, 0), 6) as faithfulness,
+  round(case when len(q) > 0 then len(list_intersect(q, a)) / len(q) else 0 end, 6) as relevancy from a left join m using (query_id)""")
+def eval_sentences(spark, sf):
+    """The document of a question's number is its answer."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
+    answers = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).join(d, "query_id")
+    found = evaluation.by_sentence(answers, _given(spark, sf))
+    return found.select("query_id", "n_sentences", "n_supported", F.round("faithfulness", 6).alias("faithfulness"), F.round("relevancy", 6).alias("relevancy"))
+
+
+@query(f"""with {SQL_GIVEN}, sen as ({SQL_SENTENCES.replace("doc_id", "item_id").replace("from documents", "from benchmark")}),
+ n as (select item_id as query_id, list_transform(range(len(s)), lambda i: ((i * i) % 7)::int) as n, array_to_string(list_transform(range(len(s)), lambda i: s[i + 1] || ' <' || ((i * i) % 7) || '> [' || ((i * i) % 7) || ']'), ' & ') as answer from sen),
+ r as (select query_id, list(ref) as refs from g group by query_id)
+ select n.query_id, array_to_string(list_sort(list_distinct(list_filter(n, lambda x: list_contains(coalesce(refs, []), x)))), ',') as cited, array_to_string(list_sort(list_distinct(list_filter(n, lambda x: not list_contains(coalesce(refs, []), x)))), ',') as dangling,
+  len(n)::bigint as n_citations, len(list_filter(coalesce(refs, []), lambda x: not list_contains(n, x)))::bigint as n_unused,
+  md5(regexp_replace(replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\[([0-9]+)\\]', '<span class="ref">[\\1]</span>', 'g')) as shown_md5 from n left join r using (query_id)""".replace("\\\\", "\\"))
+def citation_report(spark, sf):
+    """Answers that cite a passage after each sentence of the question; some of the numbers are no passage's."""
+    number = lambda i: (i * i % 7).cast("string")
+    said = F.transform(T.sentences(F.col("text")), lambda s, i: F.concat(s, F.lit(" <"), number(i), F.lit("> ["), number(i), F.lit("]")))
+    answers = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), F.array_join(said, " & ").alias("answer"))
+    found = evaluation.citations(answers, _given(spark, sf))
+    listed = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c)
+    return found.select("query_id", listed("cited"), listed("dangling"), "n_citations", "n_unused", F.md5("shown").alias("shown_md5"))
+
+
 # -- conversations --------------------------------------------------------------------------
 
 
