@@ -4,7 +4,7 @@ from quarry.operators import evaluation
 
 
 def test_sentences_and_their_best_passage(spark):
-    answers = spark.createDataFrame([(1, "red fox?", "The red fox ran! It slept! ... ! 你好。"), (2, "x", None), (3, None, "alone here."), (4, "red", "red red! blue.")], "query_id long, question string, answer string")
+    answers = spark.createDataFrame([(1, "red fox?", "The red fox ran! It slept! ... ! 你好。"), (2, "x", None), (3, None, "alone here."), (4, "red", "red red! blue")], "query_id long, question string, answer string")
     passages = spark.createDataFrame([(1, 1, "a red fox"), (1, 2, "the red fox ran off"), (1, 3, "THE RED FOX RAN"), (2, 1, "x"), (4, 2, "blue red"), (4, 1, None)], "query_id long, ref int, text string")
     got = {(r["query_id"], r["i"]): (r["ref"], round(r["support"], 4)) for r in evaluation.aligned(answers, passages).collect()}
     assert got == {(1, 0): (2, 1.0), (1, 1): (None, 0.0), (1, 3): (None, 0.0), (3, 0): (None, 0.0), (4, 0): (2, 1.0), (4, 1): (2, 1.0)}
