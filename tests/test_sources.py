@@ -120,7 +120,7 @@ def test_prompts(spark):
     assert got[2]["s"] == dialogue.REWRITE_SYSTEM + "\nP\n\n" + dialogue.ASKED + "alone"
     assert "生成 4 个" in got[2]["m"] and got[2]["m"].endswith(dialogue.ASKED + "alone") and got[1]["h"].endswith("问题：what now {q}?")
     one = spark.range(1).select(dialogue.retry_prompt(F.lit("q1"), F.array(F.lit("a"), F.lit("b"))).alias("r"), dialogue.score_prompt(F.lit("q1"), F.array(F.lit("x" * 2000), F.lit("y"))).alias("s")).first()
-    assert one["r"].endswith("原始问题：q1\n已尝试的查询：a；b") and one["s"].endswith("[#0] " + "x" * 1200 + "\n\n[#1] y")
+    assert one["r"].endswith("原始问题：q1\n已尝试的查询：a / b") and one["s"].endswith("[#0] " + "x" * 1200 + "\n\n[#1] y")
 
 
 def test_rerank_responses_of_models(spark):
