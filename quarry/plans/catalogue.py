@@ -16,7 +16,7 @@ from quarry.operators import chunking, conversations, dialogue, evaluation, know
 from quarry.operators.retrieval import RetrieveConfig
 from quarry.sources import files
 from quarry.storage import materialise, scratch, table
-from quarry.streaming import indexing
+from quarry.streaming import deltas, indexing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -963,6 +963,22 @@ def answer_events(spark, sf):
     return dialogue.answer_events(_answers(spark, sf))
 
 
+@query("select item_id as run_id, ceil(length(text) / 12.0)::bigint as n_events, md5(text) as answer_md5 from benchmark where text <> ''")
+def delta_events(spark, sf):
+    """Questions as streamed answers, cut into pieces of some bytes that arrive as three files."""
+    base = scratch(spark, "deltas")
+    said = F.transform(F.regexp_extract_all("text", F.lit("[\\s\\S]{1,12}"), F.lit(0)), lambda p: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n: ping\n")))
+    raw = F.concat(F.array_join(said, ""), F.lit("data: [DONE]\n")).cast("binary")
+    runs_ = table(spark, sf, "benchmark").where("text <> ''").select(F.col("item_id").alias("run_id"), raw.alias("raw"))
+    cut = runs_.select("run_id", "raw", F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("raw") / 61).cast("int") - 1)).alias("seq"))
+    pieces = cut.select("run_id", F.col("seq").cast("long").alias("seq"), F.substring("raw", F.col("seq") * 61 + 1, F.lit(61)).alias("piece"))
+    pieces.repartition(3, F.pmod("seq", F.lit(3))).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    deltas.parse(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("run_id long, seq long, delta string").parquet(f"{base}/out").groupBy("run_id").agg(F.count("*").alias("n_events"), F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("l"))
+    return found.select("run_id", "n_events", F.md5(F.array_join(F.transform("l", lambda x: x["delta"]), "")).alias("answer_md5"))
+
+
 @query("select item_id as query_id, 0 as variant, text, 'none' as mode from benchmark")
 def rewrite_none(spark, sf):
     return dialogue.rewrite(questions(spark, sf))
