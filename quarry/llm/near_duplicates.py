@@ -12,9 +12,11 @@ Jaccard similarity of their n-gram sets is 0.8 or more.
 3. Texts that share a band hash are tied to the least of them, in a star, never as
    all pairs; components of these ties hold every candidate pair.
 4. Each component's sets meet in tasks of bounded size: a large one is dealt into
-   blocks, and every two blocks meet once. There a rarest-first prefix filter and a
-   length filter leave the pairs to verify on the full sets. Only counts and a
-   spanning tree of the links leave a task.
+   blocks, and every two blocks meet once. Where that sends more n-grams than meeting by band
+   hash does (a component of many texts of which few share a band), the sets of each band hash
+   meet instead, and two sets are compared where they first share one. There a rarest-first
+   prefix filter and a length filter leave the pairs to verify on the full sets. Only counts
+   and a spanning tree of the links leave a task.
 5. Components of the links are the classes.
 
 Result: one row per document. Null ids are compared like others and come last in
@@ -42,6 +44,8 @@ RECALL, ROWS = 0.9999, 4
 #: n-grams of the sets in one block; candidates (about 30 bytes each) that are broadcast to the texts at most.
 BLOCK = 1 << 17
 CANDIDATES = 2_000_000
+#: What names a meeting of two parts: their component, the band and its hash (-1 and 0: the whole component), the parts.
+MEETING = ["comp", "band", "h", "lo", "hi"]
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -121,10 +125,14 @@ class Block:
     def __init__(self) -> None:
         self.ids: list[int] = []
         self.side: list[int] = []
+        self.seen: list[list[int]] = []
         self.sets: list[np.ndarray] = []
 
     def links(self, threshold: float, own: bool) -> list[tuple[int, int, int]]:
-        """(id, links found here, root of its links) of each set that has a link; ``own``: one block by itself."""
+        """(id, links found here, root of its links) of each set that has a link; ``own``: one block by itself.
+
+        Two sets that have a hash of ``seen`` in common at the same place are compared elsewhere.
+        """
         size = np.array([len(s) for s in self.sets])
         flat = np.concatenate(self.sets)
         found, which, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -143,13 +151,15 @@ class Block:
             return x
 
         shared = count[np.argsort(rank)] > 1  # by rank
+        seen = np.array(self.seen, np.int64).reshape(len(size), -1)
         for x in order:
             r, n = ranks[x], int(size[x])
             prefix = r[: n - math.ceil(threshold * n) + 1]
             prefix = prefix[shared[prefix]].tolist()
             near = {y for t in prefix for y in posted.get(t, ()) if size[y] >= threshold * n and (own or self.side[x] != self.side[y])}
-            if near:
-                cand = np.array(sorted(near))
+            cand = np.array(sorted(near), np.int64)
+            cand = cand[~(seen[cand] == seen[x]).any(axis=1)]
+            if len(cand):
                 each = size[cand]
                 joined = np.concatenate([ranks[y] for y in cand])
                 at = np.minimum(np.searchsorted(r, joined), n - 1)
@@ -167,26 +177,27 @@ class Block:
 
 
 def verify(sets: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root from rows of comp, lo, hi, side, node, set that are together and in order of comp, lo, hi."""
+    """node, links, root from rows of MEETING, side, seen, node, set that are together and in order of MEETING."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, Block()
 
         def done() -> pa.RecordBatch:
-            out = block.links(threshold, key[1] == key[2]) if len(block.ids) > 1 else []
+            out = block.links(threshold, key[3] == key[4]) if len(block.ids) > 1 else []
             cols = list(zip(*out)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
 
         for b in batches:
-            for comp, lo, hi, side, node, raw in zip(*(b.column(c).to_pylist() for c in ("comp", "lo", "hi", "side", "node", "set"))):
-                if (comp, lo, hi) != key:
+            for *now, side, seen, node, raw in zip(*(b.column(c).to_pylist() for c in (*MEETING, "side", "seen", "node", "set"))):
+                if tuple(now) != key:
                     if key:
                         yield done()
-                    key, block = (comp, lo, hi), Block()
+                    key, block = tuple(now), Block()
                 if block.ids and block.ids[-1] == node:  # a repeated row
                     continue
                 block.ids.append(node)
                 block.side.append(side)
+                block.seen.append(seen)
                 block.sets.append(np.frombuffer(raw, np.uint64))
         if key:
             yield done()
@@ -194,8 +205,32 @@ def verify(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.mapInArrow(run, "node long, links long, root long")
 
 
+def routed(members: DataFrame, copies: DataFrame, block: int, total: int) -> DataFrame:
+    """node, comp, r of ``members`` with meets, the places (band, h, parts) where each set meets others, and bands.
+
+    A component of ``blocks`` blocks sends each of its sets to all of them, as one place of so many parts
+    (band -1), unless its band hashes, each dealt into blocks of its own, take fewer n-grams in all.
+    """
+    whole = members.select("node", "comp", "r", F.expr("array(struct(-1 as band, 0L as h, blocks as parts))").alias("meets"), F.expr("cast(array() as array<bigint>)").alias("bands"))
+    many = members.where("blocks > 1").join(copies.select("node", "bands"), "node")
+    spread = many.select("node", "comp", "n", F.posexplode("bands").alias("band", "h"))
+    places = spread.groupBy("comp", "band", "h").agg(F.sum("n").alias("w"), F.count("*").alias("m")).where("m > 1")
+    places = materialise(places.withColumn("parts", F.ceil(F.col("w") / block).cast("int")), "places")
+    cost = places.groupBy("comp").agg(F.sum(F.col("w") * F.col("parts")).alias("cost"))
+    chosen = many.groupBy("comp").agg(F.sum(F.col("n") * F.col("blocks")).alias("all"), F.count("*").alias("m")).join(cost, "comp").where("cost < all")
+    chosen = materialise(chosen.select("comp", "m"), "chosen")
+    if chosen.isEmpty():
+        return whole
+    theirs = materialise(join_unique(many, chosen, ["comp"], total).select("node", "comp", "r", "bands"), "theirs")
+    at = theirs.select("node", "comp", F.posexplode("bands").alias("band", "h"))
+    met = join_unique(at, places.drop("w"), ["comp", "band", "h"], total)
+    meets = met.groupBy("node").agg(F.collect_list(F.struct("band", "h", "parts")).alias("meets"))  # one a band at most
+    return whole.join(theirs, "node", "left_anti").unionByName(theirs.join(meets, "node"))
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """node, comp, blocks, set (ascending hashes) of rows of node, comp, blocks, text."""
+    """node, comp, meets, bands, set (ascending hashes) of rows of node, comp, meets, bands, text."""
+    columns = ["node", "comp", "meets", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -205,9 +240,18 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             stop = (8 * np.cumsum(size)).tolist()
             raw = h.tobytes()
             made = [raw[lo:hi] for lo, hi in zip([0, *stop], stop)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "blocks")), pa.array(made, pa.binary())], ["node", "comp", "blocks", "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(made, pa.binary())], [*columns, "set"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, "text").mapInArrow(run, f"{kinds}, set binary")
+
 
-    return docs.select("node", "comp", "blocks", "text").mapInArrow(run, "node long, comp long, blocks int, set binary")
+def dealt(sets: DataFrame) -> DataFrame:
+    """A row of MEETING, side, seen, node, set for each meeting of parts that a set takes part in."""
+    placed = sets.select("node", "comp", "bands", "set", F.inline("meets"))
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    seen = F.slice("bands", 1, F.greatest(F.col("band"), F.lit(0))).alias("seen")
+    return placed.select("comp", "band", "h", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", seen, "node", "set")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -225,12 +269,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
     members = components(ties).select("node", F.col("label").alias("comp"))
     sized = members.join(copies.select("node", "n", "own.r"), "node")
     blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("m"))
-    members = materialise(join_unique(sized, blocks, ["comp"], total).select("node", "comp", "blocks", "r"), "members")
+    members = materialise(join_unique(sized, blocks, ["comp"], total).select("node", "comp", "blocks", "n", "r"), "members")
+    members = routed(members, copies, block, total)
     # texts stay where they are while the candidates are few enough; beyond, both sides are shuffled by row
     sets = sets_of(docs.select("r", "text").join(F.broadcast(members) if members.count() <= CANDIDATES else members, "r"), n)
-    dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "set")
-    together = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node")
+    together = dealt(sets).repartition(*MEETING).sortWithinPartitions(*MEETING, "node")
     links = materialise(verify(together, threshold), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(copies.select("node", "own"), "node")
     firsts = labels.groupBy("label").agg(F.min("own").alias("whole"), F.count("*").alias("m"))
