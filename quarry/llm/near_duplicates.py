@@ -133,16 +133,27 @@ class Block:
 
         Two sets that have a hash of ``seen`` in common at the same place are compared elsewhere.
         """
-        size = np.array([len(s) for s in self.sets])
-        flat = np.concatenate(self.sets)
-        found, which, count = np.unique(flat, return_inverse=True, return_counts=True)
+        order = sorted(range(len(self.sets)), key=lambda i: (len(self.sets[i]), self.ids[i]))
+        size = np.array([len(self.sets[i]) for i in order])
+        side = np.array(self.side)[order]
+        seen = np.array(self.seen, np.int64).reshape(len(size), -1)[order]
+        found, which, count = np.unique(np.concatenate([self.sets[i] for i in order]), return_inverse=True, return_counts=True)
         rank = np.empty(len(found), np.int64)
         rank[np.lexsort((found, count))] = np.arange(len(found))
-        ranks = np.split(rank[which], np.cumsum(size)[:-1])
-        ranks = [np.sort(r) for r in ranks]
-        order = np.lexsort((np.array(self.ids), size)).tolist()
-        posted: dict[int, list[int]] = {}
-        parent, links = list(range(len(size))), np.zeros(len(size), np.int64)
+        begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        flat = rank[which]
+        flat = flat[np.lexsort((flat, owner))]  # each set by rank, small sets first
+        # the sets of each n-gram that lie before a set in this order are a stretch of ``posted``
+        prefix = np.arange(len(flat)) - begin[owner] <= (size - np.ceil(threshold * size - 1e-9).astype(np.int64))[owner]
+        prefix &= count[np.argsort(rank)][flat] > 1
+        entry = np.flatnonzero(prefix)
+        by_gram = entry[np.argsort(flat[entry], kind="stable")]
+        posted, gram = owner[by_gram], flat[by_gram]
+        place = np.zeros(len(flat), np.int64)
+        place[by_gram] = np.arange(len(by_gram))
+        first = np.searchsorted(gram, np.arange(len(found)))
+        edge = np.searchsorted(entry, np.append(begin, len(flat)))
+        links, parent = np.zeros(len(size), np.int64), list(range(len(size)))
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -150,30 +161,33 @@ class Block:
                 x = parent[x]
             return x
 
-        shared = count[np.argsort(rank)] > 1  # by rank
-        seen = np.array(self.seen, np.int64).reshape(len(size), -1)
-        for x in order:
-            r, n = ranks[x], int(size[x])
-            prefix = r[: n - math.ceil(threshold * n) + 1]
-            prefix = prefix[shared[prefix]].tolist()
-            near = {y for t in prefix for y in posted.get(t, ()) if size[y] >= threshold * n and (own or self.side[x] != self.side[y])}
-            cand = np.array(sorted(near), np.int64)
+        mark, near = np.zeros(len(found), bool), np.zeros(len(size), bool)
+        for x in range(1, len(size)):
+            own_entries = entry[edge[x] : edge[x + 1]]
+            for lo, hi in zip(first[flat[own_entries]].tolist(), place[own_entries].tolist()):
+                near[posted[lo:hi]] = True
+            cand = np.flatnonzero(near[:x])
+            near[:x] = False
+            cand = cand[(size[cand] >= threshold * size[x] - 1e-9) & (own | (side[cand] != side[x]))]
             cand = cand[~(seen[cand] == seen[x]).any(axis=1)]
-            if len(cand):
-                each = size[cand]
-                joined = np.concatenate([ranks[y] for y in cand])
-                at = np.minimum(np.searchsorted(r, joined), n - 1)
-                both = np.add.reduceat((r[at] == joined).astype(np.int64), np.cumsum(each) - each)
-                good = cand[both >= threshold * (each + n - both) - 1e-9]
-                links[x] += len(good)
-                links[good] += 1
-                for y in good.tolist():
-                    a, b = root(x), root(y)
-                    if a != b:
-                        parent[max(a, b, key=lambda i: self.ids[i])] = min(a, b, key=lambda i: self.ids[i])
-            for t in prefix:
-                posted.setdefault(t, []).append(x)
-        return [(self.ids[i], int(links[i]), self.ids[root(i)]) for i in np.flatnonzero(links)]
+            if not len(cand):
+                continue
+            mine = flat[begin[x] : begin[x] + size[x]]
+            mark[mine] = True
+            lo, each = int(cand[0]), size[cand]
+            if 4 * each.sum() > begin[x] - begin[lo]:  # one pass over all sets from the first candidate on
+                both = np.add.reduceat(mark[flat[begin[lo] : begin[x]]].astype(np.int64), begin[lo:x] - begin[lo])[cand - lo]
+            else:
+                both = np.add.reduceat(mark[np.concatenate([flat[begin[y] : begin[y] + size[y]] for y in cand])].astype(np.int64), np.cumsum(each) - each)
+            mark[mine] = False
+            good = cand[both >= threshold * (each + size[x] - both) - 1e-9]
+            links[x] += len(good)
+            links[good] += 1
+            for y in good.tolist():
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b, key=lambda i: self.ids[order[i]])] = min(a, b, key=lambda i: self.ids[order[i]])
+        return [(self.ids[order[i]], int(links[i]), self.ids[order[root(i)]]) for i in np.flatnonzero(links).tolist()]
 
 
 def verify(sets: DataFrame, threshold: float) -> DataFrame:
