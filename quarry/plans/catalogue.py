@@ -1049,6 +1049,10 @@ def _sql_file_chunks(some: str = "") -> str:
  select doc_id as part, count(*)::bigint as n_chunks, sum(n)::bigint as tokens, 64::bigint as dim from t group by doc_id"""
 
 
+#: All files of the two queries below are indexed: the SQL knows no limit. Bytes that one row can hold.
+ANY_SIZE = (1 << 31) - 1
+
+
 def _write_files(docs: DataFrame, path: str, mode: str) -> None:
     part = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.coalesce("lang", F.lit("none"))).alias("part")
     listed = docs.where("text is not null").select("doc_id", "text", part).repartition("part").sortWithinPartitions("part", "doc_id")
@@ -1066,8 +1070,8 @@ def incremental_index(spark, sf):
     """Documents written as files and indexed by the streaming job."""
     base = scratch(spark, "incremental")
     _write_files(table(spark, sf, "documents"), f"{base}/in", "overwrite")
-    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(markdown=False), 64).awaitTermination()
-    return _by_file(spark.read.parquet(f"{base}/out"), files.ingest(spark, f"{base}/in").select("doc_id", F.col("file_path").alias("path")))
+    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(markdown=False), 64, max_bytes=ANY_SIZE).awaitTermination()
+    return _by_file(spark.read.parquet(f"{base}/out"), files.ingest(spark, f"{base}/in", ANY_SIZE).select("doc_id", F.col("file_path").alias("path")))
 
 
 @query(_sql_file_chunks("and lang is distinct from 'en'"))
@@ -1075,7 +1079,7 @@ def folder_sync(spark, sf):
     """A folder that is indexed, of which files are then replaced by others and deleted: what is left is the last state."""
     base, docs, cfg = scratch(spark, "folder"), table(spark, sf, "documents"), chunking.ChunkConfig(markdown=False)
     _write_files(docs.withColumn("text", F.substring("text", 1, 200)), f"{base}/in", "overwrite")
-    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64)
+    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64, max_bytes=ANY_SIZE)
     _write_files(docs.where("lang is distinct from 'en'"), f"{base}/in", "overwrite")
-    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64)
+    indexing.sync_folder(spark, f"{base}/in", f"{base}/out", cfg, 64, max_bytes=ANY_SIZE)
     return _by_file(indexing.indexed_chunks(spark, f"{base}/out"), indexing.manifest(spark, f"{base}/out"))

@@ -35,20 +35,19 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 def chunks_of(docs: DataFrame, cfg: chunking.ChunkConfig, dim: int = models.DIM) -> DataFrame:
     """chunk_id, doc_id, idx, text, tokens, vector of documents (doc_id, text)."""
     made = chunking.chunk(docs, cfg).withColumn("chunk_id", F.sha2(F.to_json(F.struct("doc_id", "idx", "text")), 256))
-    made = materialise(made, "chunks")
-    return made.join(models.embed(made, "chunk_id", dim), "chunk_id", "left").select("chunk_id", "doc_id", "idx", "text", "tokens", "vector")
+    return models.with_vectors(made, dim).select("chunk_id", "doc_id", "idx", "text", "tokens", "vector")
 
 
 def index_folder(
     spark: SparkSession, source: str, target: str, checkpoint: str, cfg: chunking.ChunkConfig = chunking.ChunkConfig(), dim: int = models.DIM,
-    files_per_batch: int = 1000, pdf_reader: Callable[[bytes], str] | None = None,
+    files_per_batch: int = 1000, pdf_reader: Callable[[bytes], str] | None = None, max_bytes: int = files.MAX_BYTES,
 ) -> StreamingQuery:
     """Index the files of ``source`` that are new since the last run, then stop.
 
     ``target`` and ``checkpoint`` lie in folders that driver and executors share.
     """
     stream = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(source)
-    small = stream.where(F.col("length") <= files.MAX_BYTES)
+    small = stream.where(F.col("length") <= max_bytes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         docs = files.describe(files.parse(batch, pdf_reader)).select("doc_id", "text")
@@ -88,7 +87,7 @@ def _literal(path: str) -> str:
 
 def sync_folder(
     spark: SparkSession, source: str, target: str, cfg: chunking.ChunkConfig = chunking.ChunkConfig(), dim: int = models.DIM,
-    files_per_read: int = 10_000, pdf_reader: Callable[[bytes], str] | None = None,
+    files_per_read: int = 10_000, pdf_reader: Callable[[bytes], str] | None = None, max_bytes: int = files.MAX_BYTES,
 ) -> int | None:
     """Bring ``target`` to the state of the files below ``source``; the number of the run, None where nothing differs.
 
@@ -98,7 +97,7 @@ def sync_folder(
     done = runs.committed(spark, target)
     run = done[-1] + 1 if done else 0
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    there = scan.load(source).select("path", F.col("modificationTime").alias("modified"), "length").where((F.col("length") <= files.MAX_BYTES) & supported(F.col("path")))
+    there = scan.load(source).select("path", F.col("modificationTime").alias("modified"), "length").where((F.col("length") <= max_bytes) & supported(F.col("path")))
     there, known = materialise(there, "listing"), materialise(manifest(spark, target), "manifest")
     before = known.select("path", F.col("modified").alias("m0"), F.col("length").alias("l0"), F.col("hash").alias("h0"), F.col("chunk_run").alias("r0"))
     differs = F.col("m0").isNull() | (F.col("m0") != F.col("modified")) | (F.col("l0") != F.col("length"))

@@ -145,3 +145,50 @@ def test_windows_of_odd_units():
         for size, overlap in ((4, 0), (4, 0.5), (6, 30), (1, 1), (2.5, 0.2), (0.25, 3)):
             assert [text[a:b] for a, b, _ in windows.spans(text, size, overlap)] == plain.slide(text, size, overlap)
             assert all(k == plain.tokens(text[a:b]) for a, b, k in windows.spans(text, size, overlap))
+
+
+def test_vectors_are_made_where_the_rows_are(spark):
+    """They equal the model's components, need no exchange, and stand by rows of one key as well."""
+    import numpy as np
+
+    from quarry.operators import models
+
+    texts = ["alpha beta gamma.", None, "", "人工智能 学习 K", "x" * 70 + " alpha alpha", "... !", "a-b_c a-b_c İ", "one two " * 500] + [f"w{k} w{k * k}" for k in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    want = {k: np.zeros(64) for k in range(len(texts))}
+    for r in models.components(frame, "key", 64).collect():
+        want[r["key"]][r["idx"]] = r["value"]
+    made = models.with_vectors(frame, 64)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for chars in (1, 1 << 17):
+        old, models.SENTENCE_CHARS = models.SENTENCE_CHARS, chars
+        got = {r["key"]: r["vector"] for r in made.collect()}
+        models.SENTENCE_CHARS = old
+        assert all(got[k] == v.tolist() for k, v in want.items())
+    twice = models.with_vectors(frame.limit(1).union(frame.where("key = 3").withColumn("key", F.lit(0).cast("long"))), 64).collect()
+    assert [r["vector"] for r in twice] == [want[0].tolist(), want[3].tolist()]
+
+
+def test_windows_of_long_texts_in_stretches(monkeypatch):
+    """A text that is worked on in stretches has the windows of the whole one, and its time grows with its length."""
+    from quarry.operators import windows
+
+    r = random.Random(9)
+    for _ in range(60):
+        text = "".join(r.choice(PIECES + ["1.2.3.4", "12.", "x" * 90, " 　\n"]) for _ in range(120))
+        for size, overlap in ((4, 0), (6, 30), (2.5, 0.2), (9, 3)):
+            want = windows.spans(text, size, overlap)
+            for part in (16, 100, 333):
+                with monkeypatch.context() as m:
+                    m.setattr(windows, "PART", part)
+                    assert windows.spans(text, size, overlap) == want
+
+
+def test_files_above_the_limit_are_indexed_where_all_are_asked_for(spark, tmp_path, monkeypatch):
+    from quarry.streaming import indexing
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("word " * 100)
+    for limit, n in ((400, 0), (1000, 1)):
+        indexing.sync_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out{limit}", ChunkConfig(markdown=False), 16, max_bytes=limit)
+        assert indexing.indexed_chunks(spark, f"file://{tmp_path}/out{limit}").count() == n
