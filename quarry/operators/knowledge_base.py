@@ -126,8 +126,7 @@ def add_chunks(chunks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFram
 def build(docs: DataFrame, chunks: DataFrame, cfg: chunking.ChunkConfig, dim: int = models.DIM) -> DataFrame:
     """``chunks`` (chunk_id, chunk_pos, doc_id, idx, text, tokens, vector) with those of ``docs`` (doc_id, text) cut, embedded and put in place of the ones they had."""
     made = preview(docs, cfg).withColumn("chunk_id", F.sha2(F.to_json(F.struct("doc_id", "idx", "text")), 256).cast(chunks.schema["chunk_id"].dataType))
-    made = materialise(made, "chunks")
-    whole = made.join(models.embed(made, "chunk_id", dim), "chunk_id", "left").withColumn("vector", F.col("vector").cast(chunks.schema["vector"].dataType))
+    whole = materialise(models.with_vectors(made, dim).withColumn("vector", F.col("vector").cast(chunks.schema["vector"].dataType)), "chunks")
     return replace_chunks(chunks, whole.withColumn("chunk_pos", F.monotonically_increasing_id()).select(chunks.columns))
 
 
@@ -138,7 +137,7 @@ def preview(docs: DataFrame, cfg: chunking.ChunkConfig, most: int | None = None)
 
 
 def index_pending(chunks: DataFrame, dim: int = models.DIM) -> DataFrame:
-    """``chunks`` with offline vectors for those that have none."""
+    """``chunks`` with offline vectors for those that have none, each worked out from its own row's text."""
     kind = chunks.schema["vector"].dataType
-    made = models.embed(pending(chunks).select("chunk_id", "text"), "chunk_id", dim)
-    return set_vectors(chunks, made.select("chunk_id", F.col("vector").cast(kind).alias("new_vector")))
+    made = models.with_vectors(pending(chunks).drop("vector"), dim).withColumn("vector", F.col("vector").cast(kind))
+    return chunks.where("vector is not null").unionByName(made.select(chunks.columns))
