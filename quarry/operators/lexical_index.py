@@ -141,3 +141,11 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, k1: float = retriev
     found = materialise(postings(spark, path, materialise(asked.select("term").distinct(), "asked-terms")), "postings")
     n, avgdl = stats(spark, path).first()
     return retrieval.weighed(found, asked, n, avgdl, k1, b)
+
+
+def bm25_first(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
+    """query_id, chunk_pos, bm25, rank: the first ``k`` chunks of the index for every query (query_id, text)."""
+    asked = materialise(retrieval.asked_terms(queries), "asked")
+    found = materialise(postings(spark, path, materialise(asked.select("term").distinct(), "asked-terms")), "postings")
+    n, avgdl = stats(spark, path).first()
+    return retrieval.first_by_terms(retrieval.lexical(found, asked, n, avgdl, k1, b), k)
