@@ -108,15 +108,19 @@ def normalize(c: Column) -> Column:
 
 def csv_lines(c: Column) -> Column:
     """Rows as ``header: value | ...``; commas split plainly, one quote is taken off either end of a cell."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731 - a value that is worked out once, not once a line
     lines = F.filter(F.split(c, "\\r?\\n"), lambda x: trim(x) != "")
-    rows = F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda v: trim(F.regexp_replace(v, '^"|"$', ""))))
-    head = F.get(rows, F.lit(0))
+    cells = lambda x: F.transform(F.split(x, ","), lambda v: trim(F.regexp_replace(v, '^"|"$', "")))
 
-    def line(row: Column) -> Column:
+    def line(head: Column, row: Column) -> Column:
         named = F.zip_with(head, row, lambda h, v: F.concat(h, F.lit(": "), v))
         return F.array_join(F.when(F.size(head) == F.size(row), named).otherwise(row), " | ")
 
-    return F.coalesce(F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), line), "\n"), F.lit(""))
+    def body(ls: Column) -> Column:
+        rest = F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1)))
+        return let(cells(F.get(ls, F.lit(0))), lambda head: F.array_join(F.transform(rest, lambda x: let(cells(x), lambda row: line(head, row))), "\n"))
+
+    return F.coalesce(let(lines, body), F.lit(""))
 
 
 def extension(path: Column) -> Column:

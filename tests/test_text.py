@@ -40,3 +40,16 @@ def test_overlap_sizes():
     assert chunking.ChunkConfig(size=512).overlap == 77
     assert chunking.ChunkConfig(overlap_enabled=False).overlap == 0
     assert chunking.ChunkConfig(overlap_mode="absolute", overlap_value=30).overlap == 30
+
+
+def test_csv_of_many_lines_takes_time_by_line(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text as T
+
+    text = "a,b\n" + "\n".join(f'"{k}", x{k % 9}' for k in range(8000))
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(T.csv_lines(F.col("t")).alias("o")).first()["o"].split("\n")
+    assert time.time() - began < 20 and len(got) == 8000 and got[10] == "a: 10 | b: x1"
