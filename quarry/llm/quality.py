@@ -35,9 +35,11 @@ WINDOW = 8
 BLOCKS, MASS = 8, 2200
 #: Parts of a block's counters that are counted by themselves, so that a task's sort stays small.
 PARTS = 3
-#: Occurrences that each counter starts with, in the corpus's share of trusted ones; parts that ratios are rounded to; labelled rows used at most.
+#: Occurrences that each counter starts with, in the corpus's share of trusted ones; parts that ratios are rounded to; ids of trusted rows that are broadcast at most.
 PRIOR, UNIT = 4.0, 1 << 10
-TRUSTED_ROWS = 30_000
+BROADCAST_ROWS = 2_000_000
+#: Scores are multiples of 1 / PLACES.
+PLACES = 1_000_000_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -122,24 +124,60 @@ def _sums(docs: DataFrame, blocks: int, share: float) -> DataFrame:
     return both.groupBy(F.col("key").bitwiseAND(F.lit(-2)).alias("__even")).agg(F.sum("ratio").alias("sum"))
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, trusted (label 1 or 0) of every labelled id."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("trusted"))
+
+
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` rows of doc_id, trusted (label 1 or 0), dealt by a hash of the id: the same ones in every run."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("trusted"))
+    known = _labelled(labels)
     every = max(1, known.count() // rows)
     h = F.xxhash64("doc_id")
     return known.where(F.pmod(h, F.lit(every)) == 0).orderBy(h, "doc_id").limit(rows)  # of fewer than about 2 * rows
 
 
-def score(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> tuple[DataFrame, float]:
+def _percentiles(rows: DataFrame, shares: list[float]) -> dict[tuple[int, bool], list[float]]:
+    """Exact percentiles of ``v`` by trusted and calibrates, between neighbours by distance: ten bits a round, from counts alone."""
+    wanted: dict[tuple, list[int]] = {}
+    for shift in (20, 10, 0):
+        above = sorted({cell for cell, _ in wanted.values()})
+        some = rows if shift == 20 else rows.where(F.shiftright("v", shift + 10).isin(above))
+        counts: dict[tuple, list] = {}
+        for r in some.groupBy("trusted", "calibrates", F.shiftright("v", shift).alias("cell")).count().collect():
+            counts.setdefault((r["trusted"], r["calibrates"]), []).append((r["cell"], r["count"]))
+        if shift == 20:
+            sizes = {g: sum(n for _, n in c) for g, c in counts.items()}
+            wanted = {(g, k): [None, k] for g, n in sizes.items() for p in shares for k in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}}
+        for (g, _), found in wanted.items():
+            before, left = found
+            for cell, n in sorted(c for c in counts[g] if before is None or c[0] >> 10 == before):
+                if left < n:
+                    found[:] = [cell, left]
+                    break
+                left -= n
+    at = lambda g, x: wanted[g, x][0] / PLACES
+
+    def one(g: tuple, place: float) -> float:
+        lo, hi = math.floor(place), math.ceil(place)
+        return at(g, lo) if lo == hi else (hi - place) * at(g, lo) + (place - lo) * at(g, hi)
+
+    return {g: [one(g, p * (n - 1)) for p in shares] for g, n in sizes.items()}
+
+
+def score(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None) -> tuple[DataFrame, float]:
     """doc_id, KEY, the BASE columns and ``score`` of every document; and the threshold.
 
-    ``labels``: doc_id, quality; texts of quality 1 are trusted. At most ``trusted_rows``
-    of them are used, so the table of their ids is small enough to broadcast; one in five
-    calibrates the threshold and isn't counted as trusted. The raw counts are over all documents.
+    ``labels``: doc_id, quality; texts of quality 1 are trusted, all of them unless ``trusted_rows`` bounds the
+    labelled rows; one in five calibrates the threshold and isn't counted as trusted. The raw counts are over all
+    documents. Up to BROADCAST_ROWS trusted ids are broadcast to the texts, beyond that both are shuffled by id.
     """
-    sample = F.broadcast(_sample(labels, trusted_rows).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0))
+    own = _labelled(labels) if trusted_rows is None else _sample(labels, trusted_rows)
+    known = materialise(own.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0), "labelled")
+    counted = known.where("trusted = 1 and not calibrates").select("doc_id", F.lit(1).alias("t"))
+    counted = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted.hint("merge")
     slim = keyed(docs.select("doc_id", "text"))
-    marked = slim.join(sample, "doc_id", "left").withColumn("t", F.coalesce((F.col("trusted") == 1) & ~F.col("calibrates"), F.lit(False)).cast("int"))
+    marked = slim.join(counted, "doc_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
     chars = marked.agg(F.sum(F.length("text")).alias("all"), F.sum(F.length("text") * F.col("t")).alias("trusted")).first()
     mass, trusted = chars["all"] or 0, chars["trusted"] or 0
     blocks = max(BLOCKS, int(math.sqrt(mass) / MASS))
@@ -151,9 +189,8 @@ def score(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS)
     means = sums.join(words.hint("merge"), "__even").select("__even", F.round(F.col("sum") / (2 * F.col("words") * UNIT), 9).alias("score"))
     scored = measures.join(means.hint("merge"), even == F.col("__even"), "left").drop("__even")
 
-    learned = scored.select("doc_id", "score").join(sample, "doc_id").where("score is not null")
-    cut = learned.groupBy("trusted", "calibrates").agg(F.percentile("score", [0.005, 0.5]).alias("q")).collect()
-    q = {(r["trusted"], r["calibrates"]): r["q"] for r in cut if r["q"]}
+    learned = scored.where("score is not null").select("doc_id", F.round(F.col("score") * PLACES).cast("long").alias("v")).join(known, "doc_id")
+    q = _percentiles(materialise(learned.select("trusted", "calibrates", "v"), "learned"), [0.005, 0.5])
     good, bad = (q.get((k, True), q.get((k, False))) for k in (1, 0))  # rows that were counted only where there are no others
     if not trusted or not good:
         threshold = float("-inf")
@@ -162,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS)
     return scored, threshold
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None) -> DataFrame:
     """doc_id, KEY, BASE columns, score, base_failed, kept of every document."""
     scored, threshold = score(docs, labels, trusted_rows)
     judged = scored.withColumn("base_failed", base_failed())
