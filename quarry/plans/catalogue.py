@@ -40,6 +40,11 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(vectors, "chunk_pos", "left")
 
 
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus without vectors, for what reads texts alone: no join."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), "text", F.col("source").alias("doc_name"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
@@ -191,8 +196,12 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", "chunk_pos", "rank", r("semantic"), r("bm25"), r("fused_norm"))
 
 
+def _found(spark, sf, **options) -> DataFrame:
+    return retrieval.retrieve(corpus(spark, sf), questions(spark, sf), RetrieveConfig(**options), passages(spark, sf))
+
+
 def _mode(spark, sf, **options) -> DataFrame:
-    return _shown(retrieval.retrieve(corpus(spark, sf), questions(spark, sf), RetrieveConfig(**options)))
+    return _shown(_found(spark, sf, **options))
 
 
 @query(f"with {SQL_D}, e as (select unnest(list_distinct(t)) as term from d) select term, count(*)::bigint as df from e group by term")
@@ -209,7 +218,7 @@ def corpus_stats(spark, sf):
 @query(f"""with {SQL_LEX} select query_id, chunk_pos, rank::int as rank, round(score, 6) as score from (
  select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_pos) as rank from raw) where rank <= 10""")
 def bm25_topk(spark, sf):
-    s = retrieval.bm25_first(corpus(spark, sf), questions(spark, sf), 10)
+    s = retrieval.bm25_first(passages(spark, sf), questions(spark, sf), 10)
     return s.select("query_id", "chunk_pos", "rank", F.round("bm25", 6).alias("score"))
 
 
@@ -249,7 +258,7 @@ def indexed_frequencies(spark, sf):
 
 @query(f"with {SQL_LEX} select query_id, count(*)::bigint as n, round(max(bm25), 6) as top, round(sum(bm25), 4) as total from lex group by query_id")
 def bm25_norm(spark, sf):
-    s = retrieval.normalised(retrieval.bm25(corpus(spark, sf), questions(spark, sf)))
+    s = retrieval.normalised(retrieval.bm25(passages(spark, sf), questions(spark, sf)))
     return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("bm25"), 6).alias("top"), F.round(F.sum("bm25"), 4).alias("total"))
 
 
@@ -303,13 +312,12 @@ def mode_bm25(spark, sf):
  e as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, chunk_pos) as place from c where v = 1)
  select query_id, chunk_pos, variant, place::int as place, round(fused, 6) as fused from e where place <= 30""")
 def multi_query_merge(spark, sf):
-    d, q = corpus(spark, sf), questions(spark, sf)
-    parts = [retrieval.retrieve(d, q, RetrieveConfig(mode=m)).select("query_id", F.lit(k).alias("variant"), "chunk_pos", "fused") for k, m in enumerate(("semantic", "bm25"))]
+    parts = [_found(spark, sf, mode=m).select("query_id", F.lit(k).alias("variant"), "chunk_pos", "fused") for k, m in enumerate(("semantic", "bm25"))]
     return retrieval.merge_variants(parts[0].union(parts[1])).select("query_id", "chunk_pos", "variant", "place", F.round("fused", 6).alias("fused"))
 
 
 def _refs(spark, sf) -> DataFrame:
-    return retrieval.context(retrieval.retrieve(corpus(spark, sf), questions(spark, sf)), 0.35)
+    return retrieval.context(_found(spark, sf), 0.35)
 
 
 SQL_REFS = f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, {SQL_RRF},
@@ -326,7 +334,7 @@ def threshold_context(spark, sf):
 @query(SQL_REFS + """ select query_id, md5(string_agg('[' || ref || '] 来源：' || source || chr(10) || text, chr(10) || chr(10) order by ref)) as block_md5
  from refs join documents on doc_id = chunk_pos where ref <= 8 group by query_id""")
 def context_block(spark, sf):
-    return retrieval.context_block(_refs(spark, sf), corpus(spark, sf)).select("query_id", F.md5("block").alias("block_md5"))
+    return retrieval.context_block(_refs(spark, sf), passages(spark, sf)).select("query_id", F.md5("block").alias("block_md5"))
 
 
 SQL_FIN = SQL_REFS.split(",\n refs as")[0]
@@ -334,14 +342,13 @@ SQL_FIN = SQL_REFS.split(",\n refs as")[0]
 
 @query(SQL_FIN + """ select query_id, chunk_pos, round(f, 4) as best from (select *, max(round(f, 9)) over (partition by query_id) as top from fin) where rank = 1 and top < 0.9""")
 def best_rejected(spark, sf):
-    found = retrieval.retrieve(corpus(spark, sf), questions(spark, sf))
+    found = _found(spark, sf)
     return retrieval.best_rejected(found, 0.9).select("query_id", "chunk_pos", F.round("best", 4).alias("best"))
 
 
 @query(SQL_FIN + """ select query_id, chunk_pos, rank::int as rank, round(f, 4) as score, source as doc_name, md5(substring(text, 1, 200)) as preview_md5 from fin join documents on doc_id = chunk_pos""")
 def search_view(spark, sf):
-    d = corpus(spark, sf)
-    shown = retrieval.projected(retrieval.retrieve(d, questions(spark, sf)), d)
+    shown = retrieval.projected(_found(spark, sf), passages(spark, sf))
     return shown.select("query_id", "chunk_pos", "rank", F.col("fused_norm").alias("score"), "doc_name", F.md5("preview").alias("preview_md5"))
 
 
@@ -350,7 +357,7 @@ def search_view(spark, sf):
   len(list_intersect(y.terms, b.k[1].terms)) / len(list_distinct(list_concat(y.terms, b.k[1].terms))) >= 0.3)) > 0 then a else {{'k': list_concat(a.k, b.k)}} end) as f from t group by query_id)
  select query_id, x.ref::int as ref, x.pos as chunk_pos from (select query_id, unnest(f.k) as x from folded)""")
 def context_dedupe(spark, sf):
-    return retrieval.without_repeats(_refs(spark, sf), corpus(spark, sf), 0.3)
+    return retrieval.without_repeats(_refs(spark, sf), passages(spark, sf), 0.3)
 
 
 @query(f"""with t as (select item_id as query_id, list_distinct(regexp_extract_all(lower(d.text), {WORD})) as a, list_distinct(regexp_extract_all(lower(b.text), {WORD})) as e from benchmark b join documents d on d.doc_id = b.item_id),
@@ -366,7 +373,7 @@ def eval_jaccard(spark, sf):
 @query(f"""with {SQL_LEX}, {SQL_SEM}, {SQL_BOTH}, best as (select query_id, max(semantic) as best from both_ group by query_id)
  select query_id, best >= 0.95 as answered, round(best, 4) + 0.0 as best from best""")
 def no_answer(spark, sf):
-    best = retrieval.retrieve(corpus(spark, sf), questions(spark, sf), RetrieveConfig(mode="semantic")).groupBy("query_id").agg(F.max("semantic").alias("best"))
+    best = _found(spark, sf, mode="semantic").groupBy("query_id").agg(F.max("semantic").alias("best"))
     return best.select("query_id", (F.col("best") >= 0.95).alias("answered"), (F.round("best", 4) + F.lit(0.0)).alias("best"))
 
 
@@ -406,7 +413,7 @@ def _variants(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Two queries that a model makes of each question, searched together; they have no vectors, so by terms alone."""
     asked = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
     made = dialogue.rewrite(asked, _first_words, "multi").withColumn("vector", F.lit(None).cast("array<float>"))
-    return retrieval.search_variants(corpus(spark, sf), made)
+    return retrieval.search_variants(corpus(spark, sf), made, texts=passages(spark, sf))
 
 
 @query(f"""{SQL_VARIANT_FIRST}, c as (select *, row_number() over (partition by item_id, chunk_pos order by round(fused, 9) desc, variant) as v1 from b where r <= 30),
@@ -431,8 +438,7 @@ def _overlap_service(spark, sf, most: int, of_both: bool):
     def run(candidates: DataFrame) -> DataFrame:
         terms = lambda c: F.array_distinct(T.index_terms(F.col(c)))
         asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms("text").alias("q"))
-        texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_pos"), terms("text").alias("t"))
-        both = candidates.join(asked, "query_id").join(texts, "chunk_pos")
+        both = retrieval.looked_up(candidates, passages(spark, sf).select("chunk_pos", "text")).withColumn("t", terms("text")).drop("text").join(asked, "query_id")
         whole = F.size(F.array_union("q", "t")) if of_both else F.size("q")
         fails = F.size("q") > most
         return both.select("query_id", (F.col("rank") - 1).alias("index"), F.when(~fails, F.size(F.array_intersect("q", "t")) / whole).alias("score"), F.when(fails, F.format_string(f"more than {most} terms")).alias("error"))
@@ -448,7 +454,7 @@ def _overlap_service(spark, sf, most: int, of_both: bool):
  select query_id, chunk_pos, round(rerank, 6) as rerank, place::int as place, m as rerank_mode,
   case m when 'llm' then '{dialogue.STOOD_IN}more than {LONG_QUESTION} terms' when 'none' then 'more than {LONG_QUESTION} terms | more than {LONGER_QUESTION} terms' end as degraded from p where place <= 5 or m = 'none'""")
 def rerank_degraded(spark, sf):
-    found = retrieval.bm25_first(corpus(spark, sf), questions(spark, sf), 10)
+    found = retrieval.bm25_first(passages(spark, sf), questions(spark, sf), 10)
     candidates = materialise(found.select("query_id", "chunk_pos", "rank"), "candidates")
     api, llm = _overlap_service(spark, sf, LONG_QUESTION, True), _overlap_service(spark, sf, LONGER_QUESTION, False)
     shown = dialogue.rerank_with_fallback(candidates, api, llm, 5)
@@ -479,7 +485,7 @@ FOUND = 2.5
  select item_id as query_id, chunk_pos, i::int as iteration, md5(text) as query_md5 from hit join first using (item_id, i)""")
 def retry_search(spark, sf):
     """Questions that no passage answers well enough are asked again in other words, twice at most."""
-    docs = corpus(spark, sf)
+    docs = passages(spark, sf)
 
     def search(asked: DataFrame) -> DataFrame:
         terms = asked.select("query_id", F.size(F.array_distinct(F.slice(T.index_terms(F.col("text")), 1, retrieval.QUERY_TERMS))).alias("terms"))
@@ -502,9 +508,9 @@ def prompt_with_context(spark, sf):
     """The last message of each conversation's prompt: the passages found for its question, then the question."""
     c = table(spark, sf, "conversations")
     asked = conversations.last_user(c).select(F.col("conv_id").alias("query_id"), F.col("question").alias("text"))
-    found = retrieval.bm25_first(corpus(spark, sf), asked, 3)
+    found = retrieval.bm25_first(passages(spark, sf), asked, 3)
     refs = materialise(found.select("query_id", "chunk_pos", F.col("rank").alias("ref")), "refs")
-    blocks = retrieval.context_block(refs, corpus(spark, sf)).withColumnRenamed("query_id", "conv_id")
+    blocks = retrieval.context_block(refs, passages(spark, sf)).withColumnRenamed("query_id", "conv_id")
     made = conversations.prompt(c, blocks, "S")
     last = made.groupBy("conv_id").agg(F.max_by("content", "seq").alias("content"))
     return last.select("conv_id", F.md5("content").alias("content_md5"))
@@ -559,9 +565,7 @@ SQL_UNITS_OF = f"""w as (select distinct w from (select unnest(regexp_extract_al
  pl as (select *, row_number() over (partition by query_id order by rerank desc, chunk_pos) as place from sc)
  select query_id, chunk_pos, rerank, place::int as place from pl where place <= 8""")
 def hash_rerank(spark, sf):
-    d, q = corpus(spark, sf), questions(spark, sf)
-    found = retrieval.retrieve(d, q, RetrieveConfig(mode="bm25"))
-    return models.rerank(found, q, d, 8)
+    return models.rerank(_found(spark, sf, mode="bm25"), questions(spark, sf), passages(spark, sf), 8)
 
 
 # -- chunking -------------------------------------------------------------------------------
@@ -750,9 +754,10 @@ SQL_GIVEN = f"""{SQL_LEX}, p as (select query_id, chunk_pos, row_number() over (
 
 def _given(spark, sf) -> DataFrame:
     """The first three passages of each question."""
-    docs = corpus(spark, sf)
+    docs = passages(spark, sf)
     found = retrieval.bm25_first(docs, questions(spark, sf), 3).select("query_id", "chunk_pos", F.col("rank").alias("ref"))
-    return found.join(docs.select("chunk_pos", "text"), "chunk_pos").select("query_id", "ref", "text")
+    given = retrieval.looked_up(found, docs.select("chunk_pos", "text")).select("query_id", "ref", "text")
+    return materialise(given, "given")
 
 
 @query(f"""with {SQL_GIVEN}, sen as ({SQL_SENTENCES}), a as (select item_id as query_id, list_distinct(regexp_extract_all(lower(b.text), {WORD})) as q, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), {WORD})) as a, sen.s
