@@ -8,9 +8,8 @@ query or skipped as a whole; what is skipped can't hold one of the first k.
 * Vectors: blocks are rings around pivots. A chunk's angle to its nearest pivot says its ring;
   by the triangle inequality no chunk of a ring is nearer to a query than the difference
   of the query's angle to the pivot and the ring's angles. Large rings are dealt into blocks.
-* Terms: postings are in blocks of chunks, each with its largest term frequency and least length for
-  each term, which bound what the term can add there. Postings of a block and term are one
-  group, so no task holds a common term's whole list.
+* Terms: postings of the queries' terms are in blocks of chunks, each with its largest term frequency and least length for
+  each term, which bound what the term can add there. A block's postings are one group, so no task holds a common term's whole list.
 """
 
 from __future__ import annotations
@@ -150,39 +149,60 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, Dat
 # -- terms ----------------------------------------------------------------------------------
 
 
-def term_blocks(chunks: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int, float]:
-    """term, block, df, tf, dl (the block's chunks with the term, their largest frequency and least length) and
-    the postings (chunk_pos, dl, tf) of each term and block; the corpus's size and mean length.
-    """
+def term_blocks(chunks: DataFrame, asked: DataFrame, block: int = BLOCK, k1: float = retrieval.K1, b: float = retrieval.B) -> tuple[DataFrame, retrieval.Lexical]:
+    """block, chunk_pos, dl, ids, tfs: the postings of the terms of ``asked`` (a written table), by block of chunks; and the search's weights."""
     # chunks of like length are together: a bound by the least length of a block is closer there
-    terms = index_terms(F.col("text"))
-    listed = chunks.select("chunk_pos", terms.alias("terms")).withColumn("kind", F.floor(2 * F.log2(F.size("terms") + 1)).cast("int"))
-    listed = materialise(listed, "terms")
-    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    kinds = listed.groupBy("kind").agg(F.ceil(F.count("*") / block).alias("parts"))  # some dozen
+    kind = F.floor(2 * F.log2(F.col("dl") + 1)).cast("int")
+    found = retrieval.postings_and_lengths(chunks, asked)
+    whole = found.where("term = ''")
+    n, avgdl = whole.agg(F.count("*"), F.avg("dl")).first()
+    kinds = whole.groupBy(kind.alias("kind")).agg(F.ceil(F.count("*") / max(block, n // BLOCKS)).alias("parts"))  # some dozen
+    lex = retrieval.lexical(found.where("term <> ''"), asked, n, avgdl, k1, b)
     own = F.concat_ws("-", "kind", F.pmod(F.xxhash64("chunk_pos"), "parts")).alias("block")
-    placed = listed.join(F.broadcast(kinds), "kind")
-    each = placed.select("chunk_pos", own, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("block", "term", "chunk_pos", "dl").agg(F.count("*").alias("tf"))
-    posted = each.groupBy("block", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.collect_list(F.struct("chunk_pos", "dl", "tf")).alias("postings"))
-    return materialise(posted, "term-blocks"), n, avgdl or 1.0
+    placed = lex.postings.withColumn("kind", kind).join(F.broadcast(kinds), "kind")
+    return placed.select(own, "chunk_pos", "dl", "ids", "tfs"), lex
+
+
+def _flat(asked: pa.Table) -> pa.Table:
+    """query_id, id, w: a row a term, from rows of query_id, ids, ws."""
+    ids, ws = asked.column("ids").combine_chunks(), asked.column("ws").combine_chunks()
+    at = np.repeat(np.arange(asked.num_rows), ids.value_lengths().to_numpy(zero_copy_only=False))
+    return pa.table([asked.column("query_id").take(pa.array(at)), ids.flatten(), ws.flatten()], ["query_id", "id", "w"])
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """query_id, chunk_pos, bm25, rank of each query's first ``k`` chunks that share a term; and which blocks were read for it."""
-    posted, n, length = term_blocks(chunks, block)
+    """query_id, chunk_pos, bm25, rank of each query's first ``k`` chunks that share a term; and which blocks were read for it.
+
+    Only postings of the queries' terms are kept, where the text is. Bounds and scores live in a block's task; a query and block are a row, no pair of query and chunk is.
+    """
     asked = materialise(retrieval.asked_terms(queries), "asked")
-    heads = posted.select("block", "term", "df", "tf", "dl").join(retrieval.small(materialise(asked.select("term").distinct(), "asked-terms")), "term")
-    heads = materialise(heads, "heads")
-    df = heads.groupBy("term").agg(F.sum("df").alias("whole"))
-    weights = asked.join(df, "term").select("query_id", "term", (F.col("qf") * F.log(1 + (n - F.col("whole") + 0.5) / (F.col("whole") + 0.5))).alias("w"))
-    weights = materialise(weights, "weights")
-    part = F.col("w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / length))
-    bounds = heads.join(retrieval.small(weights), "term").groupBy("query_id", "block").agg(F.sum(part).alias("bound"), F.max("df").alias("rows"))
+    posted, lex = term_blocks(chunks, asked, block, k1, b)
+    length = lex.length
+    # QUERY_TERMS at most
+    own = materialise(lex.weights.groupBy("query_id").agg(F.collect_list("id").alias("ids"), F.collect_list("w").alias("ws")), "own-terms")
+    every = materialise(posted.select("block").distinct(), "blocks").crossJoin(retrieval.small(own))
+
+    def bound(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        flat, terms = retrieval.unpacked(rows), _flat(asked)
+        ids, at, df = np.unique(flat.column("id").to_numpy(), return_inverse=True, return_counts=True)
+        tf, dl = np.zeros(len(ids)), np.full(len(ids), np.inf)
+        np.maximum.at(tf, at, flat.column("tf").to_numpy())
+        np.minimum.at(dl, at, flat.column("dl").to_numpy())
+        place = np.searchsorted(ids, terms.column("id").to_numpy())
+        here = np.flatnonzero((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == terms.column("id").to_numpy())) if len(ids) else np.zeros(0, int)
+        place, w = place[here], terms.column("w").to_numpy()[here]
+        found, q = np.unique(retrieval._ids(terms.column("query_id"))[here], return_inverse=True)
+        most, rows_of = np.bincount(q, w * tf[place] * (k1 + 1) / (tf[place] + k1 * (1 - b + b * dl[place] / length)), len(found)), np.zeros(len(found), int)
+        np.maximum.at(rows_of, q, df[place])
+        return pa.table({"query_id": retrieval._known(found), "block": pa.array([key[0].as_py()] * len(found), pa.string()), "bound": most, "rows": rows_of})
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return retrieval._first_scores(retrieval._term_scores(retrieval.unpacked(rows), _flat(asked), length, k1, b), k)
 
     def read(wanted: DataFrame) -> DataFrame:
-        terms = wanted.select("query_id", "block").join(retrieval.small(weights), "query_id")
-        held = posted.select("block", "term", "postings").join(terms, ["block", "term"]).select("query_id", "w", F.inline("postings"))
-        return held.groupBy("query_id", "chunk_pos").agg(F.sum(part).alias("bm25"))
+        terms = wanted.select("query_id", "block").join(retrieval.small(own), "query_id").select("block", "query_id", "ids", "ws")
+        return posted.groupBy("block").cogroup(terms.groupBy("block")).applyInArrow(score, "query_id long, chunk_pos long, bm25 double")
 
+    bounds = posted.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(bound, "query_id long, block string, bound double, rows long")
     found, taken = _rounds(bounds, k, "bm25", read)
     return found.select("*", retrieval.ranked("bm25")).where(F.col("rank") <= k), taken

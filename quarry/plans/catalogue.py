@@ -281,7 +281,7 @@ def dense_pruned(spark, sf):
 
 @query(ORACLE_SQL["bm25_topk"])
 def bm25_pruned(spark, sf):
-    s, _ = pruned.bm25(corpus(spark, sf), questions(spark, sf), 10)
+    s, _ = pruned.bm25(passages(spark, sf), questions(spark, sf), 10)
     return s.select("query_id", "chunk_pos", "rank", F.round("bm25", 6).alias("score"))
 
 

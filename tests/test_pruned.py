@@ -50,3 +50,14 @@ def test_terms(spark, block):
         if block == 5 and k == 1:
             assert not all(r["taken"] for r in taken.collect())
     assert pruned.bm25(chunks.limit(0), queries, 3)[0].isEmpty()
+
+
+def test_only_asked_terms_are_kept_and_pairs_stay_in_tasks(spark):
+    """What is read for a query leaves a block as its first few, not as a row a pair, and words of no query are not kept."""
+    chunks = spark.createDataFrame([(k, f"common word{k} also{k} more{k}") for k in range(400)], "chunk_pos long, text string")
+    queries = spark.createDataFrame([(1, "common"), (2, "common word7")], "query_id long, text string")
+    asked = retrieval.materialise(retrieval.asked_terms(queries), "asked")
+    posted, lex = pruned.term_blocks(chunks, asked, 100)
+    assert posted.selectExpr("sum(size(ids))").first()[0] == 401 and posted.select("block").distinct().count() == 4 and lex.n == 400
+    found, _ = pruned.bm25(chunks, queries, 2, block=100)
+    assert first(found, "bm25") == full(retrieval.bm25(chunks, queries), "bm25", 2)

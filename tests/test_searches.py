@@ -74,3 +74,15 @@ def test_a_reranker_that_fails_is_stood_in_for(spark):
 def test_the_retry_prompt(spark):
     row = spark.range(1).select(dialogue.retry_prompt(F.lit("q?"), F.array(F.lit("one"), F.lit("two"))).alias("p")).first()["p"]
     assert row.startswith(dialogue.RETRY_SYSTEM) and row.endswith("one / two") and "q?" in row
+
+
+def test_a_session_shuffles_only_what_is_asked_for(spark, monkeypatch):
+    """Of texts of words that no query has, nothing is kept; chunks of two sessions may share a number."""
+    written, write = {}, retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    chunks = [(s, k, " ".join(f"u{s}{k}x{j}" for j in range(50)) + f" alpha beta{k % 7}") for s in "ab" for k in range(40)]
+    of_chunks = spark.createDataFrame(chunks, "session string, chunk_pos long, text string")
+    of_asked = spark.createDataFrame([("a", 1, "beta1 alpha"), ("b", 1, "beta2")], "session string, query_id long, text string")
+    found = retrieval.session_topk(of_chunks, of_asked, 3)
+    assert [(x["session"], x["chunk_pos"]) for x in found.orderBy("session", "rank").collect()] == [("a", 1), ("a", 8), ("a", 15), ("b", 2), ("b", 9), ("b", 16)]
+    assert "terms" not in written and written["postings"].count() == 80 + 40 + 6 + 6
