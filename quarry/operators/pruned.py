@@ -28,6 +28,8 @@ from quarry.storage import materialise
 
 #: Pivots at most, rings of a half circle, chunks of a block; full blocks at most, beyond which blocks grow; chunks that the first round reads for a query, as a multiple of k; what sums in another order may differ by.
 PIVOTS, RINGS, BLOCK, BLOCKS, AHEAD, SLACK = 1024, 64, 512, 250_000, 8, 1e-8
+#: Chunks and queries that a task of the second round holds, and bounds or scores that it works out at a time.
+GROUP, ASKED, ENTRIES = 8192, 4096, 1 << 21
 
 
 # -- vectors --------------------------------------------------------------------------------
@@ -35,11 +37,11 @@ PIVOTS, RINGS, BLOCK, BLOCKS, AHEAD, SLACK = 1024, 64, 512, 250_000, 8, 1e-8
 
 def _matrix(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of dimension ``d``, zeros for others and for those of no length; which are."""
-    rows = column.to_pylist()
-    fit = np.array([v is not None and len(v) == d for v in rows], bool)
-    m = np.zeros((len(rows), d))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    fit, m = lengths == d, np.zeros((len(column), d))
     if fit.any():
-        m[fit] = [rows[k] for k in np.flatnonzero(fit)]
+        m[fit] = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
     norm = np.linalg.norm(m, axis=1)
     sound = norm > 0
     m[sound] /= norm[sound, None]
@@ -88,24 +90,22 @@ def vector_blocks(chunks: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return materialise(named.select("chunk_pos", "vector", "block"), "dealt"), blocks, pivots
 
 
-def _vector_bounds(queries: DataFrame, blocks: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """query_id, vector, block, rows, bound: the largest cosine that a chunk of the block can have with the query."""
-    d = pivots.shape[1] if len(pivots) else 0
+def _bounds(m: np.ndarray, sound: np.ndarray, pivots: np.ndarray, pivot: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The largest cosine that a chunk of each block (columns) can have with each query (rows of ``m``)."""
+    bound = np.zeros((len(m), len(pivot)))
+    known = np.flatnonzero(pivot >= 0)
+    if len(known) and sound.any():
+        need, at = np.unique(pivot[known], return_inverse=True)
+        own = np.arccos(np.clip(m[sound] @ pivots[need].T, -1, 1))[:, at]
+        bound[np.ix_(sound, known)] = np.cos(np.maximum(np.maximum(own - far[known], near[known] - own), 0.0))
+    # of a size that no pivot has, or of no length: 0 with a vector of the pivots' size, anything with another
+    bound[np.ix_(~sound, pivot < 0)] = 1.0
+    return bound
 
-    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m, sound = _matrix(b.column("vector"), d)
-            theta = np.arccos(np.clip(m @ pivots.T, -1, 1)) if len(pivots) else np.zeros((b.num_rows, 0))
-            rows = [row.tolist() if s else None for row, s in zip(theta, sound)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], ["query_id", "vector", "angles"])
 
-    kind = queries.schema["vector"].dataType.simpleString()
-    asked = queries.where("vector is not null").select("query_id", "vector").mapInArrow(angles, f"query_id long, vector {kind}, angles array<double>")
-    # every query meets every block's four numbers, never its rows
-    met = materialise(asked, "angles").crossJoin(F.broadcast(blocks.select("block", "pivot", "near", "far", "rows")))
-    own = F.get("angles", F.col("pivot"))
-    apart = F.greatest(own - F.col("far"), F.col("near") - own, F.lit(0.0))
-    return met.select("query_id", "vector", "block", "rows", F.when(F.col("angles").isNull() | (F.col("pivot") < 0), 0.0).otherwise(F.cos(apart)).alias("bound"))
+def _listed(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    edges = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rows) if rows else [], kind))
 
 
 def _cosines(chunks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -139,11 +139,92 @@ def _rounds(bounds: DataFrame, k: int, score, read) -> tuple[DataFrame, DataFram
 def dense(chunks: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """query_id, chunk_pos, semantic, rank of each query's first ``k`` chunks by cosine; and which blocks were read for it.
 
-    As retrieval.dense: vectors of no length or of another size have the cosine 0.
+    As retrieval.dense: vectors of no length or of another size have the cosine 0. Both rounds judge blocks in tasks: a query
+    is a row for each of its first few blocks and for each group of blocks, never for each block.
     """
     held, blocks, pivots = vector_blocks(chunks)
-    found, taken = _rounds(_vector_bounds(queries, blocks, pivots), k, "semantic", lambda wanted: _cosines(held, wanted.select("query_id", "vector", "block"), k))
-    return found.select("*", retrieval.ranked("semantic")).where(F.col("rank") <= k), taken
+    spark, d = held.sparkSession, pivots.shape[1] if len(pivots) else 0
+    # a few numbers a block, BLOCKS and a part full one of each ring at most
+    t = blocks.select("block", "pivot", "near", "far", "rows").orderBy("block").toArrow()
+    shared = spark.sparkContext.broadcast((pivots, *(t.column(c).to_numpy() for c in ("block", "pivot", "near", "far", "rows"))))
+    kind = queries.schema["vector"].dataType.simpleString()
+    asked = materialise(queries.where("vector is not null").select("query_id", "vector"), "asked-vectors")
+
+    def judged(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Begin and end of stretches of queries and the bounds of all blocks for them."""
+        pivots, block, pivot, near, far, _ = shared.value
+        m, sound = _matrix(b.column("vector"), d)
+        step = max(1, ENTRIES // max(1, len(block)))
+        for lo in range(0, len(m), step):
+            yield lo, min(len(m), lo + step), _bounds(m[lo : lo + step], sound[lo : lo + step], pivots, pivot, near, far)
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, rows, firsts = shared.value[1], shared.value[5], []
+            for _, _, bound in judged(b):
+                for row in bound:
+                    order = np.lexsort((block, -row))
+                    before = np.cumsum(rows[order]) - rows[order]
+                    firsts.append(block[order[before < AHEAD * k]])
+            yield pa.RecordBatch.from_arrays([*b.columns, _listed(firsts, pa.int64())], ["query_id", "vector", "firsts"])
+
+    begun = materialise(asked.mapInArrow(ahead, f"query_id long, vector {kind}, firsts array<long>"), "firsts")
+    early = materialise(_cosines(held, begun.select("query_id", "vector", F.explode("firsts").alias("block")), k), "early")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("semantic")))
+    last = early.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("semantic").alias("least"))
+    # fewer than k so far: no least, everything is still wanted
+    waiting = materialise(begun.join(last, "query_id", "left"), "waiting")
+    groups, parts = max(1, math.ceil(held.count() / GROUP)), max(1, math.ceil(waiting.count() / ASKED))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    g, q = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("q")
+
+    def rest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        pivots, block, pivot, near, far, _ = shared.value
+        rows = rows.take(pa.array(np.argsort(rows.column("block").to_numpy(), kind="stable")))
+        own, begins = np.unique(rows.column("block").to_numpy(), return_index=True)
+        at, ends = np.searchsorted(block, own), np.append(begins[1:], rows.num_rows)
+        (m, _), (x, sound) = _matrix(rows.column("vector"), d), _matrix(asked.column("vector"), d)
+        ids, pos = asked.column("query_id").to_numpy(), rows.column("chunk_pos").to_numpy()
+        least = asked.column("least").fill_null(-np.inf).to_numpy()
+        out, fresh = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)], 0
+        if len(own) and len(ids):
+            wanted = _bounds(x, sound, pivots, pivot[at], near[at], far[at]) + SLACK >= least[:, None]
+            firsts = asked.column("firsts").combine_chunks()
+            of, named = np.repeat(np.arange(len(ids)), firsts.value_lengths().to_numpy(zero_copy_only=False)), firsts.flatten().to_numpy()
+            read = np.minimum(np.searchsorted(own, named), len(own) - 1)
+            here = own[read] == named
+            wanted[of[here], read[here]] = False
+            for n, (lo, hi) in enumerate(zip(begins.tolist(), ends.tolist())):
+                some = np.flatnonzero(wanted[:, n])
+                if not len(some):
+                    continue
+                if pivot[at[n]] < 0 and not sound[some].all():
+                    sims, _ = retrieval._similarities(rows.slice(lo, hi - lo), asked.take(pa.array(some)), np.arange(hi - lo), hi - lo)
+                    sims = sims.T
+                else:
+                    sims = x[some] @ m[lo:hi].T
+                i, j = np.nonzero(sims + SLACK >= least[some, None])
+                out, fresh = [np.concatenate(c) for c in zip(out, (some[i], pos[lo + j], sims[i, j]))], fresh + len(i)
+                if fresh > ENTRIES:
+                    best = retrieval._best(*out, k + retrieval.SPARE)
+                    out, fresh = [c[best] for c in out], 0
+        best = retrieval._best(*out, k + retrieval.SPARE)
+        return pa.table({"query_id": ids[out[0][best]], "chunk_pos": out[1][best], "semantic": out[2][best]})
+
+    met = held.select(g, every(parts).alias("q"), "block", "chunk_pos", "vector").groupBy("g", "q")
+    late = met.cogroup(waiting.select(every(groups).alias("g"), q, "query_id", "vector", "firsts", "least").groupBy("g", "q"))
+    found = early.unionByName(late.applyInArrow(rest, "query_id long, chunk_pos long, semantic double"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, least = shared.value[1], b.column("least").fill_null(-np.inf).to_numpy()
+            for lo, hi, bound in judged(b):
+                taken = bound + SLACK >= least[lo:hi, None]
+                for n, named in enumerate(b.column("firsts").slice(lo, hi - lo).to_pylist()):
+                    taken[n, np.searchsorted(block, named)] = True
+                yield pa.RecordBatch.from_arrays([b.column("query_id").slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), len(block)))), pa.array(np.tile(block, hi - lo)), pa.array(taken.ravel())], ["query_id", "block", "taken"])
+
+    return found.select("*", retrieval.ranked("semantic")).where(F.col("rank") <= k), waiting.mapInArrow(told, "query_id long, block long, taken boolean")
 
 
 # -- terms ----------------------------------------------------------------------------------

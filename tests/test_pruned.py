@@ -61,3 +61,18 @@ def test_only_asked_terms_are_kept_and_pairs_stay_in_tasks(spark):
     assert posted.selectExpr("sum(size(ids))").first()[0] == 401 and posted.select("block").distinct().count() == 4 and lex.n == 400
     found, _ = pruned.bm25(chunks, queries, 2, block=100)
     assert first(found, "bm25") == full(retrieval.bm25(chunks, queries), "bm25", 2)
+
+
+def test_vectors_of_another_size_in_many_blocks(spark, monkeypatch):
+    """A query of the rarer size is held against all chunks of that size; no table of all queries and blocks is written."""
+    written, write = [], pruned.materialise
+    monkeypatch.setattr(pruned, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(pruned, "BLOCK", 4)
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(200)] + [(200 + k, rng.normal(size=2).tolist()) for k in range(120)]
+    asked = [(k, rng.normal(size=2).tolist()) for k in range(30)] + [(50 + k, rng.normal(size=3).tolist()) for k in range(30)]
+    chunks, queries = spark.createDataFrame(rows, "chunk_pos long, vector array<double>"), spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found, taken = pruned.dense(chunks, queries, 2)
+    assert first(found, "semantic") == full(retrieval.dense(chunks, queries, 2), "semantic", 2)
+    every = taken.count()
+    assert every == 60 * taken.select("block").distinct().count() and max(t.count() for t in written) < every / 2
