@@ -11,6 +11,7 @@ found by search in running sums (windows.py), as array expressions have no runni
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.text import SPACE, count_tokens, trim, twentieths
-from quarry.operators.models import neighbour_cosines
+from quarry.operators.models import following_cosines
 from quarry.operators.windows import recursive_blocks, windows
 from quarry.storage import materialise
 
@@ -217,11 +218,10 @@ def _fallback(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
 
 
 def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame:
-    df = df.withColumn("parts", T.sentences(F.col("text")))
     none = F.lit(None).cast("double").alias("threshold")
     if embed is None and cfg.offline_vectors:
-        found = neighbour_cosines(df.select("doc_id", "parts"), "parts").withColumn("error", F.lit(None).cast("string"))
-        return _by_vectors(materialise(found, "sims"), cfg)
+        return _offline(df, cfg)
+    df = df.withColumn("parts", T.sentences(F.col("text")))
     if embed is None:
         return _fallback(df, cfg).withColumn("degraded", F.lit("no-embedding")).withColumn("threshold", none)
     df = materialise(df.withColumn("key", F.monotonically_increasing_id()), "texts")
@@ -235,6 +235,77 @@ def _semantic(df: DataFrame, cfg: ChunkConfig, embed: Embed | None) -> DataFrame
     return _by_vectors(found, cfg)
 
 
+_SENTENCES, _CJK = re.compile(T.SENTENCES), re.compile(f"[{T.CJK}]")
+_BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
+def _said(text: str) -> list[str]:
+    """As functions.text.sentences."""
+    found = (s.strip(_BLANKS) for s in _SENTENCES.findall(text.replace("\r\n", "\n").replace("\r", "\n")))
+    return [s for s in found if s]
+
+
+def _counted(text: str) -> int:
+    """As functions.text.count_tokens."""
+    q = 5 * len(text) - text.count(" ") - text.count("\n") - text.count("\t") + (0 if text.isascii() else 15 * len(_CJK.findall(text)))
+    if q % 20 != 10 and len(text) <= T.EXACT:
+        return (q + 10) // 20
+    total = 0.0
+    for c in text:  # from the left, as doubles
+        total += 0.2 if c in " \n\t" else 1.0 if _CJK.match(c) else 0.25
+    return math.floor(total + 0.5)
+
+
+def _grouped(parts: list[str], sims: list[float], threshold: float, most: int, least: int) -> list[str]:
+    """As ``semantic_groups``, of one text."""
+    groups, own, total = [], [parts[0]], _counted(parts[0])
+    for part, sim in zip(parts[1:], sims):
+        n = _counted(part)
+        if sim < threshold or total + n > most:
+            groups, own, total = [*groups, "".join(own)], [part], n
+        else:
+            own.append(part)
+            total += n
+    merged, last = [], 0
+    for g in [*groups, "".join(own)]:
+        n = _counted(g)
+        if merged and min(last, n) < least and last + n <= most:
+            merged[-1] += g
+            last = _counted(merged[-1])
+        else:
+            merged.append(g)
+            last = n
+    return [c for c in (g.strip(_BLANKS) for g in merged) if c]
+
+
+def _offline(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Chunks of doc_id, text by the offline model's vectors, in one pass where the text is; a text of one sentence is cut by length."""
+    most, least = max(LEAST_GROUP, (cfg.semantic_max or 700) - cfg.overlap), cfg.semantic_min or 80
+    p = min(100, max(0, cfg.percentile or 85)) / 100 if cfg.threshold_mode == "percentile" else None
+    fixed = float(cfg.threshold or 0.55)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [_said(t) for t in b.column("text").to_pylist()]
+            sims, lo, blocks, few, limits = following_cosines([s for parts in lists for s in parts]).tolist(), 0, [], [], []
+            for parts in lists:
+                own, lo, many = sims[lo : lo + len(parts) - 1] if parts else [], lo + len(parts), len(parts) > 1
+                limits.append((fixed if p is None else sorted(own)[math.floor((len(own) - 1) * p)]) if many else None)
+                blocks.append(_grouped(parts, own, limits[-1], most, least) if many else None)
+                few.append(None if many else parts)
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(few, strings), pa.array(blocks, strings), pa.array(limits, pa.float64())], ["doc_id", "parts", "blocks", "threshold"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    found = materialise(df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, parts array<string>, blocks array<string>, threshold double"), "groups")
+    fine, none = found.where("parts is null").drop("parts"), F.lit(None)
+    if cfg.overlap > 0:
+        fine = with_heads(fine, lambda c: tail(c, cfg.overlap), "\n")
+    rest = _fallback(found.where("parts is not null").select("doc_id", "parts"), cfg).withColumn("degraded", F.lit("too-few-sentences")).withColumn("threshold", none.cast("double"))
+    kept = ["doc_id", "blocks", "degraded", "threshold"]
+    return fine.withColumn("degraded", none.cast("string")).select(kept).unionByName(rest.select(kept))
+
+
 def _by_vectors(found: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """Chunks of rows of doc_id, parts, sims and error; by length where there is one sentence or an error."""
     many, none = F.size("parts") > 1, F.lit(None).cast("double").alias("threshold")

@@ -7,7 +7,8 @@ import plain_chunks as plain
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking
+from quarry.functions import text as T
+from quarry.operators import chunking, models
 from quarry.operators.chunking import ChunkConfig
 
 PIECES = ["word", "two words", "句子", "今天天气不错。", "我们去散步吧！", "x1.5", " ", "  ", "\n", "\n\n", "\r\n", "\t", "? ", ". ", "；", "，", "　", "é", "# Title\n", "\n## Sub", "!", '"', "a" * 70, "\n \n", "12", "end. "]
@@ -192,3 +193,20 @@ def test_files_above_the_limit_are_indexed_where_all_are_asked_for(spark, tmp_pa
     for limit, n in ((400, 0), (1000, 1)):
         indexing.sync_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out{limit}", ChunkConfig(markdown=False), 16, max_bytes=limit)
         assert indexing.indexed_chunks(spark, f"file://{tmp_path}/out{limit}").count() == n
+
+
+def test_offline_vectors_cut_in_one_pass(spark):
+    """The helper a task cuts texts with gives what the columns give, by threshold and by percentile; no array is folded after it."""
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma 1.5", "人工智能", "　delta ", "e😀"]
+    texts = ["".join(r.choice(words) + r.choice([" ", ".", "! ", "。", "\r\n", "\n\n", "？”", "\t"]) for _ in range(r.randint(1, 60))) for _ in range(60)] + ["one.", "!!!", "a\rb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for more in ({"threshold": 0.3}, {"threshold_mode": "percentile", "percentile": 35}):
+        cfg = chunking.ChunkConfig("semantic", semantic_max=200, semantic_min=20, overlap_enabled=False, markdown=False, offline_vectors=True, **more)
+        made = chunking._offline(docs, cfg)
+        parts = models.neighbour_cosines(docs.select("doc_id", T.sentences(F.col("text")).alias("parts")), "parts").withColumn("error", F.lit(None).cast("string"))
+        rows = lambda df: sorted((x["doc_id"], x["blocks"], x["degraded"], x["threshold"]) for x in df.collect())
+        got, want = [[(d, b, e, t if t is None else round(t, 9)) for d, b, e, t in rows(df)] for df in (made, chunking._by_vectors(parts, cfg))]
+        assert got == want and len(got) == len(texts)
+    counts = docs.select("text", T.count_tokens(F.col("text")).alias("n")).collect()
+    assert [chunking._counted(x["text"]) for x in counts] == [x["n"] for x in counts]
