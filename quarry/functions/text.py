@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def index_terms(c: Column) -> Column:
     return F.concat(words, F.flatten(F.transform(runs, grams)))
 
 
+_WORD, _RUN = re.compile(WORDS), re.compile(f"[{CJK}]+")
+
+
+def terms_of(low: str) -> list[str]:
+    """The terms of ``index_terms`` of a text in lower case, for what splits texts in Python tasks."""
+    terms = _WORD.findall(low)
+    for run in () if low.isascii() else _RUN.findall(low):
+        terms += [*run, *map("".join, zip(run, run[1:]))]
+    return terms
+
+
 def sentences(c: Column) -> Column:
     """Sentences of a text: a terminator, its closing quotes or a line end finishes one."""
     flat = F.regexp_replace(c, "\\r\\n?", "\n")
