@@ -251,15 +251,15 @@ def _flat(asked: pa.Table) -> pa.Table:
     return pa.table([asked.column("query_id").take(pa.array(at)), ids.flatten(), ws.flatten()], ["query_id", "id", "w"])
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B, block: int = BLOCK, terms: int | None = retrieval.QUERY_TERMS) -> tuple[DataFrame, DataFrame]:
     """query_id, chunk_pos, bm25, rank of each query's first ``k`` chunks that share a term; and which blocks were read for it.
 
-    Only postings of the queries' terms are kept, where the text is. Bounds and scores live in a block's task; a query and block are a row, no pair of query and chunk is.
+    ``terms`` as ``most`` of ``asked_terms``. Only postings of the queries' terms are kept, where the text is. Bounds and scores live in a block's task; a query and block are a row, no pair of query and chunk is.
     """
-    asked = materialise(retrieval.asked_terms(queries), "asked")
+    asked = materialise(retrieval.asked_terms(queries, terms), "asked")
     posted, lex = term_blocks(chunks, asked, block, k1, b)
     length = lex.length
-    # QUERY_TERMS at most
+    # a query's whole list, ``terms`` at most
     own = materialise(lex.weights.groupBy("query_id").agg(F.collect_list("id").alias("ids"), F.collect_list("w").alias("ws")), "own-terms")
     every = materialise(posted.select("block").distinct(), "blocks").crossJoin(retrieval.small(own))
 

@@ -76,3 +76,14 @@ def test_vectors_of_another_size_in_many_blocks(spark, monkeypatch):
     assert first(found, "semantic") == full(retrieval.dense(chunks, queries, 2), "semantic", 2)
     every = taken.count()
     assert every == 60 * taken.select("block").distinct().count() and max(t.count() for t in written) < every / 2
+
+
+def test_all_terms_of_a_long_query_count(spark):
+    """A question's words beyond the first hundred and more find their chunk, and count in every score."""
+    texts = [f"filler{k % 10} other{k}" for k in range(60)] + ["needle filler3"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_pos long, text string")
+    queries = spark.createDataFrame([(1, "filler3 " * 130 + "needle " * 200), (2, "nothing " * 128 + "other7")], "query_id long, text string")
+    found = first(pruned.bm25(chunks, queries, 1, block=8, terms=None)[0], "bm25")
+    assert [(q, pos) for q, _, pos, _ in found] == [(1, 60), (2, 7)]
+    every = [r["qf"] for r in retrieval.asked_terms(queries, None).where("query_id = 1").orderBy("term").collect()]
+    assert every == [130, 200] and retrieval.asked_terms(queries).where("query_id = 1").count() == 1
