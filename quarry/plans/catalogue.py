@@ -390,7 +390,7 @@ def _sql_lex(asked: str) -> str:
 @query(f"""with d as (select coalesce(source, '') as session, doc_id as chunk_pos, regexp_extract_all(lower(coalesce(text, '')), {WORD}) as t from documents),
  st as (select session, count(*) as n, avg(len(t)) as avgdl from d group by session), l as (select session, chunk_pos, len(t) as dl, unnest(t) as term from d),
  tf as (select session, chunk_pos, dl, term, count(*) as tf from l group by all), df as (select session, term, count(*) as df from tf group by all),
- qf as (select item_id as query_id, term, count(*) as qf from (select item_id, unnest(regexp_extract_all(lower(text), {WORD})[1:128]) as term from benchmark) group by all),
+ qf as (select item_id as query_id, term, count(*) as qf from (select item_id, unnest(regexp_extract_all(lower(text), {WORD})) as term from benchmark) group by all),
  raw as (select tf.session, query_id, chunk_pos, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from qf join tf using (term) join df on df.term = tf.term and df.session = tf.session join st on st.session = tf.session group by all)
  select session, query_id, chunk_pos, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by session, query_id order by round(score, 9) desc, chunk_pos) as rank from raw) where rank <= 3""")
@@ -398,7 +398,7 @@ def session_topk(spark, sf):
     """Every source is a corpus of its own, in which all questions are asked."""
     docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("session"), F.col("doc_id").alias("chunk_pos"), "text")
     asked = docs.select("session").distinct().join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
-    s = retrieval.session_topk(docs, asked, 3)
+    s = retrieval.session_topk(docs, asked, 3, terms=None)
     return s.select("session", "query_id", "chunk_pos", "rank", F.round("bm25", 6).alias("score"))
 
 

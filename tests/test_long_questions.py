@@ -7,10 +7,10 @@ import __spark_entry__
 from test_entry import plain
 
 
-@pytest.mark.parametrize("name", ["bm25_pruned"])
+@pytest.mark.parametrize("name", ["bm25_pruned", "session_topk"])
 def test_terms_at_the_end_count(spark, tmp_path, name):
     docs = [(k, f"word{k % 7} tail{k} common", f"src{k % 2}") for k in range(40)]
-    asked = [(1, "word3 " * 150 + "tail11 " * 60), (2, "absent " * 128 + "tail20 tail21"), (3, "common word1"), (4, None)]
+    asked = [(1, "word3 " * 150 + "tail11 " * 300), (2, "absent " * 128 + "tail20 tail21"), (3, "common word1"), (4, None)]
     vectors = [(1, [1.0, 0.0])]
     con = duckdb.connect()
     for table, rows, kinds in (("documents", docs, "doc_id long, text string, source string"), ("benchmark", asked, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>")):
