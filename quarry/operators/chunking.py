@@ -356,14 +356,14 @@ def fixed_windows(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
     return windows(some, cfg.size or 512, cfg.overlap, ["doc_id"])
 
 
-def _as_windows(cfg: ChunkConfig) -> bool:
+def as_windows(cfg: ChunkConfig) -> bool:
     """Whether chunks are the windows as they are: no heading moves."""
     return cfg.strategy not in ("recursive", "paragraph", "semantic") and not cfg.markdown
 
 
 def chunk(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
     """doc_id, idx, text, tokens of every chunk; an empty chunk goes, and leaves its place in ``idx`` free."""
-    if _as_windows(cfg):
+    if as_windows(cfg):
         each = fixed_windows(docs, cfg).select("doc_id", F.posexplode("windows").alias("idx", "w"))
         return each.select("doc_id", "idx", "w.text", "w.tokens")
     # outer: no filter on the array is inferred, which would be pushed down and work every array out again
@@ -392,7 +392,7 @@ def coverage(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
 
 def chunk_meta(docs: DataFrame, cfg: ChunkConfig, embed: Embed | None = None) -> DataFrame:
     """One row for each document with text: doc_id, strategy, degraded, threshold, n_chunks, the tokens' average, least and largest, overlap_tokens."""
-    if _as_windows(cfg):
+    if as_windows(cfg):
         none = F.lit(None)
         found = fixed_windows(docs, cfg).select("doc_id", F.transform("windows", lambda w: w["tokens"]).alias("n"), none.cast("string").alias("degraded"), none.cast("double").alias("threshold"))
     else:

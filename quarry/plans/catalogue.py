@@ -1055,8 +1055,8 @@ def _sql_file_chunks(some: str = "") -> str:
  select doc_id as part, count(*)::bigint as n_chunks, sum(n)::bigint as tokens, 64::bigint as dim from t group by doc_id"""
 
 
-#: All files of the two queries below are indexed: the SQL knows no limit. Bytes that one row can hold.
-ANY_SIZE = (1 << 31) - 1
+#: All files of the two queries below are indexed: the SQL knows no limit. No limit at all, where large files are read in pieces; bytes that one row can hold.
+NO_LIMIT, ANY_SIZE = (1 << 63) - 1, (1 << 31) - 1
 
 
 def _write_files(docs: DataFrame, path: str, mode: str) -> None:
@@ -1076,8 +1076,8 @@ def incremental_index(spark, sf):
     """Documents written as files and indexed by the streaming job."""
     base = scratch(spark, "incremental")
     _write_files(table(spark, sf, "documents"), f"{base}/in", "overwrite")
-    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(markdown=False), 64, max_bytes=ANY_SIZE).awaitTermination()
-    return _by_file(spark.read.parquet(f"{base}/out"), files.ingest(spark, f"{base}/in", ANY_SIZE).select("doc_id", F.col("file_path").alias("path")))
+    indexing.index_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", chunking.ChunkConfig(markdown=False), 64, max_bytes=NO_LIMIT).awaitTermination()
+    return _by_file(spark.read.parquet(f"{base}/out"), files.ingest(spark, f"{base}/in", NO_LIMIT).select("doc_id", F.col("file_path").alias("path")))
 
 
 @query(_sql_file_chunks("and lang is distinct from 'en'"))

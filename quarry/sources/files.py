@@ -12,16 +12,17 @@ import json
 import math
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
+from quarry.operators.windows import BLANKS
 
 MAX_BYTES = 30 << 20
 PREVIEW = 500
@@ -151,10 +152,33 @@ def parse(files: DataFrame, pdf_reader: Callable[[bytes], str] | None = None) ->
     return known.withColumn("text", T.normalize(body)).withColumn("error", F.when(F.col("text").isNull(), missing))
 
 
+def doc_id(path: Column) -> Column:
+    return F.concat(F.lit("doc_"), F.left(F.sha2(path, 256), F.lit(32)))
+
+
+_STEPS = [(re.compile(pattern), to) for pattern, to in (("\r\n?", "\n"), ("[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), ("[ \t]+\n", "\n"))]
+_LINES = re.compile("\n{3,}")
+
+
+def normalised(pieces: Iterable[str]) -> Iterator[str]:
+    """As functions.text.normalize, of a text that comes in pieces which end with its lines."""
+    held, begun = "", False  # blanks that may be the text's last
+    for piece in pieces:
+        for pattern, to in _STEPS:
+            piece = pattern.sub(to, piece)
+        piece = _LINES.sub("\n\n", held + piece)
+        piece = piece if begun else piece.lstrip(BLANKS)
+        begun = begun or bool(piece)
+        solid = len(piece.rstrip(BLANKS))
+        held = piece[solid:]
+        if solid:
+            yield piece[:solid]
+
+
 def describe(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Document rows of parsed files, with the columns of ``keep``; the id is made from the path, characters are UTF-16 units."""
     return parsed.select(
-        F.concat(F.lit("doc_"), F.left(F.sha2("path", 256), F.lit(32))).alias("doc_id"),
+        doc_id(F.col("path")).alias("doc_id"),
         F.regexp_extract("path", "([^/]*)$", 1).alias("name"),
         F.col("length").alias("size"),
         "ext",

@@ -1,7 +1,9 @@
 """Incremental indexing of a folder's files as chunks with vectors.
 
 ``index_folder`` is for folders where files only arrive: a stream whose batches write
-their own partition of the target, replacing it if the batch runs again.
+their own partition of the target, replacing it if the batch runs again. A large file of
+plain text is never a row there: its lines become pieces, and its windows are cut as the
+pieces come by in order, so what a task holds doesn't grow with the file.
 
 ``sync_folder`` follows changes and deletions too. A manifest holds path, time, length and
 content hash of every file that is indexed; each run joins it with the folder's listing.
@@ -17,25 +19,77 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry import runs
-from quarry.functions.text import supported
-from quarry.operators import chunking, models
+from quarry.functions.text import extension, supported
+from quarry.operators import chunking, models, windows
 from quarry.sources import files
-from quarry.storage import materialise, scratch
+from quarry.storage import forget, materialise, scratch
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def chunks_of(docs: DataFrame, cfg: chunking.ChunkConfig, dim: int = models.DIM) -> DataFrame:
     """chunk_id, doc_id, idx, text, tokens, vector of documents (doc_id, text)."""
-    made = chunking.chunk(docs, cfg).withColumn("chunk_id", F.sha2(F.to_json(F.struct("doc_id", "idx", "text")), 256))
-    return models.with_vectors(made, dim).select("chunk_id", "doc_id", "idx", "text", "tokens", "vector")
+    return _embedded(chunking.chunk(docs, cfg), dim)
+
+
+def _embedded(made: DataFrame, dim: int) -> DataFrame:
+    named = made.withColumn("chunk_id", F.sha2(F.to_json(F.struct("doc_id", "idx", "text")), 256))
+    return models.with_vectors(named, dim).select("chunk_id", "doc_id", "idx", "text", "tokens", "vector")
+
+
+#: Extensions of files whose text is their lines; bytes from which such a file is read in pieces; characters of a piece (one line at least), and of windows that leave a task at a time.
+PLAIN, LONG, PIECE = ["txt", "md", "markdown"], 8 << 20, 1 << 18
+
+
+def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, start, no, text: some following lines of a file each, with their line ends; in order by start (of what a task read) and no."""
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text([_literal(p) for p in paths])
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.make_valid_utf8("value").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, chars, no = None, [], 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([no], pa.int64()), pa.array(["\n".join(held) + "\n"])], ["file", "start", "no", "text"])
+        for b in batches:
+            for *own, line in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (own != at or chars >= PIECE):
+                    yield row()
+                    no, held, chars = no + 1, [], 0
+                at = own
+                held.append(line)
+                chars += len(line) + 1
+        if held:
+            yield row()
+
+    return placed.mapInArrow(run, "file string, start long, no long, text string")
+
+
+def _long_windows(spark: SparkSession, paths: list[str], cfg: chunking.ChunkConfig) -> DataFrame:
+    """file, idx, text, tokens: the fixed windows of the clean text of plain files, each file cut by one task as its pieces come by."""
+    size, overlap = cfg.size or 512, cfg.overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b.column("file")[k].as_py(), b.column("text")[k].as_py()) for b in batches for k in range(b.num_rows))
+        for file, own in itertools.groupby(rows, key=lambda r: r[0]):
+            found, first, chars = [], 0, 0
+            for text, _, _, tokens in itertools.chain(windows.streamed(files.normalised(t for _, t in own), size, overlap), [(None,) * 4]):
+                if found and (text is None or chars >= PIECE):
+                    cols = [pa.array([file] * len(found)), pa.array(range(first, first + len(found)), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64())))]
+                    yield pa.RecordBatch.from_arrays(cols, ["file", "idx", "text", "tokens"])
+                    found, first, chars = [], first + len(found), 0
+                if text is not None:
+                    found.append((text, tokens))
+                    chars += len(text)
+
+    ordered = _pieces(spark, paths).repartition("file").sortWithinPartitions("file", "start", "no")
+    return ordered.select("file", "text").mapInArrow(run, "file string, idx int, text string, tokens long")
 
 
 def index_folder(
@@ -44,14 +98,29 @@ def index_folder(
 ) -> StreamingQuery:
     """Index the files of ``source`` that are new since the last run, then stop.
 
-    ``target`` and ``checkpoint`` lie in folders that driver and executors share.
+    ``target`` and ``checkpoint`` lie in folders that driver and executors share. Paths of a batch's files pass the
+    driver, ``files_per_batch`` at most. Files that have to be parsed whole (not plain text, or cut otherwise than by the
+    fixed windows alone) are a row each.
     """
     stream = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(source)
-    small = stream.where(F.col("length") <= max_bytes)
+    small = stream.select("path", "length").where((F.col("length") <= max_bytes) & supported(F.col("path")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = files.describe(files.parse(batch, pdf_reader)).select("doc_id", "text")
-        chunks_of(docs, cfg, dim).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        session, out = batch.sparkSession, f"{target}/batch={batch_id}"
+        plain = F.lit(chunking.as_windows(cfg)) & extension(F.col("path")).isin(PLAIN) & (F.col("length") >= LONG)
+        found = batch.select("path", plain.alias("long")).collect()
+        whole, long = ([r["path"] for r in found if r["long"] == kind] for kind in (False, True))
+        scan = session.read.format("binaryFile").option("recursiveFileLookup", "true").schema(BINARY)
+        content = scan.load([_literal(p) for p in whole]) if whole else session.createDataFrame([], BINARY)
+        made = chunking.chunk(files.describe(files.parse(content, pdf_reader)).select("doc_id", "text"), cfg)
+        if not long:
+            return _embedded(made, dim).write.mode("overwrite").parquet(out)
+        # written, as a large file's windows are cut by one task and their vectors made by all
+        cut = materialise(_long_windows(session, long, cfg), "windows")
+        names = scan.load([_literal(p) for p in long]).select(F.col("_metadata.file_path").alias("file"), files.doc_id(F.col("path")).alias("doc_id"))
+        own = cut.join(F.broadcast(names), "file").select("doc_id", "idx", "text", "tokens")
+        _embedded(made.unionByName(own), dim).write.mode("overwrite").parquet(out)
+        forget(session, cut)
 
     return small.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
